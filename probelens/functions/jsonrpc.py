@@ -1,8 +1,7 @@
 """Verdicts on the three recorded responses of a tool-listing check.
 
 Bodies are read as VARIANT: it alone tells a JSON null from a missing key, which the rules need. Each
-`*_failure` function gives struct(healthy, status_code, message), or null where the stage passed or has
-no response.
+`*_failure` function gives a verdict struct, or null where the stage passed or has no response.
 """
 
 from __future__ import annotations
@@ -11,7 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from probelens.functions.text import is_blank, text_or_empty
-from probelens.functions.verdict import error_text, outcome
+from probelens.functions.verdict import error_text
+from probelens.functions.verdict import outcome as any_outcome
 
 # The stages in the order of the calls, and the status a JSON-RPC answer must have.
 INITIALIZE = "initialize"
@@ -21,6 +21,10 @@ STAGES = [INITIALIZE, NOTIFICATION, TOOLS]
 OK = 200
 
 
+def outcome(healthy: bool, status_code: Column, message: Column) -> Column:
+    return any_outcome(healthy, status_code, message, F.lit(OK))
+
+
 def parse_body(body: Column) -> Column:
     """The body as VARIANT below key `v`; null unless the text is exactly one JSON document.
 
@@ -35,26 +39,35 @@ def _at(doc: Column, path: str) -> Column:
     return F.try_variant_get(doc, path, "variant")
 
 
-def _kind(value: Column) -> Column:
-    """VARIANT type name; `VOID` for a JSON null and for a missing value alike."""
-    return F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
+def _absent(value: Column) -> Column:
+    """Missing or a JSON null: what every typed field accepts."""
+    return value.isNull() | F.is_variant_null(value)
+
+
+def _object_or_absent(value: Column) -> Column:
+    """A shallow cast; naming the type of a value would walk through all of it."""
+    return _absent(value) | F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
 
 
-def _is(value: Column, kind: str) -> Column:
-    """Null, missing or of the kind: what a typed field accepts."""
-    found = _kind(value)
-    return found.isin("VOID", kind) if kind != "OBJECT" else (found == "VOID") | found.startswith("OBJECT")
+def _scalar_or_absent(value: Column, kind: str) -> Column:
+    """Casts would coerce (5 to '5'), so scalars are told apart by their type name."""
+    return _absent(value) | (F.schema_of_variant(value) == kind)
 
 
 def _decodes_as_reply(doc: Column) -> Column:
-    reply, error = _at(doc, "$.v"), _at(doc, "$.v.error")
+    error = _at(doc, "$.v.error")
     return (
         doc.isNotNull()
-        & _is(reply, "OBJECT")
-        & _is(_at(doc, "$.v.jsonrpc"), "STRING")
-        & _is(error, "OBJECT")
-        & _is(_at(doc, "$.v.error.code"), "BIGINT")
-        & _is(_at(doc, "$.v.error.message"), "STRING")
+        & _object_or_absent(_at(doc, "$.v"))
+        & _scalar_or_absent(_at(doc, "$.v.jsonrpc"), "STRING")
+        & (
+            _absent(error)
+            | (
+                _object_or_absent(error)
+                & _scalar_or_absent(_at(doc, "$.v.error.code"), "BIGINT")
+                & _scalar_or_absent(_at(doc, "$.v.error.message"), "STRING")
+            )
+        )
     )
 
 
@@ -71,7 +84,7 @@ def reply_failure(response: Column, doc: Column, stage: str) -> Column:
     """No response, HTTP status, undecodable body, error object, no result: the first that holds."""
     status = response["status_code"]
     error = _at(doc, "$.v.error")
-    has_error = error.isNotNull() & (_kind(error) != "VOID")
+    has_error = ~_absent(error)
     code = F.coalesce(F.try_variant_get(doc, "$.v.error.code", "bigint"), F.lit(0))
     text = text_or_empty(F.try_variant_get(doc, "$.v.error.message", "string"))
     return (
@@ -102,9 +115,9 @@ def reply_failure(response: Column, doc: Column, stage: str) -> Column:
 
 def initialize_failure(response: Column, doc: Column, mcp: Column) -> Column:
     result_ok = (
-        _is(_at(doc, "$.v.result"), "OBJECT")
-        & _is(_at(doc, "$.v.result.protocolVersion"), "STRING")
-        & _is(_at(doc, "$.v.result.capabilities"), "OBJECT")
+        _object_or_absent(_at(doc, "$.v.result"))
+        & _scalar_or_absent(_at(doc, "$.v.result.protocolVersion"), "STRING")
+        & _object_or_absent(_at(doc, "$.v.result.capabilities"))
     )
     version = F.try_variant_get(doc, "$.v.result.protocolVersion", "string")
     # Any value of the key counts, a JSON null too.
@@ -145,11 +158,13 @@ def tool_names(doc: Column) -> Column:
     """Names in listed order, repeats kept, `""` for a nameless tool; null if the list does not decode."""
     result, listed = _at(doc, "$.v.result"), _at(doc, "$.v.result.tools")
     tools = F.try_variant_get(doc, "$.v.result.tools", "array<variant>")
-    well_formed = F.forall(tools, lambda t: _is(t, "OBJECT") & _is(F.try_variant_get(t, "$.name", "variant"), "STRING"))
+    well_formed = F.forall(
+        tools, lambda t: _object_or_absent(t) & _scalar_or_absent(F.try_variant_get(t, "$.name", "variant"), "STRING")
+    )
     names = F.transform(tools, lambda t: text_or_empty(F.try_variant_get(t, "$.name", "string")))
     return (
-        F.when(~_is(result, "OBJECT"), F.lit(None))
-        .when(_kind(listed) == "VOID", F.array().cast("array<string>"))
+        F.when(~_object_or_absent(result), F.lit(None))
+        .when(_absent(listed), F.array().cast("array<string>"))
         .when(F.coalesce(well_formed, F.lit(False)), names)
     )
 

@@ -28,36 +28,47 @@ def error_text(response: Column) -> Column:
     return F.when(response["error_kind"].isNotNull(), text)
 
 
-def outcome(healthy: bool, status_code: Column, message: Column) -> Column:
+def outcome(healthy: bool, status_code: Column, message: Column, expected: Column) -> Column:
     return F.struct(
         F.lit(healthy).alias("healthy"),
         status_code.cast("int").alias("status_code"),
         message.alias("message"),
+        expected.cast("int").alias("expected_status"),
     )
 
 
-def request_verdict(response: Column, expected_status: Column, contains_text: Column) -> Column:
+def request_verdict(
+    response: Column, expected_status: Column, contains_text: Column, failure_prefix: Column | None = None
+) -> Column:
     """First of: no response, wrong status, text not found; else healthy. Null without a response row.
 
-    A broken request reports status 0 even when a status line had arrived.
+    A broken request reports status 0 even when a status line had arrived. `failure_prefix` goes before
+    the message of a failure.
     """
     expected = F.coalesce(expected_status, F.lit(0))
     status = response["status_code"]
     no_text_rule = is_blank(contains_text)
     found = F.contains(text_or_empty(response["body"]), text_or_empty(contains_text))
+
+    def failure(code: Column, text: Column) -> Column:
+        message = text if failure_prefix is None else F.concat(failure_prefix, text)
+        return outcome(False, code, message, expected)
+
     return (
         F.when(response.isNull(), F.lit(None))
-        .when(response["error_kind"].isNotNull(), outcome(False, F.lit(0), error_text(response)))
-        .when(
-            status != expected,
-            outcome(False, status, F.format_string("Expected %d but got %d", expected, status)),
-        )
+        .when(response["error_kind"].isNotNull(), failure(F.lit(0), error_text(response)))
+        .when(status != expected, failure(status, F.format_string("Expected %d but got %d", expected, status)))
         .when(
             ~no_text_rule & ~found,
-            outcome(False, status, F.concat(F.lit("Response body did not contain "), quoted(contains_text))),
+            failure(status, F.concat(F.lit("Response body did not contain "), quoted(contains_text))),
         )
-        .when(no_text_rule, outcome(True, status, F.format_string("Got expected status %d", status)))
+        .when(no_text_rule, outcome(True, status, F.format_string("Got expected status %d", status), expected))
         .otherwise(
-            outcome(True, status, F.format_string("Got expected status %d and matched response text", status))
+            outcome(
+                True,
+                status,
+                F.format_string("Got expected status %d and matched response text", status),
+                expected,
+            )
         )
     )

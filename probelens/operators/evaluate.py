@@ -45,9 +45,9 @@ _RESPONSE_FIELDS = ["seq", "stage", "status_code", "body", "error_kind", "error"
 class Mode:
     """How one kind of probe is judged.
 
-    `cycle` judges the array form from columns `p` (probe) and `responses`; `row` judges one exchange and
-    `last` is the position of the request that completes the check. Verdicts are structs (healthy,
-    status_code, message, expected_status); null means the stage passed or is absent.
+    `cycle` judges the array form from the probe and the responses; `row` judges one exchange with its
+    parsed body; `last` is the position of the request that completes the check. Verdicts are structs
+    (healthy, status_code, message, expected_status); null means that nothing is there to judge.
     """
 
     cycle: Callable[[Column, Column], Column]
@@ -55,72 +55,58 @@ class Mode:
     last: Callable[[Column], Column]
 
 
-def _with_expected(verdict: Column, expected: Column) -> Column:
-    return F.when(
-        verdict.isNotNull(),
-        F.struct(
-            verdict["healthy"].alias("healthy"),
-            verdict["status_code"].alias("status_code"),
-            verdict["message"].alias("message"),
-            F.coalesce(expected, F.lit(0)).cast("int").alias("expected_status"),
-        ),
-    )
-
-
 def _config_error(p: Column) -> Column:
-    return _with_expected(outcome(False, F.lit(0), p["config_error"]), p["expected_status"])
+    return outcome(False, F.lit(0), p["config_error"], F.coalesce(p["expected_status"], F.lit(0)))
 
 
 def _single(p: Column, response: Column) -> Column:
-    return _with_expected(request_verdict(response, p["expected_status"], p["contains_text"]), p["expected_status"])
+    return request_verdict(response, p["expected_status"], p["contains_text"])
 
 
 def _step(step: Column, position: Column, response: Column) -> Column:
-    verdict = request_verdict(response, step["expected_status"], step["contains_text"])
-    text = F.format_string("Step %d (%s) failed: %s", position, text_or_empty(step["name"]), verdict["message"])
-    named = verdict.withField("message", F.when(verdict["healthy"], verdict["message"]).otherwise(text))
-    return _with_expected(named, step["expected_status"])
+    prefix = F.format_string("Step %d (%s) failed: ", position, text_or_empty(step["name"]))
+    return request_verdict(response, step["expected_status"], step["contains_text"], prefix)
 
 
 def _journey_success(p: Column, status: Column) -> Column:
     text = F.format_string("Synthetic journey succeeded (%d steps)", F.size(p["journey"]))
-    return _with_expected(outcome(True, status, text), p["expected_status"])
+    return outcome(True, status, text, F.coalesce(p["expected_status"], F.lit(0)))
 
 
-def _journey_cycle(p: Column, responses: Column) -> Column:
+def _step_verdicts(p: Column, responses: Column) -> Column:
     def at(i: Column) -> Column:
         return F.get(F.filter(responses, lambda r: r["seq"] == i), F.lit(0))
 
-    verdicts = F.transform(p["journey"], lambda s, i: _step(s, i + 1, at(i)))
-    failed = F.get(F.filter(verdicts, lambda v: ~v["healthy"]), F.lit(0))
-    complete = F.forall(verdicts, lambda v: v.isNotNull())
-    last = F.element_at(verdicts, -1)
-    return F.coalesce(failed, F.when(complete, _journey_success(p, last["status_code"])))
+    return F.transform(p["journey"], lambda s, i: _step(s, i + 1, at(i)))
+
+
+def _journey_cycle(p: Column, responses: Column) -> Column:
+    steps = F.col("_steps")
+    failed = F.get(F.filter(steps, lambda v: ~v["healthy"]), F.lit(0))
+    complete = F.forall(steps, lambda v: v.isNotNull())
+    return F.coalesce(failed, F.when(complete, _journey_success(p, F.element_at(steps, -1)["status_code"])))
 
 
 def _journey_row(p: Column, response: Column, doc: Column) -> Column:
-    step = F.get(p["journey"], response["seq"])
-    return F.when(step.isNotNull(), _step(step, response["seq"] + 1, response))
+    return _step(F.get(p["journey"], response["seq"]), response["seq"] + 1, response)
 
 
 def _mcp_cycle(p: Column, responses: Column) -> Column:
     init, note, tools = (F.get(responses, F.lit(i)) for i in range(3))
-    init_doc, tools_doc = F.col("_doc0"), F.col("_doc2")
-    names = jsonrpc.tool_names(tools_doc)
-    verdict = F.coalesce(
-        jsonrpc.initialize_failure(init, init_doc, p["mcp"]),
+    names = F.col("_names")
+    return F.coalesce(
+        jsonrpc.initialize_failure(init, F.col("_doc0"), p["mcp"]),
         jsonrpc.notification_failure(note),
-        jsonrpc.tools_failure(tools, tools_doc, names, p["mcp"]),
+        jsonrpc.tools_failure(tools, F.col("_doc2"), names, p["mcp"]),
         jsonrpc.tools_success(tools, names),
     )
-    return _with_expected(verdict, F.lit(jsonrpc.OK))
 
 
 def _mcp_row(p: Column, response: Column, doc: Column) -> Column:
-    names = jsonrpc.tool_names(doc)
-    passed = outcome(True, response["status_code"], F.lit(None).cast("string"))
+    names = F.col("_names")
+    passed = jsonrpc.outcome(True, response["status_code"], F.lit(None).cast("string"))
     seq = response["seq"]
-    verdict = (
+    return (
         F.when(seq == 0, F.coalesce(jsonrpc.initialize_failure(response, doc, p["mcp"]), passed))
         .when(seq == 1, F.coalesce(jsonrpc.notification_failure(response), passed))
         .when(
@@ -130,7 +116,6 @@ def _mcp_row(p: Column, response: Column, doc: Column) -> Column:
             ),
         )
     )
-    return _with_expected(verdict, F.lit(jsonrpc.OK))
 
 
 # A new kind of probe is one more entry here and one more branch in `mode_of`.
@@ -187,24 +172,28 @@ def evaluate_cycles(cycles: DataFrame, probes: DataFrame) -> DataFrame:
     """Verdict of every cycle; `healthy` is null where responses are missing and none failed."""
     joined = cycles_with_probes(cycles, probes)
     is_mcp = F.col("mode") == "mcp"
-    # Each body is parsed once, before the stage expressions that read it many times.
-    for i in (0, 2):
-        joined = joined.withColumn(f"_doc{i}", _parsed(F.get("responses", F.lit(i))["body"], is_mcp))
-    judged = joined.withColumn("_v", _by_mode(lambda m: m.cycle(F.col("p"), F.col("responses"))))
-    return judged.select(
+    p, responses = F.col("p"), F.col("responses")
+    # What the verdicts read many times is computed once before them, and only for the kind that needs it.
+    staged = joined.withColumns(
+        {
+            "_doc0": _parsed(F.get(responses, F.lit(0))["body"], is_mcp),
+            "_doc2": _parsed(F.get(responses, F.lit(2))["body"], is_mcp),
+            "_steps": F.when(F.col("mode") == "journey", _step_verdicts(p, responses)),
+        }
+    ).withColumn("_names", F.when(is_mcp, jsonrpc.tool_names(F.col("_doc2"))))
+    verdict = _by_mode(lambda m: m.cycle(p, responses))
+    # A generator keeps later filters on the verdict from being evaluated a second time below it.
+    return staged.select(
         F.col("probe").alias("name"),
-        "_v.healthy",
-        "_v.status_code",
         F.col("finished_at").alias("last_check_time"),
-        "_v.message",
         "p.url",
-        "_v.expected_status",
         "cycle_id",
         "duration_us",
         "mode",
         "to_metrics",
         "to_lines",
-    )
+        F.inline(F.array(verdict)),
+    ).select(RESULT_COLUMNS)
 
 
 def check_results(cycles: DataFrame, probes: DataFrame) -> DataFrame:
@@ -243,6 +232,31 @@ def mcp_results(cycles: DataFrame, probes: DataFrame) -> DataFrame:
     return results_of_mode(cycles, probes, "mcp")
 
 
+def mcp_stages(cycles: DataFrame, probes: DataFrame) -> DataFrame:
+    """The stages of every tool-listing check on their own; a null column means the stage passed.
+
+    `initialize_reply` and `tools_reply` cover transport and envelope, `initialize`, `notification` and
+    `tools` the whole stage.
+    """
+    joined = cycles_with_probes(cycles, probes).where(F.col("mode") == "mcp")
+    responses, mcp = F.col("responses"), F.col("p.mcp")
+    init, note, tools = (F.get(responses, F.lit(i)) for i in range(3))
+    staged = joined.withColumns(
+        {"_doc0": jsonrpc.parse_body(init["body"]), "_doc2": jsonrpc.parse_body(tools["body"])}
+    ).withColumn("_names", jsonrpc.tool_names(F.col("_doc2")))
+    doc0, doc2, names = F.col("_doc0"), F.col("_doc2"), F.col("_names")
+    return staged.select(
+        "cycle_id",
+        F.col("probe").alias("name"),
+        jsonrpc.reply_failure(init, doc0, jsonrpc.INITIALIZE).alias("initialize_reply"),
+        jsonrpc.initialize_failure(init, doc0, mcp).alias("initialize"),
+        jsonrpc.notification_failure(note).alias("notification"),
+        jsonrpc.reply_failure(tools, doc2, jsonrpc.TOOLS).alias("tools_reply"),
+        jsonrpc.tools_failure(tools, doc2, names, mcp).alias("tools"),
+        F.size(names).alias("tool_count"),
+    )
+
+
 def _planned(exchanges: DataFrame, probes: DataFrame) -> DataFrame:
     """Exchanges with their probe, limited to requests the probe sends."""
     side = _probe_side(probes).withColumn("_last", _by_mode(lambda m: m.last(F.col("p"))))
@@ -264,28 +278,30 @@ def _first_arrivals(rows: DataFrame, keys: list[str], order: list[str]) -> DataF
     return first.select(*keys, "_first.*")
 
 
-def assemble_cycles(exchanges: DataFrame, probes: DataFrame, replays: bool = False) -> DataFrame:
+CYCLE = ["cycle_id", "probe"]
+
+
+def assemble_cycles(
+    exchanges: DataFrame, probes: DataFrame, replays: bool = False, keys: list[str] = CYCLE
+) -> DataFrame:
     """One `check_cycles` row per check, responses in request order.
 
     Only planned requests take part, so an array is no longer than the plan in its probe's row;
     `unplanned_exchanges` gives the others. Set `replays` for a feed that may deliver a row twice: the
     first arrival then counts.
     """
-    rows = _planned(exchanges, probes).select(
-        "cycle_id", "probe", "started_at", "finished_at", *_RESPONSE_FIELDS
-    )
+    rows = _planned(exchanges, probes).select(*keys, "started_at", "finished_at", *_RESPONSE_FIELDS)
     if replays:
-        rows = _first_arrivals(rows, ["cycle_id", "probe", "seq"], ["started_at", "finished_at", "status_code"])
+        rows = _first_arrivals(rows, [*keys, "seq"], ["started_at", "finished_at", "status_code"])
     return (
-        rows.groupBy("cycle_id", "probe")
+        rows.groupBy(*keys)
         .agg(
             F.min("started_at").alias("started_at"),
             F.max("finished_at").alias("finished_at"),
             F.array_sort(F.collect_list(F.struct(*_RESPONSE_FIELDS))).alias("responses"),
         )
         .select(
-            "cycle_id",
-            "probe",
+            *keys,
             "started_at",
             "finished_at",
             (F.unix_micros("finished_at") - F.unix_micros("started_at")).alias("duration_us"),
@@ -297,16 +313,17 @@ def assemble_cycles(exchanges: DataFrame, probes: DataFrame, replays: bool = Fal
 def request_verdicts(exchanges: DataFrame, probes: DataFrame) -> DataFrame:
     """Judge every planned exchange in place; the body does not leave this projection."""
     rows = _planned(exchanges, probes)
-    response = F.struct(*_RESPONSE_FIELDS)
-    parse = (F.col("mode") == "mcp") & F.col("seq").isin(0, 2)
+    is_mcp, seq = F.col("mode") == "mcp", F.col("seq")
     judged = (
-        rows.withColumn("_doc", _parsed(F.col("body"), parse))
-        .withColumn("_r", response)
+        rows.withColumn("_doc", _parsed(F.col("body"), is_mcp & seq.isin(0, 2)))
+        .withColumn("_names", F.when(is_mcp & (seq == 2), jsonrpc.tool_names(F.col("_doc"))))
+        .withColumn("_r", F.struct(*_RESPONSE_FIELDS))
         .withColumn("v", _by_mode(lambda m: m.row(F.col("p"), F.col("_r"), F.col("_doc"))))
     )
     return judged.select(
         "cycle_id",
         "probe",
+        "cycle_started_at",
         "seq",
         "started_at",
         "finished_at",
@@ -320,7 +337,9 @@ def request_verdicts(exchanges: DataFrame, probes: DataFrame) -> DataFrame:
     )
 
 
-def evaluate_exchanges(exchanges: DataFrame, probes: DataFrame, replays: bool = False) -> DataFrame:
+def evaluate_exchanges(
+    exchanges: DataFrame, probes: DataFrame, replays: bool = False, keys: list[str] = CYCLE
+) -> DataFrame:
     """Verdict of every check straight from its exchange rows; `healthy` is null where rows are missing.
 
     The first failing request decides. Without one, the check is healthy if all planned requests are
@@ -328,9 +347,9 @@ def evaluate_exchanges(exchanges: DataFrame, probes: DataFrame, replays: bool =
     """
     rows = request_verdicts(exchanges, probes)
     if replays:
-        rows = _first_arrivals(rows, ["cycle_id", "probe", "seq"], ["started_at", "finished_at"])
+        rows = _first_arrivals(rows, [*keys, "seq"], ["started_at", "finished_at"])
     failed = F.when(~F.col("v.healthy"), F.struct("seq", "v"))
-    grouped = rows.groupBy("cycle_id", "probe").agg(
+    grouped = rows.groupBy(*keys).agg(
         F.min(failed).alias("_failed"),
         F.max(F.struct("seq", "v")).alias("_end"),
         F.count("*").alias("_n"),
@@ -368,6 +387,8 @@ def evaluate_exchanges(exchanges: DataFrame, probes: DataFrame, replays: bool =
     )
 
 
-def exchange_results(exchanges: DataFrame, probes: DataFrame, replays: bool = False) -> DataFrame:
+def exchange_results(
+    exchanges: DataFrame, probes: DataFrame, replays: bool = False, keys: list[str] = CYCLE
+) -> DataFrame:
     """The result log straight from exchange rows; same rows as assembling cycles first."""
-    return evaluate_exchanges(exchanges, probes, replays).where(F.col("healthy").isNotNull())
+    return evaluate_exchanges(exchanges, probes, replays, keys).where(F.col("healthy").isNotNull())

@@ -117,7 +117,10 @@ def canary_listing(canaries: DataFrame, statuses: DataFrame, as_of: Column) -> D
 
 
 def latest_per_window(results: DataFrame, seconds: int = POLL_SECONDS) -> DataFrame:
-    """State each poll would see: per probe and window (aligned to the epoch) the last result in it."""
+    """State each poll would see: per probe and window (aligned to the epoch) the last result in it.
+
+    Takes a table, or a stream with a watermark on `last_check_time`.
+    """
     state = F.struct(
         phase_of(F.col("healthy")).alias("phase"),
         F.col("status_code").alias("last_status"),
@@ -125,13 +128,17 @@ def latest_per_window(results: DataFrame, seconds: int = POLL_SECONDS) -> DataFr
         "last_check_time",
     )
     order = F.struct(*[c for c in ORDER if c in results.columns])
-    size = F.lit(seconds * 1_000_000).cast("long")
-    index = F.floor(F.unix_micros("last_check_time") / size).cast("long")
+    window = F.window("last_check_time", f"{seconds} seconds").alias("w")
+    start = F.col("w.start")
     return (
-        results.withColumn("window_index", index)
-        .groupBy("name", "window_index")
+        results.groupBy("name", window)
         .agg(F.max_by(state, order).alias("s"))
-        .select("name", "window_index", F.timestamp_micros(F.col("window_index") * size).alias("window_start"), "s.*")
+        .select(
+            "name",
+            F.floor(F.unix_micros(start) / (seconds * 1_000_000)).cast("long").alias("window_index"),
+            start.alias("window_start"),
+            "s.*",
+        )
     )
 
 

@@ -267,6 +267,9 @@ def _part_responses() -> Column:
         F.lit("2.0").alias("jsonrpc"),
         F.struct(F.transform(part_tools(), lambda t: F.struct(t.alias("name"))).alias("tools")).alias("result"),
     )
+    # Some servers answer with an event stream, which is no JSON document.
+    stream = F.concat(F.lit("data: "), F.to_json(listed))
+    listing = F.when(F.col("p_size") % 17 == 0, stream).otherwise(F.to_json(listed))
     no_error = F.lit(None).cast("string")
     return F.array(
         _response(
@@ -279,7 +282,7 @@ def _part_responses() -> Column:
         _response(
             F.lit(1), F.lit("notifications/initialized"), F.when(case == 7, 500).otherwise(202), F.lit(""), no_error
         ),
-        _response(F.lit(2), F.lit("tools/list"), F.lit(200), F.to_json(listed), no_error),
+        _response(F.lit(2), F.lit("tools/list"), F.lit(200), listing, no_error),
     )
 
 
