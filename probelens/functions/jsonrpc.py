@@ -1,16 +1,14 @@
 """Verdicts on the three recorded responses of a tool-listing check.
 
-Bodies are read as VARIANT: it alone tells a JSON null from a missing key, which the rules need. Each
-`*_failure` function gives a verdict struct, or null where the stage passed or has no response.
+Bodies are read as VARIANT: it alone tells a JSON null from a missing key, which the rules need. As in
+`verdict`, functions take and give SQL text. Each `*_failure` gives a verdict, or null where the stage
+passed or has no response. `doc` is a body from `parse_body`, in a column of its own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from probelens.functions.text import is_blank, text_or_empty
-from probelens.functions.verdict import error_text
+from probelens.functions.text import literal
+from probelens.functions.verdict import error_text, status_of
 from probelens.functions.verdict import outcome as any_outcome
 
 # The stages in the order of the calls, and the status a JSON-RPC answer must have.
@@ -21,185 +19,144 @@ STAGES = [INITIALIZE, NOTIFICATION, TOOLS]
 OK = 200
 
 
-def outcome(healthy: bool, status_code: Column, message: Column) -> Column:
-    return any_outcome(healthy, status_code, message, F.lit(OK))
+def outcome(healthy: bool, status_code: str, message: str) -> str:
+    return any_outcome(healthy, status_code, message, str(OK))
 
 
-def parse_body(body: Column) -> Column:
+def parse_body(body: str) -> str:
     """The body as VARIANT below key `v`; null unless the text is exactly one JSON document.
 
     The variant parser accepts text after the document. Inside an object or an array such text breaks
     the syntax, unless it starts with the bracket that closes it, which can hold for only one of them.
     """
-    single = F.json_array_length(F.concat(F.lit("["), body, F.lit("]"))) == 1
-    return F.when(single, F.try_parse_json(F.concat(F.lit('{"v":'), body, F.lit("}"))))
+    one = f"json_array_length('[' || {body} || ']') = 1"
+    return f"CASE WHEN {one} THEN try_parse_json('{{\"v\":' || {body} || '}}') END"
 
 
-def _at(doc: Column, path: str) -> Column:
-    return F.try_variant_get(doc, path, "variant")
+def _at(doc: str, path: str, kind: str = "variant") -> str:
+    return f"try_variant_get({doc}, '{path}', '{kind}')"
 
 
-def _absent(value: Column) -> Column:
+def _absent(value: str) -> str:
     """Missing or a JSON null: what every typed field accepts."""
-    return value.isNull() | F.is_variant_null(value)
+    return f"({value} IS NULL OR is_variant_null({value}))"
 
 
-def _object_or_absent(value: Column) -> Column:
+def _object_or_absent(doc: str, path: str = "$") -> str:
     """A shallow cast; naming the type of a value would walk through all of it."""
-    return _absent(value) | F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
+    return f"({_absent(_at(doc, path))} OR {_at(doc, path, 'map<string,variant>')} IS NOT NULL)"
 
 
-def _scalar_or_absent(value: Column, kind: str) -> Column:
+def _scalar_or_absent(doc: str, path: str, kind: str) -> str:
     """Casts would coerce (5 to '5'), so scalars are told apart by their type name."""
-    return _absent(value) | (F.schema_of_variant(value) == kind)
+    value = _at(doc, path)
+    return f"({_absent(value)} OR schema_of_variant({value}) = '{kind}')"
 
 
-def _decodes_as_reply(doc: Column) -> Column:
-    error = _at(doc, "$.v.error")
-    return (
-        doc.isNotNull()
-        & _object_or_absent(_at(doc, "$.v"))
-        & _scalar_or_absent(_at(doc, "$.v.jsonrpc"), "STRING")
-        & (
-            _absent(error)
-            | (
-                _object_or_absent(error)
-                & _scalar_or_absent(_at(doc, "$.v.error.code"), "BIGINT")
-                & _scalar_or_absent(_at(doc, "$.v.error.message"), "STRING")
-            )
-        )
-    )
+def _decodes_as_reply(doc: str) -> str:
+    return f"""({doc} IS NOT NULL AND {_object_or_absent(doc, "$.v")}
+      AND {_scalar_or_absent(doc, "$.v.jsonrpc", "STRING")}
+      AND ({_absent(_at(doc, "$.v.error"))}
+           OR ({_object_or_absent(doc, "$.v.error")}
+               AND {_scalar_or_absent(doc, "$.v.error.code", "BIGINT")}
+               AND {_scalar_or_absent(doc, "$.v.error.message", "STRING")})))"""
 
 
-def _decode_reason(body: Column) -> Column:
+def _decode_reason(body: str, doc: str) -> str:
     """Stable reason; the wording of a decoder is not reproduced."""
     return (
-        F.when(is_blank(F.trim(text_or_empty(body))), F.lit("unexpected end of JSON input"))
-        .when(parse_body(body).isNull(), F.lit("invalid JSON document"))
-        .otherwise(F.lit("unexpected JSON type"))
+        f"CASE WHEN trim(coalesce({body}, '')) = '' THEN 'unexpected end of JSON input' "
+        f"WHEN {doc} IS NULL THEN 'invalid JSON document' ELSE 'unexpected JSON type' END"
     )
 
 
-def reply_failure(response: Column, doc: Column, stage: str) -> Column:
+def reply_failure(response: str, doc: str, stage: str) -> str:
     """No response, HTTP status, undecodable body, error object, no result: the first that holds."""
-    status = response["status_code"]
-    error = _at(doc, "$.v.error")
-    has_error = ~_absent(error)
-    code = F.coalesce(F.try_variant_get(doc, "$.v.error.code", "bigint"), F.lit(0))
-    text = text_or_empty(F.try_variant_get(doc, "$.v.error.message", "string"))
-    return (
-        F.when(response.isNull(), F.lit(None))
-        .when(
-            response["error_kind"].isNotNull(),
-            outcome(False, F.lit(0), F.concat(F.lit(f"{stage} request failed: "), error_text(response))),
-        )
-        .when(status != OK, outcome(False, status, F.format_string(f"{stage} returned HTTP %d", status)))
-        .when(
-            ~_decodes_as_reply(doc),
-            outcome(
-                False,
-                status,
-                F.concat(F.lit(f"Failed to decode {stage} response: "), _decode_reason(response["body"])),
-            ),
-        )
-        .when(
-            has_error,
-            outcome(False, status, F.format_string(f"{stage} returned JSON-RPC error %d: %s", code, text)),
-        )
-        .when(
-            _at(doc, "$.v.result").isNull(),
-            outcome(False, status, F.lit(f"{stage} response missing result")),
-        )
+    status = status_of(response)
+    code, text = _at(doc, "$.v.error.code", "bigint"), _at(doc, "$.v.error.message", "string")
+
+    def message(start: str, rest: str) -> str:
+        return f"{literal(start)} || {rest}"
+
+    return f"""
+    CASE
+      WHEN {response} IS NULL THEN NULL
+      WHEN {response}.error_kind IS NOT NULL
+        THEN {outcome(False, "0", message(f"{stage} request failed: ", error_text(response)))}
+      WHEN {status} <> {OK} THEN {outcome(False, status, message(f"{stage} returned HTTP ", status))}
+      WHEN NOT {_decodes_as_reply(doc)}
+        THEN {outcome(False, status, message(f"Failed to decode {stage} response: ", _decode_reason(f"{response}.body", doc)))}
+      WHEN NOT {_absent(_at(doc, "$.v.error"))}
+        THEN {outcome(False, status, message(f"{stage} returned JSON-RPC error ", f"coalesce({code}, 0) || ': ' || coalesce({text}, '')"))}
+      WHEN {_at(doc, "$.v.result")} IS NULL THEN {outcome(False, status, literal(f"{stage} response missing result"))}
+    END"""
+
+
+def initialize_failure(response: str, doc: str, mcp: str) -> str:
+    decodes = (
+        f"({_object_or_absent(doc, '$.v.result')} "
+        f"AND {_scalar_or_absent(doc, '$.v.result.protocolVersion', 'STRING')} "
+        f"AND {_object_or_absent(doc, '$.v.result.capabilities')})"
     )
-
-
-def initialize_failure(response: Column, doc: Column, mcp: Column) -> Column:
-    result_ok = (
-        _object_or_absent(_at(doc, "$.v.result"))
-        & _scalar_or_absent(_at(doc, "$.v.result.protocolVersion"), "STRING")
-        & _object_or_absent(_at(doc, "$.v.result.capabilities"))
-    )
-    version = F.try_variant_get(doc, "$.v.result.protocolVersion", "string")
+    version = _at(doc, "$.v.result.protocolVersion", "string")
     # Any value of the key counts, a JSON null too.
-    no_tools = _at(doc, "$.v.result.capabilities.tools").isNull()
-    own = (
-        F.when(response.isNull(), F.lit(None))
-        .when(
-            ~result_ok,
-            outcome(False, F.lit(OK), F.lit("Failed to decode initialize result: unexpected JSON type")),
-        )
-        .when(
-            is_blank(version), outcome(False, F.lit(OK), F.lit("Initialize response missing protocolVersion"))
-        )
-        .when(
-            F.coalesce(mcp["require_tools_capability"], F.lit(False)) & no_tools,
-            outcome(False, F.lit(OK), F.lit("Initialize response did not advertise tools capability")),
-        )
-    )
-    return F.coalesce(reply_failure(response, doc, INITIALIZE), own)
-
-
-def notification_failure(response: Column) -> Column:
-    status = response["status_code"]
-    return (
-        F.when(response.isNull(), F.lit(None))
-        .when(
-            response["error_kind"].isNotNull(),
-            outcome(False, F.lit(0), F.concat(F.lit(f"{NOTIFICATION} request failed: "), error_text(response))),
-        )
-        .when(
-            ~status.between(200, 299),
-            outcome(False, status, F.format_string(f"{NOTIFICATION} returned HTTP %d", status)),
-        )
-    )
-
-
-def tool_names(doc: Column) -> Column:
+    no_tools = f"{_at(doc, '$.v.result.capabilities.tools')} IS NULL"
+
+    def failed(text: str) -> str:
+        return outcome(False, str(OK), literal(text))
+
+    return f"""
+    coalesce({reply_failure(response, doc, INITIALIZE)},
+    CASE
+      WHEN {response} IS NULL THEN NULL
+      WHEN NOT {decodes} THEN {failed("Failed to decode initialize result: unexpected JSON type")}
+      WHEN coalesce({version}, '') = '' THEN {failed("Initialize response missing protocolVersion")}
+      WHEN coalesce({mcp}.require_tools_capability, false) AND {no_tools}
+        THEN {failed("Initialize response did not advertise tools capability")}
+    END)"""
+
+
+def notification_failure(response: str) -> str:
+    status = status_of(response)
+    broken = f"{literal(f'{NOTIFICATION} request failed: ')} || {error_text(response)}"
+    return f"""
+    CASE
+      WHEN {response} IS NULL THEN NULL
+      WHEN {response}.error_kind IS NOT NULL THEN {outcome(False, "0", broken)}
+      WHEN {status} NOT BETWEEN 200 AND 299
+        THEN {outcome(False, status, f"{literal(f'{NOTIFICATION} returned HTTP ')} || {status}")}
+    END"""
+
+
+def tool_names(doc: str) -> str:
     """Names in listed order, repeats kept, `""` for a nameless tool; null if the list does not decode."""
-    result, listed = _at(doc, "$.v.result"), _at(doc, "$.v.result.tools")
-    tools = F.try_variant_get(doc, "$.v.result.tools", "array<variant>")
-    well_formed = F.forall(
-        tools, lambda t: _object_or_absent(t) & _scalar_or_absent(F.try_variant_get(t, "$.name", "variant"), "STRING")
-    )
-    names = F.transform(tools, lambda t: text_or_empty(F.try_variant_get(t, "$.name", "string")))
-    return (
-        F.when(~_object_or_absent(result), F.lit(None))
-        .when(_absent(listed), F.array().cast("array<string>"))
-        .when(F.coalesce(well_formed, F.lit(False)), names)
-    )
-
-
-def tools_failure(response: Column, doc: Column, names: Column, mcp: Column) -> Column:
-    status = response["status_code"]
-    least = F.coalesce(mcp["min_tool_count"], F.lit(0))
-    required = F.coalesce(mcp["required_tools"], F.array().cast("array<string>"))
-    missing = F.array_sort(F.filter(required, lambda r: ~F.array_contains(names, r)))
-    own = (
-        F.when(response.isNull(), F.lit(None))
-        .when(
-            names.isNull(),
-            outcome(False, status, F.lit(f"Failed to decode {TOOLS} result: unexpected JSON type")),
-        )
-        .when(
-            F.size(names) < least,
-            outcome(
-                False,
-                status,
-                F.format_string(f"{TOOLS} returned %d tools, need at least %d", F.size(names), least),
-            ),
-        )
-        .when(
-            F.size(missing) > 0,
-            outcome(
-                False,
-                status,
-                F.concat(F.lit(f"{TOOLS} missing required tools: "), F.array_join(missing, ", ")),
-            ),
-        )
-    )
-    return F.coalesce(reply_failure(response, doc, TOOLS), own)
-
-
-def tools_success(response: Column, names: Column) -> Column:
-    text = F.format_string("MCP tool validation succeeded (%d tools)", F.size(names))
-    return F.when(response.isNotNull(), outcome(True, response["status_code"], text))
+    tools = _at(doc, "$.v.result.tools", "array<variant>")
+    well_formed = f"forall({tools}, t -> {_object_or_absent('t')} AND {_scalar_or_absent('t', '$.name', 'STRING')})"
+    return f"""
+    CASE
+      WHEN NOT {_object_or_absent(doc, "$.v.result")} THEN NULL
+      WHEN {_absent(_at(doc, "$.v.result.tools"))} THEN CAST(array() AS ARRAY<STRING>)
+      WHEN coalesce({well_formed}, false)
+        THEN transform({tools}, t -> coalesce({_at("t", "$.name", "string")}, ''))
+    END"""
+
+
+def tools_failure(response: str, doc: str, names: str, mcp: str) -> str:
+    status, least = status_of(response), f"coalesce({mcp}.min_tool_count, 0)"
+    missing = f"filter({mcp}.required_tools, r -> NOT array_contains({names}, r))"
+    undecoded = literal(f"Failed to decode {TOOLS} result: unexpected JSON type")
+    few = f"{literal(f'{TOOLS} returned ')} || size({names}) || ' tools, need at least ' || {least}"
+    lacking = f"{literal(f'{TOOLS} missing required tools: ')} || array_join(array_sort({missing}), ', ')"
+    return f"""
+    coalesce({reply_failure(response, doc, TOOLS)},
+    CASE
+      WHEN {response} IS NULL THEN NULL
+      WHEN {names} IS NULL THEN {outcome(False, status, undecoded)}
+      WHEN size({names}) < {least} THEN {outcome(False, status, few)}
+      WHEN size({missing}) > 0 THEN {outcome(False, status, lacking)}
+    END)"""
+
+
+def tools_success(response: str, names: str) -> str:
+    text = f"'MCP tool validation succeeded (' || size({names}) || ' tools)'"
+    return f"CASE WHEN {response} IS NOT NULL THEN {outcome(True, status_of(response), text)} END"

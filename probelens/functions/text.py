@@ -39,6 +39,18 @@ def quoted(text: Column) -> Column:
     return F.concat(F.lit('"'), _replace_all(text, QUOTE_ESCAPES), F.lit('"'))
 
 
+def literal(text: str) -> str:
+    """The text as a SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def quoted_sql(text: str) -> str:
+    """`quoted` for an expression given as SQL text."""
+    for old, new in QUOTE_ESCAPES:
+        text = f"replace({text}, {literal(old)}, {literal(new)})"
+    return f"('\"' || {text} || '\"')"
+
+
 def json_line(value: Column) -> Column:
     """Compact JSON of a struct; nulls are kept, markup characters are escaped."""
     return _replace_all(F.to_json(value, {"ignoreNullFields": "false"}), JSON_ESCAPES)

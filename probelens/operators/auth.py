@@ -170,33 +170,41 @@ def credential_store(canaries: DataFrame, secrets: DataFrame, with_values: bool
 
 
 def runtime_auth_errors(probes: DataFrame, credentials: DataFrame) -> DataFrame:
-    """Probes whose request would fail for auth, with the error of the first failing credential."""
+    """Probes whose request would fail for auth, with the error of the first failing credential.
+
+    One lookup serves all credentials: a probe is one row per credential it needs, and only failing rows
+    are grouped again.
+    """
     auth = F.col("auth")
-    kind = auth["type"]
-    first = (
-        F.when(kind == "basic", auth["username_credential_id"])
-        .when(kind == "bearer", auth["token_credential_id"])
-        .when(kind == "apiKey", auth["value_credential_id"])
-    )
-    second = F.when(kind == "basic", auth["password_credential_id"])
-    found = probes.where(auth.isNotNull()).withColumns({"_id0": first, "_id1": second})
-    known = credentials.select("credential_id")
-    for i in (0, 1):
-        side = known.withColumn(f"_is{i}", F.lit(True))
-        found = lookup_join(
-            found.withColumn("credential_id", F.col(f"_id{i}")), side, on=["credential_id"], spread_by=["name"], how="left"
-        ).drop("credential_id")
+    kind = text_or_empty(auth["type"])
 
-    def credential_error(i: int) -> Column:
-        held = F.col(f"_id{i}")
-        return F.when(is_blank(held), F.lit("missing credential reference")).when(
-            F.col(f"_is{i}").isNull(), F.concat(F.lit("missing credential "), quoted(held))
-        )
+    def needed(order: int, held: Column, error: Column | None = None) -> Column:
+        text = F.lit(None).cast("string") if error is None else error
+        return F.struct(F.lit(order).alias("ord"), held.alias("credential_id"), text.alias("error"))
 
-    error = (
-        F.when(~text_or_empty(kind).isin("basic", "bearer", "apiKey"), F.concat(F.lit("unsupported auth type "), quoted(text_or_empty(kind))))
-        .when((kind == "apiKey") & is_blank(auth["header_name"]), F.lit("apiKey auth is missing headerName"))
-        .when(kind == "basic", F.coalesce(credential_error(0), credential_error(1)))
-        .otherwise(credential_error(0))
+    def unusable(error: Column) -> Column:
+        return F.array(needed(0, F.lit(None).cast("string"), error))
+
+    rows = (
+        F.when(
+            kind == "basic",
+            F.array(needed(0, auth["username_credential_id"]), needed(1, auth["password_credential_id"])),
+        )
+        .when(kind == "bearer", F.array(needed(0, auth["token_credential_id"])))
+        .when(
+            (kind == "apiKey") & is_blank(auth["header_name"]), unusable(F.lit("apiKey auth is missing headerName"))
+        )
+        .when(kind == "apiKey", F.array(needed(0, auth["value_credential_id"])))
+        .otherwise(unusable(F.concat(F.lit("unsupported auth type "), quoted(kind))))
+    )
+    wanted = probes.where(auth.isNotNull()).select("name", auth["type"].alias("auth_type"), F.inline(rows))
+    held = credentials.select("credential_id", F.lit(True).alias("_held"))
+    found = lookup_join(wanted, held, on=["credential_id"], spread_by=["name"], how="left")
+    identifier = F.col("credential_id")
+    error = F.coalesce(
+        F.col("error"),
+        F.when(is_blank(identifier), F.lit("missing credential reference")),
+        F.when(F.col("_held").isNull(), F.concat(F.lit("missing credential "), quoted(identifier))),
     )
-    return found.select("name", kind.alias("auth_type"), error.alias("error")).where("error IS NOT NULL")
+    failing = found.withColumn("error", error).where("error IS NOT NULL")
+    return failing.groupBy("name", "auth_type").agg(F.min_by("error", "ord").alias("error"))

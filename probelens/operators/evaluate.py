@@ -11,14 +11,12 @@ Two inputs, same verdicts:
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probelens.functions import jsonrpc, routing
-from probelens.functions.text import text_or_empty
 from probelens.functions.verdict import outcome, request_verdict
 from probelens.operators.joins import lookup_join
 from probelens.operators.specs import mode_of
@@ -41,102 +39,91 @@ _PROBE_COLUMNS = ["url", "expected_status", "contains_text", "mcp", "journey", "
 _RESPONSE_FIELDS = ["seq", "stage", "status_code", "body", "error_kind", "error"]
 
 
+# Responses of a tool-listing check by stage, in the array form.
+_CALLS = [f"get(responses, {i})" for i in range(len(jsonrpc.STAGES))]
+
+
 @dataclass(frozen=True)
 class Mode:
-    """How one kind of probe is judged.
+    """How one kind of probe is judged; every field is SQL text (see `functions.verdict`).
 
-    `cycle` judges the array form from the probe and the responses; `row` judges one exchange with its
-    parsed body; `last` is the position of the request that completes the check. Verdicts are structs
-    (healthy, status_code, message, expected_status); null means that nothing is there to judge.
+    `cycle` judges the array form from `p` (the probe) and `responses`; `row` judges one exchange `r`;
+    `last` is the position of the request that completes the check. `before_cycle` and `before_row` name
+    columns these read more than once, in steps: they are computed ahead, and only for this mode.
     """
 
-    cycle: Callable[[Column, Column], Column]
-    row: Callable[[Column, Column, Column], Column]
-    last: Callable[[Column], Column]
-
-
-def _config_error(p: Column) -> Column:
-    return outcome(False, F.lit(0), p["config_error"], F.coalesce(p["expected_status"], F.lit(0)))
-
-
-def _single(p: Column, response: Column) -> Column:
-    return request_verdict(response, p["expected_status"], p["contains_text"])
-
-
-def _step(step: Column, position: Column, response: Column) -> Column:
-    prefix = F.format_string("Step %d (%s) failed: ", position, text_or_empty(step["name"]))
-    return request_verdict(response, step["expected_status"], step["contains_text"], prefix)
-
-
-def _journey_success(p: Column, status: Column) -> Column:
-    text = F.format_string("Synthetic journey succeeded (%d steps)", F.size(p["journey"]))
-    return outcome(True, status, text, F.coalesce(p["expected_status"], F.lit(0)))
-
-
-def _step_verdicts(p: Column, responses: Column) -> Column:
-    def at(i: Column) -> Column:
-        return F.get(F.filter(responses, lambda r: r["seq"] == i), F.lit(0))
-
-    return F.transform(p["journey"], lambda s, i: _step(s, i + 1, at(i)))
-
+    cycle: str
+    row: str
+    last: str
+    before_cycle: tuple[dict[str, str], ...] = ()
+    before_row: tuple[dict[str, str], ...] = ()
 
-def _journey_cycle(p: Column, responses: Column) -> Column:
-    steps = F.col("_steps")
-    failed = F.get(F.filter(steps, lambda v: ~v["healthy"]), F.lit(0))
-    complete = F.forall(steps, lambda v: v.isNotNull())
-    return F.coalesce(failed, F.when(complete, _journey_success(p, F.element_at(steps, -1)["status_code"])))
 
+_CONFIG_ERROR = outcome(False, "0", "p.config_error", "coalesce(p.expected_status, 0)")
 
-def _journey_row(p: Column, response: Column, doc: Column) -> Column:
-    return _step(F.get(p["journey"], response["seq"]), response["seq"] + 1, response)
 
+def _single(response: str) -> str:
+    return request_verdict(response, "p.expected_status", "p.contains_text")
 
-def _mcp_cycle(p: Column, responses: Column) -> Column:
-    init, note, tools = (F.get(responses, F.lit(i)) for i in range(3))
-    names = F.col("_names")
-    return F.coalesce(
-        jsonrpc.initialize_failure(init, F.col("_doc0"), p["mcp"]),
-        jsonrpc.notification_failure(note),
-        jsonrpc.tools_failure(tools, F.col("_doc2"), names, p["mcp"]),
-        jsonrpc.tools_success(tools, names),
-    )
 
+def _step(step: str, index: str, response: str) -> str:
+    prefix = f"'Step ' || ({index} + 1) || ' (' || coalesce({step}.name, '') || ') failed: '"
+    return request_verdict(response, f"{step}.expected_status", f"{step}.contains_text", prefix)
 
-def _mcp_row(p: Column, response: Column, doc: Column) -> Column:
-    names = F.col("_names")
-    passed = jsonrpc.outcome(True, response["status_code"], F.lit(None).cast("string"))
-    seq = response["seq"]
-    return (
-        F.when(seq == 0, F.coalesce(jsonrpc.initialize_failure(response, doc, p["mcp"]), passed))
-        .when(seq == 1, F.coalesce(jsonrpc.notification_failure(response), passed))
-        .when(
-            seq == 2,
-            F.coalesce(
-                jsonrpc.tools_failure(response, doc, names, p["mcp"]), jsonrpc.tools_success(response, names)
-            ),
-        )
-    )
 
+_JOURNEY_TEXT = "'Synthetic journey succeeded (' || size(p.journey) || ' steps)'"
+_JOURNEY_OK = outcome(True, "element_at(_steps, -1).status_code", _JOURNEY_TEXT, "coalesce(p.expected_status, 0)")
+_STEPS = f"transform(p.journey, (s, i) -> {_step('s', 'i', 'get(filter(responses, x -> x.seq = i), 0)')})"
 
 # A new kind of probe is one more entry here and one more branch in `mode_of`.
 MODES: dict[str, Mode] = {
-    "config_error": Mode(lambda p, rs: _config_error(p), lambda p, r, d: _config_error(p), lambda p: F.lit(0)),
-    "mcp": Mode(_mcp_cycle, _mcp_row, lambda p: F.lit(len(jsonrpc.STAGES) - 1)),
-    "journey": Mode(_journey_cycle, _journey_row, lambda p: F.size(p["journey"]) - 1),
-    "single": Mode(
-        lambda p, rs: _single(p, F.get(rs, F.lit(0))),
-        lambda p, r, d: F.when(r["seq"] == 0, _single(p, r)),
-        lambda p: F.lit(0),
+    "config_error": Mode(cycle=_CONFIG_ERROR, row=_CONFIG_ERROR, last="0"),
+    "mcp": Mode(
+        cycle=f"""coalesce({jsonrpc.initialize_failure(_CALLS[0], "_doc0", "p.mcp")},
+            {jsonrpc.notification_failure(_CALLS[1])},
+            {jsonrpc.tools_failure(_CALLS[2], "_doc2", "_names", "p.mcp")},
+            {jsonrpc.tools_success(_CALLS[2], "_names")})""",
+        row=f"""CASE r.seq
+            WHEN 0 THEN coalesce({jsonrpc.initialize_failure("r", "_doc", "p.mcp")},
+                                 {jsonrpc.outcome(True, "r.status_code", "CAST(NULL AS STRING)")})
+            WHEN 1 THEN coalesce({jsonrpc.notification_failure("r")},
+                                 {jsonrpc.outcome(True, "r.status_code", "CAST(NULL AS STRING)")})
+            WHEN 2 THEN coalesce({jsonrpc.tools_failure("r", "_doc", "_names", "p.mcp")},
+                                 {jsonrpc.tools_success("r", "_names")}) END""",
+        last=str(len(jsonrpc.STAGES) - 1),
+        before_cycle=(
+            {"_doc0": jsonrpc.parse_body(f"{_CALLS[0]}.body"), "_doc2": jsonrpc.parse_body(f"{_CALLS[2]}.body")},
+            {"_names": jsonrpc.tool_names("_doc2")},
+        ),
+        before_row=(
+            {"_doc": f"CASE WHEN r.seq IN (0, 2) THEN {jsonrpc.parse_body('r.body')} END"},
+            {"_names": f"CASE WHEN r.seq = 2 THEN {jsonrpc.tool_names('_doc')} END"},
+        ),
     ),
+    "journey": Mode(
+        cycle=f"""coalesce(get(filter(_steps, v -> NOT v.healthy), 0),
+            CASE WHEN forall(_steps, v -> v IS NOT NULL) THEN {_JOURNEY_OK} END)""",
+        row=_step("get(p.journey, r.seq)", "r.seq", "r"),
+        last="size(p.journey) - 1",
+        before_cycle=({"_steps": _STEPS},),
+    ),
+    "single": Mode(cycle=_single("get(responses, 0)"), row=_single("r"), last="0"),
 }
 
 
-def _by_mode(pick: Callable[[Mode], Column]) -> Column:
-    chosen = None
-    for name, mode in MODES.items():
-        test, value = F.col("mode") == name, pick(mode)
-        chosen = F.when(test, value) if chosen is None else chosen.when(test, value)
-    return chosen
+def _by_mode(field: str, modes: tuple[str, ...]) -> Column:
+    branches = " ".join(f"WHEN '{name}' THEN {getattr(MODES[name], field)}" for name in modes)
+    return F.expr(f"CASE mode {branches} END")
+
+
+def _staged(df: DataFrame, field: str, modes: tuple[str, ...]) -> DataFrame:
+    """Add the columns the modes compute ahead; null for rows of other modes."""
+    for name in modes:
+        for columns in getattr(MODES[name], field):
+            df = df.withColumns(
+                {c: F.expr(f"CASE WHEN mode = '{name}' THEN {text} END") for c, text in columns.items()}
+            )
+    return df
 
 
 def _probe_side(probes: DataFrame) -> DataFrame:
@@ -164,24 +151,15 @@ def cycles_with_probes(cycles: DataFrame, probes: DataFrame) -> DataFrame:
     return lookup_join(cycles, _probe_side(probes), on=["probe"], spread_by=["cycle_id"])
 
 
-def _parsed(body: Column, wanted: Column) -> Column:
-    return F.when(wanted, jsonrpc.parse_body(body))
+ALL_MODES = tuple(MODES)
 
 
-def evaluate_cycles(cycles: DataFrame, probes: DataFrame) -> DataFrame:
-    """Verdict of every cycle; `healthy` is null where responses are missing and none failed."""
-    joined = cycles_with_probes(cycles, probes)
-    is_mcp = F.col("mode") == "mcp"
-    p, responses = F.col("p"), F.col("responses")
-    # What the verdicts read many times is computed once before them, and only for the kind that needs it.
-    staged = joined.withColumns(
-        {
-            "_doc0": _parsed(F.get(responses, F.lit(0))["body"], is_mcp),
-            "_doc2": _parsed(F.get(responses, F.lit(2))["body"], is_mcp),
-            "_steps": F.when(F.col("mode") == "journey", _step_verdicts(p, responses)),
-        }
-    ).withColumn("_names", F.when(is_mcp, jsonrpc.tool_names(F.col("_doc2"))))
-    verdict = _by_mode(lambda m: m.cycle(p, responses))
+def evaluate_cycles(cycles: DataFrame, probes: DataFrame, modes: tuple[str, ...] = ALL_MODES) -> DataFrame:
+    """Verdict of every cycle; `healthy` is null where responses are missing and none failed.
+
+    `modes` limits what is evaluated to the kinds known to be in `probes`.
+    """
+    staged = _staged(cycles_with_probes(cycles, probes), "before_cycle", modes)
     # A generator keeps later filters on the verdict from being evaluated a second time below it.
     return staged.select(
         F.col("probe").alias("name"),
@@ -192,13 +170,13 @@ def evaluate_cycles(cycles: DataFrame, probes: DataFrame) -> DataFrame:
         "mode",
         "to_metrics",
         "to_lines",
-        F.inline(F.array(verdict)),
+        F.inline(F.array(_by_mode("cycle", modes))),
     ).select(RESULT_COLUMNS)
 
 
-def check_results(cycles: DataFrame, probes: DataFrame) -> DataFrame:
+def check_results(cycles: DataFrame, probes: DataFrame, modes: tuple[str, ...] = ALL_MODES) -> DataFrame:
     """The result log: one uniform row per complete cycle, whatever the kind of its probe."""
-    return evaluate_cycles(cycles, probes).where(F.col("healthy").isNotNull())
+    return evaluate_cycles(cycles, probes, modes).where(F.col("healthy").isNotNull())
 
 
 def incomplete_cycles(cycles: DataFrame, probes: DataFrame) -> DataFrame:
@@ -209,7 +187,7 @@ def incomplete_cycles(cycles: DataFrame, probes: DataFrame) -> DataFrame:
 def results_of_mode(cycles: DataFrame, probes: DataFrame, mode: str) -> DataFrame:
     """The result log of one kind of probe; the filter reaches the probe table before the join."""
     chosen = probes.where(mode_of(*[_column_or_null(probes, c) for c in ("config_error", "mcp", "journey")]) == mode)
-    return check_results(cycles, chosen)
+    return check_results(cycles, chosen, (mode,))
 
 
 def _column_or_null(probes: DataFrame, column: str) -> Column:
@@ -238,35 +216,32 @@ def mcp_stages(cycles: DataFrame, probes: DataFrame) -> DataFrame:
     `initialize_reply` and `tools_reply` cover transport and envelope, `initialize`, `notification` and
     `tools` the whole stage.
     """
-    joined = cycles_with_probes(cycles, probes).where(F.col("mode") == "mcp")
-    responses, mcp = F.col("responses"), F.col("p.mcp")
-    init, note, tools = (F.get(responses, F.lit(i)) for i in range(3))
-    staged = joined.withColumns(
-        {"_doc0": jsonrpc.parse_body(init["body"]), "_doc2": jsonrpc.parse_body(tools["body"])}
-    ).withColumn("_names", jsonrpc.tool_names(F.col("_doc2")))
-    doc0, doc2, names = F.col("_doc0"), F.col("_doc2"), F.col("_names")
+    joined = cycles_with_probes(cycles, probes).where("mode = 'mcp'")
+    staged = _staged(joined, "before_cycle", ("mcp",))
+    init, note, tools = _CALLS
+    stages = {
+        "initialize_reply": jsonrpc.reply_failure(init, "_doc0", jsonrpc.INITIALIZE),
+        "initialize": jsonrpc.initialize_failure(init, "_doc0", "p.mcp"),
+        "notification": jsonrpc.notification_failure(note),
+        "tools_reply": jsonrpc.reply_failure(tools, "_doc2", jsonrpc.TOOLS),
+        "tools": jsonrpc.tools_failure(tools, "_doc2", "_names", "p.mcp"),
+        "tool_count": "size(_names)",
+    }
     return staged.select(
-        "cycle_id",
-        F.col("probe").alias("name"),
-        jsonrpc.reply_failure(init, doc0, jsonrpc.INITIALIZE).alias("initialize_reply"),
-        jsonrpc.initialize_failure(init, doc0, mcp).alias("initialize"),
-        jsonrpc.notification_failure(note).alias("notification"),
-        jsonrpc.reply_failure(tools, doc2, jsonrpc.TOOLS).alias("tools_reply"),
-        jsonrpc.tools_failure(tools, doc2, names, mcp).alias("tools"),
-        F.size(names).alias("tool_count"),
+        "cycle_id", F.col("probe").alias("name"), *[F.expr(text).alias(name) for name, text in stages.items()]
     )
 
 
 def _planned(exchanges: DataFrame, probes: DataFrame) -> DataFrame:
     """Exchanges with their probe, limited to requests the probe sends."""
-    side = _probe_side(probes).withColumn("_last", _by_mode(lambda m: m.last(F.col("p"))))
+    side = _probe_side(probes).withColumn("_last", _by_mode("last", ALL_MODES))
     joined = lookup_join(exchanges, side, on=["probe"], spread_by=["cycle_id", "seq"])
     return joined.where((F.col("seq") >= 0) & (F.col("seq") <= F.col("_last")))
 
 
 def unplanned_exchanges(exchanges: DataFrame, probes: DataFrame) -> DataFrame:
     """Rows no planned request explains: unknown probe, or a position beyond the plan."""
-    side = _probe_side(probes).select("probe", _by_mode(lambda m: m.last(F.col("p"))).alias("_last"))
+    side = _probe_side(probes).select("probe", _by_mode("last", ALL_MODES).alias("_last"))
     joined = lookup_join(exchanges, side, on=["probe"], spread_by=["cycle_id", "seq"], how="left")
     beyond = F.col("_last").isNull() | (F.col("seq") > F.col("_last")) | (F.col("seq") < 0)
     return joined.where(beyond).select(exchanges.columns)
@@ -313,13 +288,8 @@ def assemble_cycles(
 def request_verdicts(exchanges: DataFrame, probes: DataFrame) -> DataFrame:
     """Judge every planned exchange in place; the body does not leave this projection."""
     rows = _planned(exchanges, probes)
-    is_mcp, seq = F.col("mode") == "mcp", F.col("seq")
-    judged = (
-        rows.withColumn("_doc", _parsed(F.col("body"), is_mcp & seq.isin(0, 2)))
-        .withColumn("_names", F.when(is_mcp & (seq == 2), jsonrpc.tool_names(F.col("_doc"))))
-        .withColumn("_r", F.struct(*_RESPONSE_FIELDS))
-        .withColumn("v", _by_mode(lambda m: m.row(F.col("p"), F.col("_r"), F.col("_doc"))))
-    )
+    staged = _staged(rows.withColumn("r", F.struct(*_RESPONSE_FIELDS)), "before_row", ALL_MODES)
+    judged = staged.withColumn("v", _by_mode("row", ALL_MODES))
     return judged.select(
         "cycle_id",
         "probe",

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from probelens import schemas
+from probelens.functions.text import literal
 from probelens.functions.verdict import request_verdict
 from probelens.operators import auth, evaluate, metrics, specs, status
 from probelens.operators.specs import spec_defaults
@@ -360,7 +361,7 @@ def config_error_results(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def request_verdict_(spark: SparkSession, sf: str) -> DataFrame:
-    verdict = request_verdict(F.col("r"), F.lit(200), F.lit('lang="fr"'))
+    verdict = F.expr(request_verdict("r", "200", literal('lang="fr"')))
     return fx.page_responses(spark, sf).select("page_id", "url", verdict.alias("v")).select("page_id", "url", "v.*")
 
 

@@ -105,7 +105,8 @@ def canaries(spark: SparkSession, sf_dir: str, namespace: str | None = None) ->
         (F.lit(namespace) if namespace else F.lower("c_mktsegment")).alias("namespace"),
         F.concat(F.lit("canary-"), k).alias("name"),
         F.timestamp_seconds(F.lit(EPOCH_2024) + k * 60).alias("created_at"),
-        spec.alias("spec"),
+        # A generator, so that the struct is built once per row and not inlined into every rule that reads it.
+        F.explode(F.array(spec)).alias("spec"),
     )
     return _typed(rows, schemas.CANARIES)
 

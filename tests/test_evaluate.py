@@ -214,4 +214,4 @@ def test_evaluation_of_cycles_does_not_shuffle_them(spark):
     ps = probes(spark, probe("default/user-1"))
     plan = evaluate.check_results(spark.read.parquet(path), ps)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
-    assert plan.count("Expected %d but got %d") == 2  # single and journey step: no verdict is computed twice
+    assert plan.count("Expected ") == 2  # single and journey step: no verdict is computed twice
