@@ -20,6 +20,7 @@ from probelens.functions import jsonrpc, routing
 from probelens.functions.verdict import outcome, request_verdict
 from probelens.operators.joins import lookup_join
 from probelens.operators.specs import mode_of
+from probelens.schemas import PROBES
 
 RESULT_COLUMNS = [
     "name",
@@ -141,8 +142,6 @@ def _probe_side(probes: DataFrame) -> DataFrame:
 
 
 def _absent(column: str) -> Column:
-    from probelens.schemas import PROBES
-
     return F.lit(None).cast(PROBES[column].dataType).alias(column)
 
 
@@ -257,16 +256,17 @@ CYCLE = ["cycle_id", "probe"]
 
 
 def assemble_cycles(
-    exchanges: DataFrame, probes: DataFrame, replays: bool = False, keys: list[str] = CYCLE
+    exchanges: DataFrame, probes: DataFrame, unique: bool = False, keys: list[str] = CYCLE
 ) -> DataFrame:
     """One `check_cycles` row per check, responses in request order.
 
     Only planned requests take part, so an array is no longer than the plan in its probe's row;
-    `unplanned_exchanges` gives the others. Set `replays` for a feed that may deliver a row twice: the
-    first arrival then counts.
+    `unplanned_exchanges` gives the others. A feed may deliver a row many times: the first arrival
+    counts, and copies are dropped before the shuffle. Say `unique` for a log that holds every request
+    once, to save that step.
     """
     rows = _planned(exchanges, probes).select(*keys, "started_at", "finished_at", *_RESPONSE_FIELDS)
-    if replays:
+    if not unique:
         rows = _first_arrivals(rows, [*keys, "seq"], ["started_at", "finished_at", "status_code"])
     return (
         rows.groupBy(*keys)
@@ -307,17 +307,23 @@ def request_verdicts(exchanges: DataFrame, probes: DataFrame) -> DataFrame:
     )
 
 
-def evaluate_exchanges(
-    exchanges: DataFrame, probes: DataFrame, replays: bool = False, keys: list[str] = CYCLE
-) -> DataFrame:
+def evaluate_exchanges(exchanges: DataFrame, probes: DataFrame, unique: bool = False) -> DataFrame:
     """Verdict of every check straight from its exchange rows; `healthy` is null where rows are missing.
 
+    Copies of a row count once, as in `assemble_cycles`; `unique` saves the step.
+    """
+    rows = request_verdicts(exchanges, probes)
+    if not unique:
+        rows = _first_arrivals(rows, [*CYCLE, "seq"], ["started_at", "finished_at", "v"])
+    return combine_verdicts(rows, CYCLE)
+
+
+def combine_verdicts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Verdicts of requests (each once) to verdicts of checks.
+
     The first failing request decides. Without one, the check is healthy if all planned requests are
     there. Both need only minima, maxima and a count, which combine before the shuffle.
     """
-    rows = request_verdicts(exchanges, probes)
-    if replays:
-        rows = _first_arrivals(rows, [*keys, "seq"], ["started_at", "finished_at"])
     failed = F.when(~F.col("v.healthy"), F.struct("seq", "v"))
     grouped = rows.groupBy(*keys).agg(
         F.min(failed).alias("_failed"),
@@ -357,8 +363,6 @@ def evaluate_exchanges(
     )
 
 
-def exchange_results(
-    exchanges: DataFrame, probes: DataFrame, replays: bool = False, keys: list[str] = CYCLE
-) -> DataFrame:
+def exchange_results(exchanges: DataFrame, probes: DataFrame, unique: bool = False) -> DataFrame:
     """The result log straight from exchange rows; same rows as assembling cycles first."""
-    return evaluate_exchanges(exchanges, probes, replays, keys).where(F.col("healthy").isNotNull())
+    return evaluate_exchanges(exchanges, probes, unique).where(F.col("healthy").isNotNull())

@@ -2,21 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from probelens.session import settled
+
 SALTS = 16
 _SALT = "_salt"
 
 
-def fits_broadcast(table: DataFrame) -> bool:
-    """Whether Spark's own size estimate is below the session's broadcast limit."""
-    limit = table.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10MB")
-    units = {"b": 1, "kb": 1 << 10, "k": 1 << 10, "mb": 1 << 20, "m": 1 << 20, "gb": 1 << 30, "g": 1 << 30}
-    digits = limit.lower().rstrip("bkmg")
-    bound = int(digits) * units.get(limit.lower()[len(digits) :] or "b", 1)
-    estimate = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return 0 <= estimate <= bound
+# Plan nodes behind which Spark's size estimate can be far too high.
+_ESTIMATED = ("Join", "Aggregate", "Generate", "Union")
+
+
+def broadcast_limit(spark: SparkSession) -> int:
+    """The session's limit in bytes; negative when broadcasts are off."""
+    text = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10MB").lower()
+    units = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
+    digits = text.rstrip("bkmg")
+    return int(digits) * units[text[len(digits) :]]
+
+
+def _estimate(table: DataFrame) -> int:
+    return int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def sized(table: DataFrame) -> tuple[DataFrame, bool]:
+    """The table and whether it is below the broadcast limit.
+
+    A scan is judged by its files. A computed table that seems too large is written once to the shared
+    folder and judged by what was written: joining the large side by shuffle costs far more.
+    """
+    limit = broadcast_limit(table.sparkSession)
+    if limit < 0:
+        return table, False
+    if _estimate(table) <= limit:
+        return table, True
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    if not any(node in plan for node in _ESTIMATED):
+        return table, False
+    written = settled(table, "lookup")
+    return written, _estimate(written) <= limit
 
 
 def lookup_join(
@@ -35,7 +61,8 @@ def lookup_join(
     hash of `spread_by`, so no task gets more than about 1/salts of the hottest key.
     """
     if salted is None:
-        salted = not fits_broadcast(table)
+        table, small = sized(table)
+        salted = not small
     if not salted:
         return facts.join(table, on, how)
     salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")

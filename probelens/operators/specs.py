@@ -293,7 +293,8 @@ def planned_checks(probes: DataFrame, start: Column, end: Column) -> DataFrame:
     """Planned check times in [start, end): one at once, then one per interval.
 
     This is the ideal grid; a slow check may in practice skip ticks. An interval below one second has no
-    grid and raises. Long ranges are exploded in two steps, so no single array holds all times of a probe.
+    grid and raises. Long ranges are exploded in two steps, so no single array holds all times of a probe,
+    and the steps between are spread over all tasks: a small probe table makes a very large grid.
     """
     interval = F.col("interval").cast("long")
     checked = F.when(interval >= 1, interval).otherwise(
@@ -307,7 +308,9 @@ def planned_checks(probes: DataFrame, start: Column, end: Column) -> DataFrame:
         "_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / CHUNK).cast("long")))
     )
     first = F.col("_chunk") * CHUNK
-    ticks = chunks.withColumn("_tick", F.explode(F.sequence(first, F.least(last, first + CHUNK - 1))))
+    tasks = int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = chunks.repartition(tasks, "name", "_chunk")
+    ticks = spread.withColumn("_tick", F.explode(F.sequence(first, F.least(last, first + CHUNK - 1))))
     at = F.timestamp_micros(F.col("_begin") + F.col("_tick") * F.col("_every") * 1_000_000)
     return ticks.select("name", (F.col("_tick") + 1).alias("check_number"), at.alias("planned_at"))
 

@@ -148,9 +148,9 @@ def changes_over_windows(
     """Of polled states keep the first and every one that differs from the one before.
 
     `initial` gives the state before the first window (name, phase, last_status, message). The order is
-    needed per probe, and a probe may have most of the rows, so windows are cut into chunks: inside a
-    chunk `lag` finds the state before; the first row of a chunk takes it from the last row of the
-    chunk before, found on a table of one row per probe and chunk.
+    needed per probe, and a probe may have most of the rows, so windows are cut into chunks and `lag` looks
+    inside a chunk only. The state a chunk starts from is the last one of the chunk before; it is found on
+    a table of one row per probe and chunk and put in front of the chunk as a row of its own.
     """
     state = F.struct(*STATE)
     rows = polled.withColumn("_chunk", F.floor(F.col("window_index") / chunk_windows).cast("long"))
@@ -162,15 +162,17 @@ def changes_over_windows(
         before = lookup_join(before, known, on=["name"], spread_by=["_chunk"], how="left").select(
             "name", "_chunk", F.coalesce("_carried", "_initial").alias("_carried")
         )
-    in_chunk = Window.partitionBy("name", "_chunk").orderBy("window_index")
-    lagged = rows.withColumn("_lag", F.lag(state).over(in_chunk)).join(before, ["name", "_chunk"])
-    previous = F.coalesce("_lag", "_carried")
+    carried = before.where(F.col("_carried").isNotNull()).select("name", "_chunk", "_carried.*")
+    in_chunk = Window.partitionBy("name", "_chunk").orderBy(F.col("window_index").asc_nulls_first())
+    lagged = rows.unionByName(carried, allowMissingColumns=True).withColumn("_before", F.lag(state).over(in_chunk))
+    previous = F.col("_before")
     different = previous.isNull() | ~(
         F.col("phase").eqNullSafe(previous["phase"])
         & (F.coalesce("last_status", F.lit(0)) == F.coalesce(previous["last_status"], F.lit(0)))
         & (text_or_empty(F.col("message")) == text_or_empty(previous["message"]))
     )
-    return lagged.where(different).select("name", "window_start", *STATE, "last_check_time")
+    changes = lagged.where(F.col("window_index").isNotNull() & different)
+    return changes.select("name", "window_start", *STATE, "last_check_time")
 
 
 def status_history(

@@ -3,7 +3,8 @@
 Functions without `start_` turn a streaming table into another one. Functions with `start_` attach a sink
 and start the query; they take the folders for output and checkpoint, which must be shared by all
 executors. Sinks that write in `foreachBatch` put each batch into a folder of its number and replace it
-when the batch runs again, so a retried batch leaves the same tables.
+when the batch runs again, so a retried batch leaves the same tables. An output folder belongs to one
+checkpoint: a new checkpoint counts batches from 0 again.
 """
 
 from __future__ import annotations
@@ -28,24 +29,22 @@ def stream_check_results(cycles: DataFrame, probes: DataFrame) -> DataFrame:
     return evaluate.check_results(cycles, probes)
 
 
-def _deduplicated(exchanges: DataFrame, delay: str) -> DataFrame:
-    watermarked = exchanges.withWatermark("cycle_started_at", delay)
-    return watermarked.dropDuplicates([*STREAM_CYCLE, "seq"])
-
-
 def stream_assemble_cycles(exchanges: DataFrame, probes: DataFrame, delay: str) -> DataFrame:
     """Cycles from arriving responses, emitted when the watermark passes their start.
 
     `delay` must exceed the longest check; what comes later is dropped and counted in the query progress.
     Requests outside the plan do not enter the state, and a repeated row is taken once.
     """
-    return evaluate.assemble_cycles(_deduplicated(exchanges, delay), probes, keys=STREAM_CYCLE)
+    rows = exchanges.withWatermark("cycle_started_at", delay).dropDuplicates([*STREAM_CYCLE, "seq"])
+    return evaluate.assemble_cycles(rows, probes, unique=True, keys=STREAM_CYCLE)
 
 
 def stream_exchange_results(exchanges: DataFrame, probes: DataFrame, delay: str) -> DataFrame:
-    """Results from arriving responses; the state holds verdicts, never bodies."""
-    rows = evaluate.exchange_results(_deduplicated(exchanges, delay), probes, keys=STREAM_CYCLE)
-    return rows.select(evaluate.RESULT_COLUMNS)
+    """Results from arriving responses. Rows are judged first, so shuffle and state hold no bodies."""
+    judged = evaluate.request_verdicts(exchanges.withWatermark("cycle_started_at", delay), probes)
+    once = judged.dropDuplicates([*STREAM_CYCLE, "seq"])
+    checks = evaluate.combine_verdicts(once, STREAM_CYCLE).where(F.col("healthy").isNotNull())
+    return checks.select(evaluate.RESULT_COLUMNS)
 
 
 def stream_latest_results(results: DataFrame) -> DataFrame:
@@ -98,8 +97,9 @@ def start_status_history(
 ) -> StreamingQuery:
     """Status writes of closed poll windows, as `path/changes/batch=N`.
 
-    `path/states/batch=N` keeps the state of every probe after batch N. A batch reads the one before it
-    and replaces its own, so running it twice gives the same. `initial` is the state before the stream.
+    `path/polled/batch=N` holds the windows that batch N closed and `path/states/batch=N` the state of
+    every probe after it. A batch reads the states of the one before and replaces its own, so running it
+    twice gives the same; older ones may be removed. `initial` is the state before the stream.
     """
     spark = results.sparkSession
     polled = status.latest_per_window(results.withWatermark("last_check_time", delay), seconds)
@@ -110,11 +110,13 @@ def start_status_history(
         return spark.read.parquet(f"{path}/states/batch={batch_id - 1}")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        known = before(batch_id)
-        changes = status.changes_over_windows(batch, known)
+        # Written once, then read by both tables below, so the stateful part runs once per batch.
+        batch.write.mode("overwrite").parquet(f"{path}/polled/batch={batch_id}")
+        windows, known = spark.read.parquet(f"{path}/polled/batch={batch_id}"), before(batch_id)
+        changes = status.changes_over_windows(windows, known)
         changes.write.mode("overwrite").parquet(f"{path}/changes/batch={batch_id}")
         state = F.struct(*status.STATE)
-        ends = batch.groupBy("name").agg(F.max_by(state, F.col("window_index")).alias("_end"))
+        ends = windows.groupBy("name").agg(F.max_by(state, F.col("window_index")).alias("_end"))
         if known is None:
             after = ends.select("name", "_end.*")
         else:

@@ -189,13 +189,13 @@ def test_rejected_rows_are_kept_apart(spark):
     assert ex.count() == rejected.count() + cycles_.select(F.explode("responses")).count()
 
 
-@pytest.mark.parametrize("replays", [False, True])
-def test_exchange_form_equals_assembled_form(spark, replays):
+@pytest.mark.parametrize("unique", [False, True])
+def test_exchange_form_equals_assembled_form(spark, unique):
     sf = "/root/testdata/sf0.001"
     ex, ps = fx.conversation_exchanges(spark, sf), fx.conversation_probes(spark, sf)
-    given = ex.unionByName(ex) if replays else ex
-    assembled = evaluate.journey_results(evaluate.assemble_cycles(given, ps, replays=replays), ps)
-    assert same(assembled, evaluate.exchange_results(given, ps, replays=replays))
+    given = ex if unique else ex.unionByName(ex)
+    assembled = evaluate.journey_results(evaluate.assemble_cycles(given, ps, unique=unique), ps)
+    assert same(assembled, evaluate.exchange_results(given, ps, unique=unique))
     assert same(assembled, evaluate.exchange_results(ex, ps))
 
 
@@ -203,7 +203,7 @@ def test_repeated_rows_do_not_complete_a_cycle(spark):
     ps = probes(spark, probe("default/j", journey=[step("a"), step("b")]))
     row = {"cycle_id": "c", "probe": "default/j", "seq": 0, "status_code": 200}
     ex = table(spark, schemas.EXCHANGES, row, row)
-    assert evaluate.exchange_results(ex, ps, replays=True).isEmpty()
+    assert evaluate.exchange_results(ex, ps).isEmpty()
 
 
 def test_evaluation_of_cycles_does_not_shuffle_them(spark):

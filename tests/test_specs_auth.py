@@ -249,6 +249,22 @@ def test_salted_lookup_spreads_the_hot_key(spark):
     assert sum(sizes) == 20_000 and len(sizes) > 1 and max(sizes) < 15_000
 
 
+def test_a_computed_lookup_table_is_judged_by_its_true_size(spark):
+    """Spark multiplies the sizes of joined tables; the written table shows that the result is small."""
+    wide = spark.range(2_000).select("id", F.repeat(F.lit("x"), 100).alias("t"))
+    joined = wide.join(wide.withColumnRenamed("t", "u"), "id").where("id < 3").select("id", "t")
+    facts = spark.range(100).select((F.col("id") % 5).alias("id"), F.col("id").alias("n"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20KB")
+    try:
+        found = lookup_join(facts, joined, ["id"], ["n"])
+        assert "_salt" not in found._jdf.queryExecution().optimizedPlan().toString() and found.count() == 60
+        large = lookup_join(facts, wide, ["id"], ["n"])
+        assert "_salt" in large._jdf.queryExecution().optimizedPlan().toString() and large.count() == 100
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_secrets_never_reach_probes(spark):
     sf = "/root/testdata/sf0.001"
     rows = auth.probes_with_auth(specs.spec_defaults(fx.canaries(spark, sf)), fx.secrets(spark, sf))
