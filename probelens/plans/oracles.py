@@ -205,7 +205,7 @@ _part(
     "eh",
     """
 SELECT e.name, b.le, count(*) FILTER (WHERE e.duration_us <= b.upper) AS value
-FROM er e CROSS JOIN bounds b WHERE e.to_metrics GROUP BY e.name, b.le
+FROM er e JOIN bounds b ON e.to_metrics GROUP BY e.name, b.le
 """,
     "er",
     "bounds",
@@ -598,8 +598,7 @@ LEFT JOIN (SELECT namespace, name, string_agg(credential_id, ',' ORDER BY ord) A
         """
 SELECT probe AS name, CAST(n AS BIGINT) AS check_number,
        TIMESTAMP '2024-01-01' + to_seconds((n - 1) * interval_seconds) AS planned_at
-FROM declared, range(1, 102) AS t(n)
-WHERE (n - 1) * interval_seconds < 300
+FROM declared JOIN range(1, 102) AS t(n) ON (n - 1) * interval_seconds < 300
 """,
         "declared",
     ),
