@@ -39,12 +39,12 @@ SELECT c_custkey AS k, c_nationkey AS nk, lower(c_mktsegment) AS namespace, 'can
        CASE c_custkey % 4 WHEN 1 THEN 'GET' WHEN 2 THEN 'POST' WHEN 3 THEN 'HEAD' END AS raw_method,
        CASE WHEN c_custkey % 4 = 2 THEN '{"k":' || c_custkey || '}' END AS body,
        CASE WHEN c_custkey % 3 = 0 THEN CAST(c_custkey AS VARCHAR) END AS probe_id,
-       CASE WHEN c_custkey % 7 > 0 THEN 3 + c_custkey % 40 END AS raw_interval,
+       CASE WHEN c_custkey % 7 > 0 THEN CAST(3 + c_custkey % 40 AS INTEGER) END AS raw_interval,
        CASE c_custkey % 6 WHEN 0 THEN NULL WHEN 5 THEN 700 ELSE 200 END AS raw_status,
        CASE c_custkey % 5 WHEN 1 THEN 'basic' WHEN 2 THEN 'bearer' WHEN 3 THEN 'apiKey' WHEN 4 THEN 'digest' END
          AS auth_type,
        'secret-' || c_nationkey AS secret_name,
-       c_custkey % 11 = 0 AS has_mcp, c_custkey % 3 - 1 AS raw_min_tools,
+       c_custkey % 11 = 0 AS has_mcp, CAST(c_custkey % 3 - 1 AS INTEGER) AS raw_min_tools,
        c_custkey % 13 = 0 AS has_journey,
        CASE (c_custkey // 4) % 4 WHEN 1 THEN 'prometheus' WHEN 2 THEN 'stdout' WHEN 3 THEN 'prometheus,stdout' END
          AS outputs
@@ -323,9 +323,9 @@ FROM journeys WHERE (whole OR NOT healthy) {extra}
 """
 _CYCLES = """
 SELECT cycle_id, any_value(probe) AS probe, min(started_at) AS started_at, max(finished_at) AS finished_at,
-       date_diff('microsecond', min(started_at), max(finished_at)) AS duration_us, count(*) AS n_responses,
+       date_diff('microsecond', min(started_at), max(finished_at)) AS duration_us, CAST(count(*) AS INTEGER) AS n_responses,
        string_agg(status_code, ',' ORDER BY seq) AS status_codes, string_agg(stage, ',' ORDER BY seq) AS stages,
-       sum(length(text)) AS body_chars
+       CAST(sum(length(text)) AS INTEGER) AS body_chars
 FROM planned {where} GROUP BY cycle_id
 """
 # Rows the watermark has released: their time is not after the last one less the delay.
@@ -391,7 +391,7 @@ SELECT name, coalesce(init_reply, init_own, note, tools_own) IS NULL AS healthy,
        TIMESTAMP '2024-01-01' + to_seconds(p_partkey + 1) AS last_check_time,
        coalesce(init_reply, init_own, note, tools_own, 'MCP tool validation succeeded (' || n_tools || ' tools)')
          AS message,
-       'https://tools.example.test/' || b AS url, 200 AS expected_status, cycle_id, 1000000 AS duration_us,
+       'https://tools.example.test/' || b AS url, 200 AS expected_status, cycle_id, CAST(1000000 AS BIGINT) AS duration_us,
        'mcp' AS mode, b % 4 <> 2 AS to_metrics, b % 4 >= 2 AS to_lines
 FROM stages
 """,
@@ -402,7 +402,7 @@ _part(
     """
 SELECT probe AS name, false AS healthy, 0 AS status_code,
        TIMESTAMP '2024-01-01' + to_minutes(k) + INTERVAL 1 MILLISECOND AS last_check_time, config_error AS message,
-       url, expected_status, 'first-' || k AS cycle_id, 1000 AS duration_us, 'config_error' AS mode,
+       url, expected_status, 'first-' || k AS cycle_id, CAST(1000 AS BIGINT) AS duration_us, 'config_error' AS mode,
        coalesce(contains(outputs, 'prometheus'), true) AS to_metrics,
        coalesce(contains(outputs, 'stdout'), false) AS to_lines
 FROM probes WHERE config_error IS NOT NULL
@@ -496,7 +496,7 @@ WHERE NOT EXISTS (SELECT 1 FROM auth_errors a WHERE a.namespace = e.namespace AN
         "auth_errors",
     ),
     "read_exchanges": _sql(
-        "SELECT cycle_id, probe, seq, stage, started_at, status_code, length(text) AS body_chars FROM turns", "turns"
+        "SELECT cycle_id, probe, seq, stage, started_at, status_code, CAST(length(text) AS INTEGER) AS body_chars FROM turns", "turns"
     ),
     "read_results": _sql(
         "SELECT name, healthy, status_code, last_check_time, message, url, expected_status FROM er WHERE to_lines", "er"
@@ -538,7 +538,7 @@ WHERE NOT EXISTS (SELECT 1 FROM violated v WHERE v.namespace = d.namespace AND v
         "violated",
     ),
     "rejected_canaries": _sql(
-        "SELECT namespace, name, count(*) AS n_violations FROM violated GROUP BY namespace, name", "violated"
+        "SELECT namespace, name, CAST(count(*) AS INTEGER) AS n_violations FROM violated GROUP BY namespace, name", "violated"
     ),
     "probe_set": _sql(
         """
