@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from oracle_check import connect, difference, spark_bag, sql_bag
+from probelens.plans.oracles import ORACLES
+from probelens.plans.queries import REGISTRY
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -15,15 +17,15 @@ def con():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(REGISTRY))
 def test_query_equals_sql(spark, con, name):
-    left = spark_bag(queries()[name](spark, SF_DIR))
-    assert difference(left, sql_bag(con, oracle_sql()[name])) is None
+    left = spark_bag(REGISTRY[name](spark, SF_DIR))
+    assert difference(left, sql_bag(con, ORACLES[name])) is None
     assert left[1]
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(REGISTRY) == set(ORACLES)
 
 
 def test_entry(spark):
