@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from probelens.llm.decontaminate import op5_decontaminate
+from probelens.llm.language_id import op7_language_id
+from probelens.llm.substring_dedup import op8_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op5_decontaminate,)}
+QUERIES = {f.__name__: f for f in (op5_decontaminate, op7_language_id, op8_substring_dedup)}
 
 ORACLES: dict[str, str] = {}
