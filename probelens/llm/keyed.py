@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from probelens.llm.words import mix, ranges
+
 SCHEMA = "part INT, owners BINARY, counts BINARY, keys BINARY, extra BINARY"
 _ARROW = pa.schema([("part", pa.int32()), ("owners", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary()), ("extra", pa.binary())])
 
@@ -94,3 +96,76 @@ def binary_array(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     if int(offsets[-1]) < 1 << 31:
         return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
     raise ValueError("more than 2 GiB in one batch")
+
+
+# Answers: what a part found for its documents, sent back to them. They travel packed as well, by a hash of the owner
+# (two 64-bit fields), and come out as one row per owner.
+
+ANSWERS = "bucket INT, part INT, owners BINARY, counts BINARY, found BINARY"
+_ANSWERS_ARROW = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("owners", pa.binary()), ("counts", pa.binary()), ("found", pa.binary())])
+GATHERED = "parts BINARY, counts BINARY, found BINARY"
+
+
+def answers(part: int, owners: np.ndarray, counts: np.ndarray, found: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """Rows of ANSWERS: counts: bytes of `found` that each owner gets."""
+    a, b = (owners[n].view(np.uint64) for n in owners.dtype.names)
+    bucket = part_of(mix(a ^ mix(b)), parts)
+    order = np.argsort(bucket, kind="stable")
+    n, offsets = counts[order], (np.cumsum(counts) - counts)[order]
+    data, ends = found[np.repeat(offsets, n) + ranges(n)], np.concatenate(([0], np.cumsum(n)))
+    cuts = np.searchsorted(bucket[order], np.arange(parts + 1))
+    rows = {name: [] for name in _ANSWERS_ARROW.names}
+    for k in np.flatnonzero(np.diff(cuts)).tolist():
+        low, high = cuts[k], cuts[k + 1]
+        for name, value in zip(rows, (k, part, owners[order[low:high]].tobytes(), n[low:high].astype("<u4").tobytes(), data[ends[low] : ends[high]].tobytes())):
+            rows[name].append(value)
+    if rows["bucket"]:
+        yield pa.RecordBatch.from_pydict(rows, _ANSWERS_ARROW)
+
+
+def gathered(sent: DataFrame, parts: int, owner_type: np.dtype) -> DataFrame:
+    """One row per owner: its two fields, the parts that answered, how much each gave, and what, joined."""
+    names = owner_type.names
+    schema = f"`{names[0]}` BIGINT, `{names[1]}` BIGINT, {GATHERED}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(*(b.column(n).to_pylist() for n in _ANSWERS_ARROW.names[1:]))]
+        if not rows:
+            return
+        owners = np.concatenate([np.frombuffer(r[1], owner_type) for r in rows])
+        counts = [np.frombuffer(r[2], "<u4").astype(np.int64) for r in rows]
+        part = np.repeat([r[0] for r in rows], [len(c) for c in counts]).astype("<i4")
+        counts, found = np.concatenate(counts), np.concatenate([np.frombuffer(r[3], np.uint8) for r in rows])
+        order = np.lexsort((part, owners[names[1]], owners[names[0]]))
+        offsets = (np.cumsum(counts) - counts)[order]
+        owners, counts, part = owners[order], counts[order], part[order]
+        first = np.flatnonzero(np.concatenate(([True], owners[1:] != owners[:-1])))
+        for low in range(0, len(first), 2000):
+            starts = first[low : low + 2000]
+            end = first[low + 2000] if low + 2000 < len(first) else len(owners)
+            n = counts[starts[0] : end]
+            bounds = np.append(starts, end) - starts[0]
+            data = found[np.repeat(offsets[starts[0] : end], n) + ranges(n)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(owners[names[0]][starts]), pa.array(owners[names[1]][starts]), binary_array(part[starts[0] : end].view(np.uint8), 4 * bounds),
+                 binary_array(n.astype("<u4").view(np.uint8), 4 * bounds), binary_array(data, np.concatenate(([0], np.cumsum(n)))[bounds])],
+                names=[*names, "parts", "counts", "found"])
+
+    return sent.repartitionById(parts, F.col("bucket")).mapInArrow(run, schema)
+
+
+def placed(answer: dict | None, keys: np.ndarray, parts: int, default: int) -> np.ndarray:
+    """The value of each of a document's keys, from its gathered answers of one byte a key."""
+    part = part_of(keys, parts)
+    order = np.argsort(part, kind="stable")
+    offsets = np.concatenate(([0], np.cumsum(np.bincount(part, minlength=parts))))
+    ordered = np.full(len(keys), default, np.int64)
+    if answer:
+        at = 0
+        found = np.frombuffer(answer["found"], np.uint8)
+        for p, n in zip(np.frombuffer(answer["parts"], "<i4").tolist(), np.frombuffer(answer["counts"], "<u4").tolist()):
+            ordered[offsets[p] : offsets[p] + n] = found[at : at + n]
+            at += n
+    out = np.empty(len(keys), np.int64)
+    out[order] = ordered
+    return out

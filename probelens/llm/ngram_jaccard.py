@@ -145,26 +145,23 @@ def _deal_rare(hot, parts: int):
     return run
 
 
-_FREQUENCIES = "a BIGINT, b BIGINT, part INT, seen BINARY"
+def _frequencies(parts: int):
+    """For each set with a shingle that another set has: how many sets have each of its shingles, 255 at most."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in keyed.parts(batches, _OWNER, 4):
+            _, entries = np.unique(part.owners, return_index=True)
+            entries.sort()  # a set may come from several tasks
+            n = part.counts[entries]
+            keys = part.keys[np.repeat(part.offsets[entries], n) + ranges(n)]
+            _, which, found = np.unique(keys, return_inverse=True, return_counts=True)
+            often = np.minimum(found, 255).astype(np.uint8)[which]
+            offsets = np.concatenate(([0], np.cumsum(n)))
+            keep = np.flatnonzero(np.maximum.reduceat(often, offsets[:-1]) > 1)
+            at = np.repeat(offsets[keep], n[keep]) + ranges(n[keep])
+            yield from keyed.answers(part.part, part.owners[entries[keep]], n[keep], often[at], parts)
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each set with a shingle that another set has: how many sets have each of its shingles, 255 at most."""
-    for part in keyed.parts(batches, _OWNER, 4):
-        _, entries = np.unique(part.owners, return_index=True)
-        entries.sort()  # a set may come from several tasks
-        n = part.counts[entries]
-        keys = part.keys[np.repeat(part.offsets[entries], n) + ranges(n)]
-        _, which, found = np.unique(keys, return_inverse=True, return_counts=True)
-        often = np.minimum(found, 255).astype(np.uint8)[which]
-        offsets = np.concatenate(([0], np.cumsum(n)))
-        keep = np.flatnonzero(np.maximum.reduceat(often, offsets[:-1]) > 1)
-        for low in range(0, len(keep), 5000):
-            some = keep[low : low + 5000]
-            at = np.repeat(offsets[some], n[some]) + ranges(n[some])
-            own = part.owners[entries[some]]
-            yield pa.RecordBatch.from_arrays([pa.array(own["a"].copy()), pa.array(own["b"].copy()), pa.array(np.full(len(some), part.part, np.int32)),
-                                              keyed.binary_array(often[at], np.concatenate(([0], np.cumsum(n[some]))))], names=["a", "b", "part", "seen"])
+    return run
 
 
 # 3. survivors, their short lists and families
@@ -173,21 +170,11 @@ _SURVIVORS = "id BIGINT, n INT, keys BINARY, short BINARY, hot BINARY"
 _SURVIVORS_ARROW = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("short", pa.binary()), ("hot", pa.binary())])
 
 
-def ranks(keys: np.ndarray, crowded: np.ndarray, seen: list[dict], parts: int) -> np.ndarray:
+def ranks(keys: np.ndarray, crowded: np.ndarray, seen: dict, parts: int) -> np.ndarray:
     """How often each shingle occurs (1 to 255), 256 for hot ones."""
     hot = crowded[bucket_of(keys)]
-    rare = keys[~hot]
-    part = keyed.part_of(rare, parts)
-    order = np.argsort(part, kind="stable")
-    offsets = np.concatenate(([0], np.cumsum(np.bincount(part, minlength=parts))))
-    ordered = np.ones(len(rare), np.int64)
-    for entry in seen or ():
-        found = np.frombuffer(entry["seen"], np.uint8)
-        ordered[offsets[entry["part"]] : offsets[entry["part"]] + len(found)] = found
-    rare_ranks = np.empty(len(rare), np.int64)
-    rare_ranks[order] = ordered
     out = np.full(len(keys), 256, np.int64)
-    out[~hot] = rare_ranks
+    out[~hot] = keyed.placed(seen, keys[~hot], parts, 1)
     return out
 
 
@@ -196,15 +183,18 @@ def _survive(hot, parts: int):
         crowded = hot.value
         for batch in slices(batches, "__text"):
             rows = []
-            for doc, seen, keys in zip(batch.column("__id").to_pylist(), batch.column("seen").to_pylist(), shingle_sets(batch.column("__text"))):
-                rank = ranks(keys, crowded, seen, parts)
+            told = batch.select(["__id", "a", "b", "parts", "counts", "found"]).to_pylist()
+            for seen, keys in zip(told, shingle_sets(batch.column("__text"))):
+                if digest(keys) != (seen["a"], seen["b"]):
+                    continue  # another row of the same id
+                rank = ranks(keys, crowded, seen if seen["found"] is not None else {}, parts)
                 least = need(len(keys))
                 if np.count_nonzero(rank > 1) < least:
                     continue
                 order = np.lexsort((keys, rank))[: len(keys) - least + 1]
                 short = keys[order[(rank[order] > 1) & (rank[order] < 256)]]
                 buckets = np.unique(bucket_of(keys[order[rank[order] == 256]])).astype("<i4")
-                rows.append((doc, len(keys), keys.tobytes(), short.tobytes(), buckets.tobytes()))
+                rows.append((seen["__id"], len(keys), keys.tobytes(), short.tobytes(), buckets.tobytes()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SURVIVORS_ARROW)], schema=_SURVIVORS_ARROW)
 
@@ -444,7 +434,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     Sets are of lower-cased (A-Z) five-word shingles; a text of fewer words is one shingle, a null or blank one is
     empty and linked with nothing. Sets link at a similarity of 0.8; component_id is the smallest id that links
     lead to, the row's own included. Equal sets are always linked. A row without id gets the component of its
-    set, or null if it links with no row that has one. Repeated rows give repeated results; other columns are ignored.
+    set, or null if it links with no row that has one. Rows that repeat an id are one document. Repeated rows give repeated results; other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -455,9 +445,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     hot = spark.sparkContext.broadcast(_hot(scanned))
     reps = sets.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("rep"))
     dealt = texts.select("__text").mapInArrow(_deal_rare(hot, parts), keyed.SCHEMA)
-    seen = keyed.by_part(dealt, parts).mapInArrow(_frequencies, _FREQUENCIES)
-    of_set = seen.groupBy("a", "b").agg(F.collect_list(F.struct("part", "seen")).alias("seen"))
-    told = reps.where("rep IS NOT NULL").join(of_set, ["a", "b"], "left").select(F.col("rep").alias("__id"), "seen")
+    sent = keyed.by_part(dealt, parts).mapInArrow(_frequencies(parts), keyed.ANSWERS)
+    told = reps.where("rep IS NOT NULL").join(keyed.gathered(sent, parts, _OWNER), ["a", "b"], "left").withColumnRenamed("rep", "__id")
     survivors = written(texts.join(told, "__id").mapInArrow(_survive(hot, parts), _SURVIVORS), "survivors")
     short = survivors.select("id", "n", "short").mapInArrow(_deal_short(parts), keyed.SCHEMA)
     meetings = keyed.by_part(short, parts).mapInArrow(_meet, graph.EDGES)

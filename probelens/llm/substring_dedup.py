@@ -25,16 +25,14 @@ from probelens.llm.words import SPACES, Words, ranges, slices
 WIDTH = 50
 KEY_BYTES = 7
 
-#: id: the document's id; text_hash: tells rows of one id with different texts apart.
-_OWNER = np.dtype([("id", "<i8"), ("text_hash", "<i8")])
+#: __id: the document's id; __hash: tells rows of one id with different texts apart.
+_OWNER = np.dtype([("__id", "<i8"), ("__hash", "<i8")])
 _LAST = (1 << 63) - 1
-_FLAGS = "__id BIGINT, __hash BIGINT, part INT, flags BINARY"
-_FLAGS_ARROW = ["__id", "__hash", "part", "flags"]
 
 
 def owners_of(batch: pa.RecordBatch) -> np.ndarray:
     out = np.empty(len(batch), _OWNER)
-    out["id"], out["text_hash"] = batch.column("__id").to_numpy(), batch.column("__hash").to_numpy()
+    out["__id"], out["__hash"] = batch.column("__id").to_numpy(), batch.column("__hash").to_numpy()
     return out
 
 
@@ -48,39 +46,29 @@ def _deal(width: int, parts: int):
     return run
 
 
-def _flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in keyed.parts(batches, _OWNER, KEY_BYTES):
-        order = np.argsort(part.keys)
-        keys = part.keys[order]
-        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        ids = part.owners["id"][part.entry]
-        smallest = np.minimum.reduceat(ids[order], first)
-        repeated = np.empty(len(keys), np.uint8)
-        repeated[order] = ids[order] > np.repeat(smallest, np.diff(np.append(first, len(keys))))
-        keep = np.flatnonzero(np.add.reduceat(repeated, part.offsets[:-1], dtype=np.int64))
-        for low in range(0, len(keep), 5000):
-            some = keep[low : low + 5000]
+def _flag(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in keyed.parts(batches, _OWNER, KEY_BYTES):
+            order = np.argsort(part.keys)
+            keys = part.keys[order]
+            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            ids = part.owners["__id"][part.entry]
+            smallest = np.minimum.reduceat(ids[order], first)
+            repeated = np.empty(len(keys), np.uint8)
+            repeated[order] = ids[order] > np.repeat(smallest, np.diff(np.append(first, len(keys))))
+            _, entries = np.unique(part.owners, return_index=True)  # repeated rows answer once
+            some = entries[np.add.reduceat(repeated, part.offsets[:-1], dtype=np.int64)[entries] > 0]
             n = part.counts[some]
-            at = np.repeat(part.offsets[some], n) + ranges(n)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part.owners["id"][some]), pa.array(part.owners["text_hash"][some]), pa.array(np.full(len(some), part.part, np.int32)),
-                 keyed.binary_array(repeated[at], np.concatenate(([0], np.cumsum(n))))], names=_FLAGS_ARROW)
+            yield from keyed.answers(part.part, part.owners[some], n, repeated[np.repeat(part.offsets[some], n) + ranges(n)], parts)
+
+    return run
 
 
-def repeated_words(flags: list[dict], hashes: np.ndarray, n_words: int, width: int, parts: int) -> np.ndarray:
+def covered_words(repeated: np.ndarray, n_words: int, width: int) -> np.ndarray:
     """For each word, whether a repeated window covers it."""
-    part = keyed.part_of(hashes, parts)
-    order = np.argsort(part, kind="stable")
-    offsets = np.concatenate(([0], np.cumsum(np.bincount(part, minlength=parts))))
-    sorted_flags = np.zeros(len(hashes), np.int64)
-    for entry in flags:
-        bits = np.frombuffer(entry["flags"], np.uint8)
-        sorted_flags[offsets[entry["part"]] : offsets[entry["part"]] + len(bits)] = bits
-    repeated = np.empty(len(hashes), np.int64)
-    repeated[order] = sorted_flags
     opened = np.zeros(n_words + 1, np.int64)
-    opened[: len(hashes)] += repeated
-    opened[width : width + len(hashes)] -= repeated
+    opened[: len(repeated)] += repeated
+    opened[width : width + len(repeated)] -= repeated
     return np.cumsum(opened)[:n_words] > 0
 
 
@@ -97,15 +85,15 @@ _OUT_SQL = "n_words BIGINT, n_removed BIGINT, kept STRING, removed ARRAY<STRUCT<
 def _cut(width: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__text"):
-            flags, rows = batch.column("__flags").to_pylist(), []
-            marked = [i for i, f in enumerate(flags) if f]
+            flags, rows = batch.select(["parts", "counts", "found"]).to_pylist(), []
+            marked = [i for i, f in enumerate(flags) if f["found"] is not None]
             found = {}
             if marked:
                 some = Words(batch.column("__text").take(pa.array(marked)), SPACES)
                 hashes, counts = some.windows(width)
                 ends = np.cumsum(counts)
                 for i, n, end, words in zip(marked, counts, ends, some.counts):
-                    found[i] = repeated_words(flags[i], hashes[end - n : end], int(words), width, parts)
+                    found[i] = covered_words(keyed.placed(flags[i], hashes[end - n : end], parts, 0), int(words), width)
             for i, text in enumerate(batch.column("__text").to_pylist()):
                 words = [w.decode() for w in (text or "").encode().split()]
                 if i in found:
@@ -115,9 +103,7 @@ def _cut(width: int, parts: int):
                 else:
                     rows.append((len(words), 0, " ".join(words), []))
             made = [pa.array(c, t) for c, (_, t) in zip(zip(*rows), _OUT)]
-            carried = [c for c, n in zip(batch.columns, batch.schema.names) if not n.startswith("__")]
-            names = [n for n in batch.schema.names if not n.startswith("__")]
-            yield pa.RecordBatch.from_arrays([*carried, *made], names=[*names, *(n for n, _ in _OUT)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[4:], *made], names=[*batch.schema.names[4:], *(n for n, _ in _OUT)])
 
     return run
 
@@ -134,14 +120,15 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     spark = docs.sparkSession
     small_batches(spark)
     parts = parts_of(spark)
-    keyed_docs = docs.select(*carry, F.coalesce(F.col(doc_id), F.lit(_LAST)).alias("__id"), F.xxhash64(text).alias("__hash"), F.col(text).alias("__text"))
+    kept = [f"__kept_{i}" for i in range(len(carry))]
+    keyed_docs = docs.select(*[F.col(c).alias(k) for c, k in zip(carry, kept)], F.coalesce(F.col(doc_id), F.lit(_LAST)).alias("__id"), F.xxhash64(text).alias("__hash"), F.col(text).alias("__text"))
     dealt = keyed_docs.select("__id", "__hash", "__text").mapInArrow(_deal(width, parts), keyed.SCHEMA)
-    flags = keyed.by_part(dealt, parts).mapInArrow(_flag, _FLAGS)
-    of_doc = flags.groupBy("__id", "__hash").agg(F.collect_list(F.struct("part", "flags")).alias("__flags"))
-    joined = keyed_docs.join(of_doc, ["__id", "__hash"], "left")
-    kept_columns = [f for f in joined.schema.fields if not f.name.startswith("__")]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept_columns] + [_OUT_SQL])
-    return joined.mapInArrow(_cut(width, parts), schema)
+    sent = keyed.by_part(dealt, parts).mapInArrow(_flag(parts), keyed.ANSWERS)
+    flags = keyed.gathered(sent, parts, _OWNER)
+    joined = keyed_docs.join(flags, ["__id", "__hash"], "left").select("__text", "parts", "counts", "found", *[f"`{c}`" for c in kept])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[4:]] + [_OUT_SQL])
+    out = joined.mapInArrow(_cut(width, parts), schema)
+    return out.withColumnsRenamed(dict(zip(kept, carry)))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
