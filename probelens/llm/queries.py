@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from probelens.llm import quality_rules
 from probelens.llm.decontaminate import op5_decontaminate
 from probelens.llm.language_id import op7_language_id
 from probelens.llm.ngram_jaccard import op1_ngram_jaccard
 from probelens.llm.packing import op2_packing
+from probelens.llm.quality_rules import op6_quality_rules
 from probelens.llm.substring_dedup import op8_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_packing, op5_decontaminate, op7_language_id, op8_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_packing, op5_decontaminate, op6_quality_rules, op7_language_id, op8_substring_dedup)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_quality_rules": quality_rules.SQL}
