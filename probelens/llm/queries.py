@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from probelens.llm import quality_rules, warc
 from probelens.llm.decontaminate import op5_decontaminate
+from probelens.llm.html_extract import op4_html_extract
 from probelens.llm.language_id import op7_language_id
 from probelens.llm.ngram_jaccard import op1_ngram_jaccard
 from probelens.llm.packing import op2_packing
@@ -11,6 +12,6 @@ from probelens.llm.quality_rules import op6_quality_rules
 from probelens.llm.substring_dedup import op8_substring_dedup
 from probelens.llm.warc import op10_warc
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_packing, op5_decontaminate, op6_quality_rules, op7_language_id, op8_substring_dedup, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_packing, op4_html_extract, op5_decontaminate, op6_quality_rules, op7_language_id, op8_substring_dedup, op10_warc)}
 
 ORACLES: dict[str, str] = {"op6_quality_rules": quality_rules.SQL, "op10_warc": warc.SQL}
