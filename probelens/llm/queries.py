@@ -6,6 +6,7 @@ from probelens.llm import quality_rules, warc
 from probelens.llm.decontaminate import op5_decontaminate
 from probelens.llm.html_extract import op4_html_extract
 from probelens.llm.language_id import op7_language_id
+from probelens.llm.lm_scoring import op9_lm_scoring
 from probelens.llm.ngram_jaccard import op1_ngram_jaccard
 from probelens.llm.packing import op2_packing
 from probelens.llm.quality_rules import op6_quality_rules
@@ -13,6 +14,6 @@ from probelens.llm.substring_dedup import op8_substring_dedup
 from probelens.llm.toxicity import op3_toxicity
 from probelens.llm.warc import op10_warc
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_packing, op3_toxicity, op4_html_extract, op5_decontaminate, op6_quality_rules, op7_language_id, op8_substring_dedup, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_packing, op3_toxicity, op4_html_extract, op5_decontaminate, op6_quality_rules, op7_language_id, op8_substring_dedup, op9_lm_scoring, op10_warc)}
 
 ORACLES: dict[str, str] = {"op6_quality_rules": quality_rules.SQL, "op10_warc": warc.SQL}
