@@ -75,6 +75,6 @@ def canonical_header(key: Column) -> Column:
     """Header name in its usual spelling; a name that is no plain token stays as it is."""
     words = F.transform(
         F.split(key, "-"),
-        lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1_000_000))),
+        lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.right(w, F.length(w) - 1))),
     )
     return F.when(key.rlike(r"^[!#$%&'*+\-.^_`|~0-9A-Za-z]+$"), F.array_join(words, "-")).otherwise(key)

@@ -20,7 +20,7 @@ from probelens.functions import jsonrpc, routing
 from probelens.functions.verdict import outcome, request_verdict
 from probelens.operators.joins import lookup_join
 from probelens.operators.specs import mode_of
-from probelens.schemas import PROBES
+from probelens.schemas import CHECK_CYCLES, PROBES
 
 RESULT_COLUMNS = [
     "name",
@@ -38,10 +38,18 @@ RESULT_COLUMNS = [
 ]
 _PROBE_COLUMNS = ["url", "expected_status", "contains_text", "mcp", "journey", "outputs", "config_error"]
 _RESPONSE_FIELDS = ["seq", "stage", "status_code", "body", "error_kind", "error"]
+# Of copies of a response the first in this order counts, in every form.
+ARRIVAL = ["started_at", "finished_at", "status_code", "error_kind", "error", "body_hash"]
+VERDICT_ARRIVAL = ["started_at", "finished_at", "tie"]
+
+
+def _response(position: str | int) -> str:
+    """The response to a check's request at a position; null if it is not there."""
+    return f"get(filter(responses, x -> x.seq = {position}), 0)"
 
 
 # Responses of a tool-listing check by stage, in the array form.
-_CALLS = [f"get(responses, {i})" for i in range(len(jsonrpc.STAGES))]
+_CALLS = [_response(i) for i in range(len(jsonrpc.STAGES))]
 
 
 @dataclass(frozen=True)
@@ -49,7 +57,8 @@ class Mode:
     """How one kind of probe is judged; every field is SQL text (see `functions.verdict`).
 
     `cycle` judges the array form from `p` (the probe) and `responses`; `row` judges one exchange `r`;
-    `last` is the position of the request that completes the check. `before_cycle` and `before_row` name
+    `last` is the position of the request that completes the check, -1 for a check that sends none. A request
+    counts only if all before it were answered: a lost response leaves the check without a verdict. `before_cycle` and `before_row` name
     columns these read more than once, in steps: they are computed ahead, and only for this mode.
     """
 
@@ -78,12 +87,13 @@ _STEPS = f"transform(p.journey, (s, i) -> {_step('s', 'i', 'get(filter(responses
 
 # A new kind of probe is one more entry here and one more branch in `mode_of`.
 MODES: dict[str, Mode] = {
-    "config_error": Mode(cycle=_CONFIG_ERROR, row=_CONFIG_ERROR, last="0"),
+    "config_error": Mode(cycle=_CONFIG_ERROR, row=_CONFIG_ERROR, last="-1"),
     "mcp": Mode(
         cycle=f"""coalesce({jsonrpc.initialize_failure(_CALLS[0], "_doc0", "p.mcp")},
-            {jsonrpc.notification_failure(_CALLS[1])},
-            {jsonrpc.tools_failure(_CALLS[2], "_doc2", "_names", "p.mcp")},
-            {jsonrpc.tools_success(_CALLS[2], "_names")})""",
+            CASE WHEN {_CALLS[0]} IS NOT NULL THEN {jsonrpc.notification_failure(_CALLS[1])} END,
+            CASE WHEN {_CALLS[0]} IS NOT NULL AND {_CALLS[1]} IS NOT NULL THEN
+              coalesce({jsonrpc.tools_failure(_CALLS[2], "_doc2", "_names", "p.mcp")},
+                       {jsonrpc.tools_success(_CALLS[2], "_names")}) END)""",
         row=f"""CASE r.seq
             WHEN 0 THEN coalesce({jsonrpc.initialize_failure("r", "_doc", "p.mcp")},
                                  {jsonrpc.outcome(True, "r.status_code", "CAST(NULL AS STRING)")})
@@ -102,13 +112,13 @@ MODES: dict[str, Mode] = {
         ),
     ),
     "journey": Mode(
-        cycle=f"""coalesce(get(filter(_steps, v -> NOT v.healthy), 0),
+        cycle=f"""coalesce(get(filter(_steps, v -> v IS NULL OR NOT v.healthy), 0),
             CASE WHEN forall(_steps, v -> v IS NOT NULL) THEN {_JOURNEY_OK} END)""",
         row=_step("get(p.journey, r.seq)", "r.seq", "r"),
         last="size(p.journey) - 1",
         before_cycle=({"_steps": _STEPS},),
     ),
-    "single": Mode(cycle=_single("get(responses, 0)"), row=_single("r"), last="0"),
+    "single": Mode(cycle=_single(_response(0)), row=_single("r"), last="0"),
 }
 
 
@@ -179,7 +189,7 @@ def check_results(cycles: DataFrame, probes: DataFrame, modes: tuple[str, ...] =
 
 
 def incomplete_cycles(cycles: DataFrame, probes: DataFrame) -> DataFrame:
-    """Cycles without a verdict: a response is missing although none before it failed."""
+    """Cycles without a verdict: a response is missing and none before it failed."""
     return evaluate_cycles(cycles, probes).where(F.col("healthy").isNull()).select("cycle_id", "name", "mode")
 
 
@@ -246,7 +256,8 @@ def unplanned_exchanges(exchanges: DataFrame, probes: DataFrame) -> DataFrame:
     return joined.where(beyond).select(exchanges.columns)
 
 
-def _first_arrivals(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def first_arrivals(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row per key, the first in the order; copies combine before the shuffle."""
     rest = [c for c in rows.columns if c not in keys]
     first = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_first"))
     return first.select(*keys, "_first.*")
@@ -267,7 +278,7 @@ def assemble_cycles(
     """
     rows = _planned(exchanges, probes).select(*keys, "started_at", "finished_at", *_RESPONSE_FIELDS)
     if not unique:
-        rows = _first_arrivals(rows, [*keys, "seq"], ["started_at", "finished_at", "status_code"])
+        rows = first_arrivals(rows.withColumn("body_hash", F.xxhash64("body")), [*keys, "seq"], ARRIVAL)
     return (
         rows.groupBy(*keys)
         .agg(
@@ -304,6 +315,7 @@ def request_verdicts(exchanges: DataFrame, probes: DataFrame) -> DataFrame:
         F.col("p.expected_status").alias("probe_expected_status"),
         F.col("_last").alias("last_seq"),
         "v",
+        F.struct("status_code", "error_kind", "error", F.xxhash64("body").alias("body_hash")).alias("tie"),
     )
 
 
@@ -314,28 +326,30 @@ def evaluate_exchanges(exchanges: DataFrame, probes: DataFrame, unique: bool = F
     """
     rows = request_verdicts(exchanges, probes)
     if not unique:
-        rows = _first_arrivals(rows, [*CYCLE, "seq"], ["started_at", "finished_at", "v"])
+        rows = first_arrivals(rows, [*CYCLE, "seq"], VERDICT_ARRIVAL)
     return combine_verdicts(rows, CYCLE)
 
 
 def combine_verdicts(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Verdicts of requests (each once) to verdicts of checks.
 
-    The first failing request decides. Without one, the check is healthy if all planned requests are
-    there. Both need only minima, maxima and a count, which combine before the shuffle.
+    The first failing request decides, if all before it were answered. Without one, the check is healthy if
+    all planned requests are there. What is grouped combines before the shuffle: minima, maxima and a set of
+    positions no longer than the plan.
     """
     failed = F.when(~F.col("v.healthy"), F.struct("seq", "v"))
     grouped = rows.groupBy(*keys).agg(
         F.min(failed).alias("_failed"),
         F.max(F.struct("seq", "v")).alias("_end"),
-        F.count("*").alias("_n"),
+        F.collect_set("seq").alias("_seqs"),
         F.max(
             F.struct("last_seq", "mode", "to_metrics", "to_lines", "url", "probe_expected_status")
         ).alias("_p"),
         F.min("started_at").alias("_started"),
         F.max("finished_at").alias("last_check_time"),
     )
-    complete = F.col("_n") > F.col("_p.last_seq")
+    complete = F.size("_seqs") > F.col("_p.last_seq")
+    answered = F.size(F.filter("_seqs", lambda s: s < F.col("_failed.seq"))) == F.col("_failed.seq")
     journey_text = F.format_string("Synthetic journey succeeded (%d steps)", F.col("_p.last_seq") + 1)
     is_journey = F.col("_p.mode") == "journey"
     success = F.struct(
@@ -346,7 +360,7 @@ def combine_verdicts(rows: DataFrame, keys: list[str]) -> DataFrame:
         .otherwise(F.col("_end.v.expected_status"))
         .alias("expected_status"),
     )
-    v = F.coalesce(F.col("_failed.v"), F.when(complete, success))
+    v = F.when(F.col("_failed").isNull(), F.when(complete, success)).otherwise(F.when(answered, F.col("_failed.v")))
     return grouped.withColumn("_v", v).select(
         F.col("probe").alias("name"),
         "_v.healthy",
@@ -363,6 +377,25 @@ def combine_verdicts(rows: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def exchange_results(exchanges: DataFrame, probes: DataFrame, unique: bool = False) -> DataFrame:
-    """The result log straight from exchange rows; same rows as assembling cycles first."""
-    return evaluate_exchanges(exchanges, probes, unique).where(F.col("healthy").isNotNull())
+def exchange_results(
+    exchanges: DataFrame, probes: DataFrame, unique: bool = False, ticks: DataFrame | None = None
+) -> DataFrame:
+    """The result log straight from exchange rows; same rows as assembling cycles first.
+
+    A probe with a configuration error sends nothing, so no exchange tells of its checks. `ticks` does: one row
+    (cycle_id, probe, started_at, finished_at, duration_us) per check; each of such a probe gives a result.
+    """
+    found = evaluate_exchanges(exchanges, probes, unique).where(F.col("healthy").isNotNull())
+    return found if ticks is None else found.unionByName(tick_results(ticks, probes))
+
+
+def tick_results(ticks: DataFrame, probes: DataFrame) -> DataFrame:
+    """One unhealthy result per tick of a probe that has a configuration error; other ticks give none."""
+    none = F.lit(None).cast(CHECK_CYCLES["responses"].dataType)
+    return config_error_results(ticks.withColumn("responses", none), probes)
+
+
+def unknown_cycles(cycles: DataFrame, probes: DataFrame) -> DataFrame:
+    """Cycles whose probe is not in the set; they have no result."""
+    names = probes.select(F.col("name").alias("probe"))
+    return lookup_join(cycles, names, on=["probe"], spread_by=["cycle_id"], how="left_anti").select(cycles.columns)

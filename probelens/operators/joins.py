@@ -2,67 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probelens.session import settled
-
 SALTS = 16
 _SALT = "_salt"
 
 
-# Plan nodes behind which Spark's size estimate can be far too high.
-_ESTIMATED = ("Join", "Aggregate", "Generate", "Union")
-
-
-def broadcast_limit(spark: SparkSession) -> int:
-    """The session's limit in bytes; negative when broadcasts are off."""
-    text = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10MB").lower()
-    units = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
-    digits = text.rstrip("bkmg")
-    return int(digits) * units[text[len(digits) :]]
-
-
-def _estimate(table: DataFrame) -> int:
-    return int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def sized(table: DataFrame) -> tuple[DataFrame, bool]:
-    """The table and whether it is below the broadcast limit.
-
-    A scan is judged by its files. A computed table that seems too large is written once to the shared
-    folder and judged by what was written: joining the large side by shuffle costs far more.
-    """
-    limit = broadcast_limit(table.sparkSession)
-    if limit < 0:
-        return table, False
-    if _estimate(table) <= limit:
-        return table, True
-    plan = table._jdf.queryExecution().optimizedPlan().toString()
-    if not any(node in plan for node in _ESTIMATED):
-        return table, False
-    written = settled(table, "lookup")
-    return written, _estimate(written) <= limit
-
-
 def lookup_join(
     facts: DataFrame,
     table: DataFrame,
     on: list[str],
     spread_by: list[str],
     how: str = "inner",
-    salted: bool | None = None,
+    salted: bool = False,
     salts: int = SALTS,
 ) -> DataFrame:
-    """Join `facts` to `table` (unique on `on`), safe when a single key holds much of `facts`.
+    """Join `facts` to `table` (unique on `on`).
 
-    A table below the broadcast limit is joined plainly: Spark broadcasts it and `facts` stays where it
-    is. A larger one is repeated once per salt, and the rows of one key are spread over all salts by a
-    hash of `spread_by`, so no task gets more than about 1/salts of the hottest key.
+    A plain join by default. Adaptive execution measures the table when it runs: below the session's broadcast
+    limit it is broadcast and `facts` stays where it is; above, the partitions of a hot key are split. Say `salted`
+    where the session runs without adaptive execution and one key may hold much of `facts`: the table
+    is repeated once per salt and the rows of a key are spread over all salts by a hash of `spread_by`.
     """
-    if salted is None:
-        table, small = sized(table)
-        salted = not small
     if not salted:
         return facts.join(table, on, how)
     salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")

@@ -1,7 +1,8 @@
 """Counters, latency histogram and health gauge of the result log.
 
 All three come from one pass and one grouping by probe (`probe_metrics`); each operator only reshapes it.
-Sums are kept in integer microseconds, so they do not depend on the order of rows.
+Sums are kept in integer microseconds, so they do not depend on the order of rows. A check without a duration counts
+in the results but not in the histogram, whose sum and count are 0 if no check has one.
 """
 
 from __future__ import annotations
@@ -16,9 +17,9 @@ CHECKS_TOTAL = "canary_checks_total"
 DURATION = "canary_check_duration_seconds"
 HEALTHY = "canary_healthy"
 HELP = {
-    CHECKS_TOTAL: ("counter", "Canary checks executed, by probe and result."),
-    DURATION: ("histogram", "Duration of canary checks in seconds."),
-    HEALTHY: ("gauge", "Whether the canary is healthy (1) or unhealthy (0)."),
+    CHECKS_TOTAL: ("counter", "Finished checks of each probe, split into successes and failures."),
+    DURATION: ("histogram", "Seconds from the first request of a check to its last response."),
+    HEALTHY: ("gauge", "1 if the latest check of the probe succeeded, else 0."),
 }
 
 
@@ -36,7 +37,7 @@ def _counts() -> list[Column]:
 
 def _histogram() -> list[Column]:
     buckets = F.array(*[F.count_if(F.col("duration_us") <= _bound_us(b)) for b in BUCKETS])
-    return [buckets.alias("buckets"), F.sum("duration_us").alias("sum_us"), F.count("duration_us").alias("n")]
+    return [buckets.alias("buckets"), F.coalesce(F.sum("duration_us"), F.lit(0)).alias("sum_us"), F.count("duration_us").alias("n")]
 
 
 def _gauge() -> Column:
@@ -131,8 +132,7 @@ def metric_exposition(results: DataFrame) -> DataFrame:
         for metric, (kind, help_text) in HELP.items()
         for rank, text in ((-2, f"# HELP {metric} {help_text}"), (-1, f"# TYPE {metric} {kind}"))
     ]
-    # Each task stops at its first routed row, so this does not read the log a second time.
-    any_routed = _routed(results).select(F.lit(1)).limit(1)
+    any_routed = metrics.select(F.lit(1)).limit(1)  # of the grouped rows, whose exchange serves the samples too
     headers = any_routed.select(F.explode(F.array(*kinds)).alias("h")).select(
         "h.metric", F.lit("").alias("probe"), "h.rank", "h.line"
     )

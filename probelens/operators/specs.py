@@ -318,8 +318,8 @@ def planned_checks(probes: DataFrame, start: Column, end: Column) -> DataFrame:
 def current_specs(feed: DataFrame, key: list[str], order: list[str], op: str = "op") -> DataFrame:
     """From create/update/delete events, the last event of each key, without deleted keys.
 
-    `max_by` is combined before the shuffle, so a key with many events sends one row per map task.
+    An event without a kind is taken as an update. `max_by` is combined before the shuffle, so a key with many events sends one row per map task.
     """
     rest = [c for c in feed.columns if c not in key]
     last = feed.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_last"))
-    return last.where(F.col("_last")[op] != "delete").select(*key, *[F.col("_last")[c].alias(c) for c in rest])
+    return last.where(~F.col("_last")[op].eqNullSafe("delete")).select(*key, *[F.col("_last")[c].alias(c) for c in rest])

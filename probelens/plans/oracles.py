@@ -239,12 +239,12 @@ SELECT 'canary_healthy', name, 'canary_healthy{probe="' || name || '"} ' || valu
 UNION ALL
 SELECT h.metric, '', h.line
 FROM (VALUES
-  ('canary_checks_total', '# HELP canary_checks_total Canary checks executed, by probe and result.'),
+  ('canary_checks_total', '# HELP canary_checks_total Finished checks of each probe, split into successes and failures.'),
   ('canary_checks_total', '# TYPE canary_checks_total counter'),
   ('canary_check_duration_seconds',
-   '# HELP canary_check_duration_seconds Duration of canary checks in seconds.'),
+   '# HELP canary_check_duration_seconds Seconds from the first request of a check to its last response.'),
   ('canary_check_duration_seconds', '# TYPE canary_check_duration_seconds histogram'),
-  ('canary_healthy', '# HELP canary_healthy Whether the canary is healthy (1) or unhealthy (0).'),
+  ('canary_healthy', '# HELP canary_healthy 1 if the latest check of the probe succeeded, else 0.'),
   ('canary_healthy', '# TYPE canary_healthy gauge')) AS h(metric, line)
 WHERE EXISTS (SELECT 1 FROM em)
 """,
@@ -268,7 +268,7 @@ WHERE rn = 1
 _HISTORY = """
 SELECT name, window_start, phase, last_status, message, last_check_time
 FROM (SELECT *, lag(phase) OVER w AS p, lag(last_status) OVER w AS s, lag(message) OVER w AS m
-      FROM daily {where} WINDOW w AS (PARTITION BY name ORDER BY window_start))
+      FROM daily WINDOW w AS (PARTITION BY name ORDER BY window_start))
 WHERE p IS NULL OR p <> phase OR s <> last_status OR m <> message
 """
 
@@ -328,8 +328,6 @@ SELECT cycle_id, any_value(probe) AS probe, min(started_at) AS started_at, max(f
        CAST(sum(length(text)) AS INTEGER) AS body_chars
 FROM planned {where} GROUP BY cycle_id
 """
-# Rows the watermark has released: their time is not after the last one less the delay.
-_RELEASED = "cycle_started_at <= (SELECT max(cycle_started_at) FROM turns) - INTERVAL 10 MINUTE"
 
 # ---- FX5: parts as tool-listing checks -------------------------------------------------------------
 
@@ -667,6 +665,22 @@ FROM pages
     "incomplete_cycles": _sql(
         "SELECT cycle_id, probe AS name, 'journey' AS mode FROM journeys WHERE healthy AND NOT whole", "journeys"
     ),
+    "unknown_cycles": _sql(
+        "SELECT 'first-' || k AS cycle_id, probe FROM probes WHERE config_error IS NULL", "probes"
+    ),
+    "tick_results": _sql("SELECT * FROM cr", "cr"),
+    "lost_responses": _sql(
+        """
+SELECT r.*, form
+FROM (SELECT cycle_id, p_partkey % 7 AS k,
+             CASE WHEN coalesce(init_reply, init_own) IS NOT NULL THEN 0 WHEN note IS NOT NULL THEN 1 ELSE 2 END AS decided
+      FROM stages) s
+JOIN pr r USING (cycle_id), (VALUES ('exchanges'), ('cycles')) AS f(form)
+WHERE k <> 3 AND (decided < 1 OR k <> 2) AND (decided < 2 OR k <> 1)
+""",
+        "stages",
+        "pr",
+    ),
     "unplanned_exchanges": _sql(
         "SELECT cycle_id, probe, seq, stage, status_code FROM turns WHERE seq >= n_steps", "turns"
     ),
@@ -755,7 +769,7 @@ SELECT (SELECT count(*) FROM ol) AS results_received, (SELECT count(*) FROM st)
 """,
         "sync",
     ),
-    "status_history": _sql(_HISTORY.format(where=""), "daily"),
+    "status_history": _sql(_HISTORY, "daily"),
     "canary_listing": _sql(
         """
 SELECT namespace, name, 'https://svc-' || c_nationkey || '.example.test/health' AS url, coalesce(phase, '') AS phase,
@@ -766,8 +780,8 @@ FROM merged
     ),
     # streams
     "stream_check_results": _sql("SELECT * FROM er", "er"),
-    "stream_assemble_cycles": _sql(_CYCLES.format(where=f"WHERE {_RELEASED}"), "planned", "turns"),
-    "stream_exchange_results": _sql(_JOURNEYS.format(extra=f"AND {_RELEASED}"), "journeys", "turns"),
+    "stream_assemble_cycles": _sql(_CYCLES.format(where=""), "planned"),
+    "stream_exchange_results": _sql(_JOURNEYS.format(extra=""), "journeys"),
     "stream_latest_results": _sql("SELECT * FROM er_latest", "er_latest"),
     "stream_metrics": _sql(
         """
@@ -778,13 +792,7 @@ FROM em m JOIN eh h ON h.name = m.name AND h.le = '0.1' JOIN eg g ON g.name = m.
         "eh",
         "eg",
     ),
-    "stream_status_history": _sql(
-        _HISTORY.format(
-            where="WHERE window_start + INTERVAL 1 DAY <= (SELECT max(last_check_time) FROM er) - INTERVAL 1 HOUR"
-        ),
-        "daily",
-        "er",
-    ),
+    "stream_status_history": _sql(_HISTORY, "daily"),
     "stream_result_lines": _sql(_JSON.format(name="", source="er WHERE to_lines"), "er"),
-    "stream_probe_reload": _sql("SELECT * FROM er", "er"),
+    "stream_probe_reload": _sql("SELECT * FROM er WHERE day(last_check_time) <= 20 OR right(url, 1) IN ('0', '2', '4', '6', '8')", "er"),
 }

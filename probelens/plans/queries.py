@@ -6,6 +6,7 @@ sink write a table derived from the input to the shared folder first and read it
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,12 +33,20 @@ def query(function: Query) -> Query:
     """Register under the function's name, less a trailing underscore."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return function(prepare(spark), sf_dir)
+        return function(_with_folder(prepare(spark)), sf_dir)
 
     REGISTRY[function.__name__.rstrip("_")] = run
     return run
 
 
+def _with_folder(spark: SparkSession) -> SparkSession:
+    """The registered readers, sinks and streams write below the shared folder; a local session that names none
+    gets one of its own here. The library itself never chooses one."""
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.master.startswith("local"):
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="probelens-"))
+    return spark
+
+
 def at(text: str) -> Column:
     return F.lit(text).cast("timestamp")
 
@@ -72,6 +81,23 @@ def _stream(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf}/{table}.parque[t]")
 
 
+def _arriving(spark: SparkSession, rows: DataFrame, step: Column, *closing: DataFrame) -> DataFrame:
+    """The rows as a stream of several micro-batches by `step` (0 to 2), and what closes the last windows."""
+    folder = run_dir(spark, "arriving")
+    for k in range(3):
+        rows.where(step == k).write.mode("append").parquet(folder)
+    for more in closing:
+        more.write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def _step(time: str, late: Column, seconds: int) -> Column:
+    """Thirds of the month by day; rows that are `late` arrive as if `seconds` later."""
+    seen = F.timestamp_seconds(F.unix_timestamp(time) + F.when(late, seconds).otherwise(0))
+    day = F.datediff(seen, F.lit("2024-01-01"))
+    return F.when(day < 10, 0).when(day < 20, 1).otherwise(2)
+
+
 def _run(spark: SparkSession, label: str, start: Callable) -> str:
     """Run a stream over all input and give its output folder."""
     folder = run_dir(spark, label)
@@ -432,11 +458,42 @@ def mcp_results_from_exchanges(spark: SparkSession, sf: str) -> DataFrame:
     return _results(evaluate.exchange_results(fx.part_exchanges(spark, sf), fx.part_probes(spark, sf)))
 
 
+def _lossy_exchanges(spark: SparkSession, sf: str) -> DataFrame:
+    """Responses of tool listings, of which some were lost: by check and position."""
+    kept = F.pmod(F.substring_index("cycle_id", "-", -1).cast("long") + F.col("seq"), F.lit(7)) != 3
+    return fx.part_exchanges(spark, sf).where(kept)
+
+
+@query
+def lost_responses(spark: SparkSession, sf: str) -> DataFrame:
+    """A log with lost responses, judged in both forms; `form` tells which."""
+    exchanges, probes = _lossy_exchanges(spark, sf), fx.part_probes(spark, sf)
+    direct = _results(evaluate.exchange_results(exchanges, probes)).withColumn("form", F.lit("exchanges"))
+    cycles = evaluate.assemble_cycles(exchanges, probes)
+    return direct.unionByName(_results(evaluate.mcp_results(cycles, probes)).withColumn("form", F.lit("cycles")))
+
+
+@query
+def tick_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Checks of declarations by ticks alone: those with a configuration error have a result."""
+    ticks = fx.canary_cycles(spark, sf).drop("responses")
+    none = fx.conversation_exchanges(spark, sf).where(F.lit(False))
+    return _results(evaluate.exchange_results(none, _probes(spark, sf), ticks=ticks))
+
+
+@query
+def unknown_cycles(spark: SparkSession, sf: str) -> DataFrame:
+    """First checks of declarations that the set of broken probes does not know."""
+    broken = _probes(spark, sf).where("config_error IS NOT NULL")
+    return evaluate.unknown_cycles(fx.canary_cycles(spark, sf), broken).select("cycle_id", "probe")
+
+
 @query
 def check_results(spark: SparkSession, sf: str) -> DataFrame:
-    """All kinds of probes in one log: declarations with config errors, events, and parts."""
-    broken = _probes(spark, sf).where("config_error IS NOT NULL").select(schemas.PROBES.names)
-    probes = fx.event_probes(spark, sf).unionByName(fx.part_probes(spark, sf)).unionByName(broken)
+    """All kinds of probes in one log: declarations, events, and parts. First checks of declarations have no
+    response, so those without a configuration error stay without a result."""
+    declared = _probes(spark, sf).select(schemas.PROBES.names)
+    probes = fx.event_probes(spark, sf).unionByName(fx.part_probes(spark, sf)).unionByName(declared)
     cycles = (
         fx.event_cycles(spark, sf).unionByName(fx.part_cycles(spark, sf)).unionByName(fx.canary_cycles(spark, sf))
     )
@@ -526,10 +583,14 @@ def canary_listing(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- streams ---------------------------------------------------------------------------------------
 
+FAR = "2025-01-01 00:00:00"
+
 
 def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
-    cycles = fx.event_cycle_rows(_stream(spark, sf, "events"))
-    return streams.stream_check_results(cycles, fx.event_probes(spark, sf))
+    """Results of the events, in three micro-batches, some half an hour late, and one check a year later."""
+    cycles, probes = fx.event_cycles(spark, sf), fx.event_probes(spark, sf)
+    late = F.pmod(F.xxhash64("cycle_id"), F.lit(5)) == 0
+    return streams.stream_check_results(_arriving(spark, cycles, _step("finished_at", late, 1800)), probes)
 
 
 @query
@@ -538,17 +599,29 @@ def stream_check_results(spark: SparkSession, sf: str) -> DataFrame:
     return _results(spark.read.parquet(_run(spark, "results", lambda o, c: streams.start_append(rows, o, c))))
 
 
+def _exchange_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns of conversations: some arrive up to four minutes late, every fourth once more with the next micro-batch,
+    and an exchange of an unknown probe a year later lets the watermark pass all checks."""
+    rows = fx.conversation_exchanges(spark, sf)
+    first, last = rows.agg(F.unix_timestamp(F.min("cycle_started_at")), F.unix_timestamp(F.max("cycle_started_at"))).first()
+    seen = F.unix_timestamp("cycle_started_at") + 120 * F.pmod("seq", F.lit(3))
+    step = F.least(F.floor(3 * (seen - first) / (last - first + 1)), F.lit(2))
+    again = rows.where(F.pmod(F.col("cycle_id").cast("long") + F.col("seq"), F.lit(4)) == 0)
+    folder_rows = rows.withColumn("_step", step).unionByName(again.withColumn("_step", F.least(step + 1, F.lit(2))))
+    closing = rows.limit(1).withColumns({"probe": F.lit("closing"), "cycle_started_at": at(FAR)})
+    stream = _arriving(spark, folder_rows, F.col("_step"), closing.withColumn("_step", F.lit(2).cast("bigint")))
+    return stream.drop("_step")
+
+
 @query
 def stream_assemble_cycles(spark: SparkSession, sf: str) -> DataFrame:
-    exchanges = fx.conversation_exchange_rows(_stream(spark, sf, "conversations"))
-    cycles = streams.stream_assemble_cycles(exchanges, fx.conversation_probes(spark, sf), "10 minutes")
+    cycles = streams.stream_assemble_cycles(_exchange_stream(spark, sf), fx.conversation_probes(spark, sf), "10 minutes")
     return _flat_cycles(spark.read.parquet(_run(spark, "cycles", lambda o, c: streams.start_append(cycles, o, c))))
 
 
 @query
 def stream_exchange_results(spark: SparkSession, sf: str) -> DataFrame:
-    exchanges = fx.conversation_exchange_rows(_stream(spark, sf, "conversations"))
-    rows = streams.stream_exchange_results(exchanges, fx.conversation_probes(spark, sf), "10 minutes")
+    rows = streams.stream_exchange_results(_exchange_stream(spark, sf), fx.conversation_probes(spark, sf), "10 minutes")
     return _results(spark.read.parquet(_run(spark, "results", lambda o, c: streams.start_append(rows, o, c))))
 
 
@@ -570,7 +643,11 @@ def stream_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def stream_status_history(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _event_stream(spark, sf)
+    """A check of a probe of its own, a year later, closes the windows of all others."""
+    log = _event_results(spark, sf)
+    closing = log.limit(1).withColumns({"name": F.lit("closing"), "last_check_time": at(FAR)})
+    late = F.pmod(F.xxhash64("cycle_id"), F.lit(5)) == 0
+    rows = _arriving(spark, log, _step("last_check_time", late, 1800), closing)
     path = _run(spark, "history", lambda o, c: streams.start_status_history(rows, o, c, "1 hour", seconds=DAY))
     return streams.read_status_history(spark, path)
 
@@ -583,9 +660,17 @@ def stream_result_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def stream_probe_reload(spark: SparkSession, sf: str) -> DataFrame:
-    cycles = fx.event_cycle_rows(_stream(spark, sf, "events"))
+    """Three micro-batches: the second meets a truncated probe file and keeps the first set, the third a set of
+    the probes with even numbers alone."""
+    good = fx.event_probes(spark, sf)
+    broken = run_dir(spark, "truncated")
+    spark.createDataFrame([('{"name": "default/a", "interval": 30}',), ('{"name": "default/b", "inter',)], "value STRING").write.text(broken)
+    sets = [good, readers.read_probes(spark, broken), good.where(F.col("url").rlike("[02468]$"))]
+    held = spark.createDataFrame([("default__a__api-key", "v")], schemas.CREDENTIALS)
+    cycles = _arriving(spark, fx.event_cycles(spark, sf), _step("finished_at", F.lit(False), 0))
+    loads = iter(sets)
 
     def start(out: str, checkpoint: str):
-        return streams.start_probe_reload(cycles, lambda: fx.event_probes(spark, sf), out, checkpoint)
+        return streams.start_probe_reload(cycles, lambda: next(loads), out, checkpoint, load_credentials=lambda: held)
 
     return _results(streams.read_batches(spark, f"{_run(spark, 'reload', start)}/results"))

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
-# Runtime settings that change results, not only speed.
 REQUIRED_CONF = {
+    # These change results, not only speed.
     "spark.sql.session.timeZone": "UTC",
     # A repeated JSON key is legal in a response body; the last one counts.
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # The JVM never compiles longer methods; without whole-stage code Spark splits the verdicts of all kinds of probes.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -25,28 +26,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach, as the cluster names it.
-
-    Only a local session without the setting gets a folder of its own; on a cluster a machine-local
-    folder would lose data with the machine, so a missing setting is an error there.
-    """
+    """The folder all executors can reach, as the cluster names it in spark.checkpoint.dir."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="probelens-")
-    spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
 def run_dir(spark: SparkSession, label: str) -> str:
     """A folder for one run below the shared folder; never reused."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-
-
-def settled(df: DataFrame, label: str) -> DataFrame:
-    """The table written once below the shared folder and read back: lineage is cut, its size is known."""
-    path = run_dir(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,8 +1,11 @@
-"""Reading tables. Every reader has a fixed schema; nothing is inferred."""
+"""Reading tables. Every reader has a fixed schema; nothing is inferred.
+
+JSON that does not decode is an error when the table is read, and so is a row without its key: a truncated file must not
+look like an empty one.
+"""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,72 +18,79 @@ def _retyped(df: DataFrame, target: T.StructType) -> DataFrame:
     return df.select(*[F.col(c).cast(f.dataType).alias(f.name) for c, f in zip(df.columns, target.fields)])
 
 
+STRICT = {"mode": "FAILFAST"}
+
+
+def _keyed(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows, or an error where a key is null."""
+    text = F.lit(f"a row has no {' or no '.join(keys)}")
+    return df.withColumns({k: F.when(F.col(k).isNull(), F.raise_error(text)).otherwise(F.col(k)) for k in keys})
+
+
 def read_canaries(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     """Declarations of all namespaces: `json` has one manifest per line, `parquet` is our own table."""
     if fmt == "parquet":
         return spark.read.schema(schemas.CANARIES).parquet(path)
-    manifest = spark.read.schema(schemas.MANIFEST).json(path)
+    manifest = spark.read.schema(schemas.MANIFEST).json(path, **STRICT)
     flat = manifest.select("metadata.namespace", "metadata.name", "metadata.creationTimestamp", "spec")
-    return _retyped(flat, schemas.CANARIES)
+    return _keyed(_retyped(flat, schemas.CANARIES), "namespace", "name")
 
 
 def read_statuses(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     """Statuses written in the same manifests, one row per declaration; null before the first sync."""
     if fmt == "parquet":
         return spark.read.schema(schemas.STATUSES).parquet(path)
-    manifest = spark.read.schema(schemas.MANIFEST).json(path)
+    manifest = spark.read.schema(schemas.MANIFEST).json(path, **STRICT)
     flat = manifest.select(
         "metadata.namespace", "metadata.name", "status.phase", "status.lastCheckTime", "status.lastStatus", "status.message"
     )
-    return _retyped(flat, schemas.STATUSES)
+    return _keyed(_retyped(flat, schemas.STATUSES), "namespace", "name")
 
 
 def read_probes(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     """A rendered probe set, one probe per line; no defaults are applied, absent numbers read as 0."""
     if fmt == "parquet":
         return spark.read.schema(schemas.PROBES).parquet(path)
-    probes = _retyped(spark.read.schema(schemas.PROBES_JSON).json(path), schemas.PROBES)
+    probes = _keyed(_retyped(spark.read.schema(schemas.PROBES_JSON).json(path, **STRICT), schemas.PROBES), "name")
     return probes.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("interval", "expected_status")})
 
 
 def read_credentials(spark: SparkSession, path: str | None, fmt: str = "json") -> DataFrame:
-    """Credentials as (credential_id, value); a table that does not exist is an empty store."""
-    empty = spark.createDataFrame([], schemas.CREDENTIALS)
+    """Credentials as (credential_id, value); no path is an empty store, a path that does not exist an error."""
     if path is None:
-        return empty
-    try:
-        return spark.read.schema(schemas.CREDENTIALS).format(fmt).load(path)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return empty
-        raise
+        return spark.createDataFrame([], schemas.CREDENTIALS)
+    return _keyed(_loaded(spark, schemas.CREDENTIALS, path, fmt), "credential_id")
 
 
 def read_secrets(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    return spark.read.schema(schemas.SECRETS).format(fmt).load(path)
+    return _keyed(_loaded(spark, schemas.SECRETS, path, fmt), "namespace", "name")
+
+
+def _loaded(spark: SparkSession, schema: T.StructType, path: str, fmt: str) -> DataFrame:
+    return spark.read.schema(schema).format(fmt).load(path, **(STRICT if fmt == "json" else {}))
 
 
 def read_exchanges(spark: SparkSession, path: str, fmt: str = "parquet", streaming: bool = False) -> DataFrame:
     """The log of recorded responses, as a table or as a stream of arriving files."""
     reader = spark.readStream if streaming else spark.read
-    return reader.schema(schemas.EXCHANGES).format(fmt).load(path)
+    return reader.schema(schemas.EXCHANGES).format(fmt).load(path, **(STRICT if fmt == "json" else {}))
 
 
 def read_cycles(spark: SparkSession, path: str, fmt: str = "parquet", streaming: bool = False) -> DataFrame:
     reader = spark.readStream if streaming else spark.read
-    return reader.schema(schemas.CHECK_CYCLES).format(fmt).load(path)
+    return reader.schema(schemas.CHECK_CYCLES).format(fmt).load(path, **(STRICT if fmt == "json" else {}))
 
 
 def read_results(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Results from JSON: each file one array (a snapshot), or one object per line."""
     reader = spark.read.schema(schemas.RESULTS_JSON)
-    return _retyped(reader.json(path, multiLine=not lines), schemas.RESULTS)
+    return _keyed(_retyped(reader.json(path, multiLine=not lines, **STRICT), schemas.RESULTS), "name")
 
 
 def results_from_text(texts: DataFrame, body: str | Column) -> DataFrame:
-    """Results from a column that holds such JSON arrays; the other columns are kept."""
+    """Results from a column that holds such JSON arrays; the other columns are kept. A text that is no such array is an error."""
     column = F.col(body) if isinstance(body, str) else body
     array = T.ArrayType(schemas.RESULTS_JSON)
-    rows = texts.select("*", F.inline(F.from_json(column, array)))
+    rows = texts.select("*", F.inline(F.from_json(column, array, STRICT)))
     names = dict(zip(schemas.RESULTS_JSON.names, schemas.RESULTS.names))
     return rows.withColumnsRenamed(names)

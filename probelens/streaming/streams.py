@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,16 +34,17 @@ def stream_assemble_cycles(exchanges: DataFrame, probes: DataFrame, delay: str)
     """Cycles from arriving responses, emitted when the watermark passes their start.
 
     `delay` must exceed the longest check; what comes later is dropped and counted in the query progress.
-    Requests outside the plan do not enter the state, and a repeated row is taken once.
+    Requests outside the plan do not enter the state. Of copies the first arrival counts, as in the batch form, and
+    they combine before the shuffle.
     """
-    rows = exchanges.withWatermark("cycle_started_at", delay).dropDuplicates([*STREAM_CYCLE, "seq"])
-    return evaluate.assemble_cycles(rows, probes, unique=True, keys=STREAM_CYCLE)
+    rows = exchanges.withWatermark("cycle_started_at", delay)
+    return evaluate.assemble_cycles(rows, probes, keys=STREAM_CYCLE)
 
 
 def stream_exchange_results(exchanges: DataFrame, probes: DataFrame, delay: str) -> DataFrame:
     """Results from arriving responses. Rows are judged first, so shuffle and state hold no bodies."""
     judged = evaluate.request_verdicts(exchanges.withWatermark("cycle_started_at", delay), probes)
-    once = judged.dropDuplicates([*STREAM_CYCLE, "seq"])
+    once = evaluate.first_arrivals(judged, [*STREAM_CYCLE, "seq"], evaluate.VERDICT_ARRIVAL)
     checks = evaluate.combine_verdicts(once, STREAM_CYCLE).where(F.col("healthy").isNotNull())
     return checks.select(evaluate.RESULT_COLUMNS)
 
@@ -138,23 +140,32 @@ def start_probe_reload(
     path: str,
     checkpoint: str,
     trigger: Trigger = ALL_NOW,
+    load_credentials: Callable[[], DataFrame] | None = None,
 ) -> StreamingQuery:
     """Evaluate each batch against the probe set as it is then; results go to `path/results/batch=N`.
 
-    The set is loaded and stored as `path/probes/batch=N` before use. If that fails, the set of the batch
-    before is used on: a broken file never stops the checks. Without any good set the batch fails.
+    The set, and the credentials with it, are loaded and stored as `path/probes/batch=N` and
+    `path/credentials/batch=N` before use. If either fails to load, does not decode or has a row without its key, both
+    of the batch before are used on: a broken file never stops the checks. Without any good set the batch fails.
     """
     spark = cycles.sparkSession
+    loads = {"probes": load_probes} | ({"credentials": load_credentials} if load_credentials else {})
 
     def good_set(batch_id: int) -> DataFrame:
-        own, previous = (f"{path}/probes/batch={n}" for n in (batch_id, batch_id - 1))
+        own, previous = ({k: f"{path}/{k}/batch={n}" for k in loads} for n in (batch_id, batch_id - 1))
         try:
-            load_probes().write.mode("overwrite").parquet(own)
-        except PySparkException:
+            for kind, load in loads.items():
+                rows = load()
+                key = rows.columns[0]
+                if not rows.where(F.col(key).isNull()).isEmpty():
+                    raise ValueError(f"a row of the {kind} has no {key}")
+                rows.write.mode("overwrite").parquet(own[kind])
+        except (PySparkException, Py4JError, ValueError):
             if batch_id == 0:
                 raise
-            spark.read.parquet(previous).write.mode("overwrite").parquet(own)
-        return spark.read.parquet(own)
+            for kind in loads:
+                spark.read.parquet(previous[kind]).write.mode("overwrite").parquet(own[kind])
+        return spark.read.parquet(own["probes"])
 
     def write(batch: DataFrame, batch_id: int) -> None:
         results = evaluate.check_results(batch, good_set(batch_id))

@@ -7,7 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from helpers import cycle, cycles, mcp, probe, probes, response, same, step, table
+from helpers import T0, cycle, cycles, mcp, probe, probes, response, same, step, table
 from probelens import schemas
 from probelens.operators import evaluate
 from probelens.sources import fixtures as fx
@@ -215,3 +215,41 @@ def test_evaluation_of_cycles_does_not_shuffle_them(spark):
     plan = evaluate.check_results(spark.read.parquet(path), ps)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
     assert plan.count("Expected ") == 2  # single and journey step: no verdict is computed twice
+
+
+def test_lost_responses_leave_no_made_up_verdict(spark):
+    """Every subset of the three responses, with a failure at each place or none; both forms agree."""
+    whole = [[response(0, 503 if bad == 0 else 200, OK_INIT), response(1, 500 if bad == 1 else 202), response(2, 500 if bad == 2 else 200, OK_TOOLS)] for bad in (None, 0, 1, 2)]
+    cases = [(bad, keep) for bad in range(4) for keep in range(1, 8)]
+    logs = [[r for i, r in enumerate(whole[bad]) if keep >> i & 1] for bad, keep in cases]
+    found = run(spark, [({"mcp": mcp()}, rs) for rs in logs])
+    for i, (bad, keep) in enumerate(cases):
+        decided = 2 if bad == 0 else bad - 1
+        there = all(keep >> k & 1 for k in range(decided + 1))
+        assert (f"default/p{i}" in found) == there, (bad, keep)
+        if there:
+            assert found[f"default/p{i}"].healthy == (bad == 0)
+
+
+def test_a_single_check_reads_the_response_of_its_own_request(spark):
+    assert run(spark, [({}, [response(1, 200, "x")])]) == {}
+
+
+def test_copies_at_equal_times_count_alike_in_both_forms(spark):
+    ps = probes(spark, probe())
+    copy = {"cycle_id": "c", "probe": "default/p", "cycle_started_at": T0, "seq": 0, "started_at": T0, "finished_at": T0}
+    log = table(spark, schemas.EXCHANGES, {**copy, "status_code": 503, "body": "a"}, {**copy, "status_code": 200, "body": "b"}, {**copy, "status_code": 200, "body": "a"})
+    direct = evaluate.exchange_results(log, ps)
+    assert same(direct, evaluate.check_results(evaluate.assemble_cycles(log, ps), ps))
+    assert [r.status_code for r in direct.collect()] == [200]
+
+
+def test_probes_with_a_config_error_report_by_ticks(spark):
+    ps = probes(spark, probe("default/bad", config_error="Invalid auth config: x"), probe("default/ok"))
+    ticks = cycles(spark, cycle("t1", "default/bad"), cycle("t2", "default/ok"), cycle("t3", "default/none")).drop("responses")
+    none = table(spark, schemas.EXCHANGES)
+    found = evaluate.exchange_results(none, ps, ticks=ticks).collect()
+    assert [(r.cycle_id, r.healthy, r.message) for r in found] == [("t1", False, "Invalid auth config: x")]
+    sent = table(spark, schemas.EXCHANGES, {"cycle_id": "t1", "probe": "default/bad", "seq": 0, "status_code": 200})
+    assert evaluate.exchange_results(sent, ps).isEmpty() and evaluate.unplanned_exchanges(sent, ps).count() == 1
+    assert [r.cycle_id for r in evaluate.unknown_cycles(cycles(spark, cycle("t1", "default/bad"), cycle("t3", "default/none")), ps).collect()] == ["t3"]

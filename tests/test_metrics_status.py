@@ -56,6 +56,12 @@ def test_exposition_text(spark):
     assert metrics.metric_exposition(log.where("name = 'none'")).isEmpty()
 
 
+def test_a_probe_without_durations_has_valid_lines(spark):
+    lines = [r.line for r in metrics.metric_exposition(results(spark, result("a", duration_us=None))).collect()]
+    assert not any("null" in line for line in lines)
+    assert {'canary_check_duration_seconds_sum{probe="a"} 0', 'canary_check_duration_seconds_count{probe="a"} 0', 'canary_checks_total{probe="a",result="success"} 1'} <= set(lines)
+
+
 def test_exposition_groups_the_log_once(spark):
     plan = metrics.metric_exposition(event_results(spark))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate [name") == 1

@@ -5,6 +5,9 @@ from __future__ import annotations
 import datetime as dt
 import json
 
+import pytest
+from pyspark.errors import AnalysisException
+
 from helpers import result, results, seconds
 from probelens import session
 from probelens.sources import readers, sinks
@@ -52,10 +55,36 @@ def test_read_probes_applies_no_defaults(spark, tmp_path):
 def test_read_credentials(spark, tmp_path):
     path = write(tmp_path, "credentials.json", {"credential_id": "a", "value": "v"})
     assert [tuple(r) for r in readers.read_credentials(spark, path).collect()] == [("a", "v")]
-    assert readers.read_credentials(spark, str(tmp_path / "absent.json")).isEmpty()
+    with pytest.raises(AnalysisException):
+        readers.read_credentials(spark, str(tmp_path / "absent.json"))
     assert readers.read_credentials(spark, None).isEmpty()
 
 
+TRUNCATED = [
+    (readers.read_probes, '{"name":"a","interval":30}\n{"name":"b","inter'),
+    (readers.read_probes, '{"interval":30}'),
+    (readers.read_canaries, '{"metadata":{"namespace":"n","name":"a"},"spec":{"url":"u"}}\n{"metadata":{"name'),
+    (readers.read_credentials, '{"credential_id":"a","value":"b"}\n{"credential_id'),
+    (readers.read_credentials, '{"value":"b"}'),
+    (readers.read_results, '[{"name":"a"'),
+]
+
+
+@pytest.mark.parametrize("case", range(len(TRUNCATED)))
+def test_what_does_not_decode_is_an_error(spark, tmp_path, case):
+    read, text = TRUNCATED[case]
+    path = tmp_path / "broken.json"
+    path.write_text(text)
+    with pytest.raises(Exception, match="(?i)malformed|no name|no credential_id|no namespace|cannot be parsed|parse|FAILED_READ_FILE"):
+        read(spark, str(path)).collect()
+
+
+def test_a_poll_that_does_not_decode_is_an_error(spark):
+    for body in ('[{"name":"a"', "<html>"):
+        with pytest.raises(Exception, match="(?i)malformed|parse"):
+            readers.results_from_text(spark.createDataFrame([(body,)], "body string"), "body").collect()
+
+
 def test_results_round_trip(spark, tmp_path):
     log = results(
         spark,

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,7 +179,7 @@ RESOLVE = [
 
 @pytest.mark.parametrize("threshold", ["10MB", "-1"])
 def test_auth_resolution(spark, threshold):
-    """Small secrets are broadcast; without broadcast the salted join gives the same."""
+    """Small secrets are broadcast; without broadcast the join gives the same."""
     rows = canaries(spark, *[canary(f"c{i}", auth=a) for i, (a, _) in enumerate(RESOLVE)])
     held = table(
         spark, schemas.SECRETS,
@@ -241,7 +243,7 @@ def test_salted_lookup_spreads_the_hot_key(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        joined = lookup_join(facts, side, ["k"], ["id"])
+        joined = lookup_join(facts, side, ["k"], ["id"], salted=True)
         sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before[0])
@@ -249,20 +251,23 @@ def test_salted_lookup_spreads_the_hot_key(spark):
     assert sum(sizes) == 20_000 and len(sizes) > 1 and max(sizes) < 15_000
 
 
-def test_a_computed_lookup_table_is_judged_by_its_true_size(spark):
-    """Spark multiplies the sizes of joined tables; the written table shows that the result is small."""
-    wide = spark.range(2_000).select("id", F.repeat(F.lit("x"), 100).alias("t"))
-    joined = wide.join(wide.withColumnRenamed("t", "u"), "id").where("id < 3").select("id", "t")
-    facts = spark.range(100).select((F.col("id") % 5).alias("id"), F.col("id").alias("n"))
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20KB")
+BUILDS = ["check_results", "runtime_auth_errors", "credential_store", "request_plan", "status_history", "metric_exposition"]
+
+
+def test_building_and_explaining_starts_no_job(spark):
+    from probelens.plans.queries import REGISTRY
+
+    spark.sparkContext.setJobGroup("building", "building")
     try:
-        found = lookup_join(facts, joined, ["id"], ["n"])
-        assert "_salt" not in found._jdf.queryExecution().optimizedPlan().toString() and found.count() == 60
-        large = lookup_join(facts, wide, ["id"], ["n"])
-        assert "_salt" in large._jdf.queryExecution().optimizedPlan().toString() and large.count() == 100
+        for name in BUILDS:
+            REGISTRY[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+        started = spark.sparkContext.statusTracker().getJobIdsForGroup("building")
     finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # Reading the schema of a parquet file is a job of Spark's own; it has one task and no stage of ours.
+    assert all(len(spark.sparkContext.statusTracker().getJobInfo(j).stageIds) == 1 for j in started)
+    files = spark.conf.get("spark.checkpoint.dir")
+    assert not any(p.startswith("lookup") for p in os.listdir(files))
 
 
 def test_secrets_never_reach_probes(spark):

@@ -9,6 +9,7 @@ from helpers import probe, probes, result, results, same, seconds, step, table
 from probelens import schemas, session
 from probelens.operators import evaluate, metrics, status
 from probelens.sources import fixtures as fx
+from probelens.sources import readers
 from probelens.streaming import streams
 
 SF = "/root/testdata/sf0.001"
@@ -121,6 +122,22 @@ def test_probe_reload_keeps_the_last_good_set(spark, folder):
     assert same(expected, found)
 
 
+def test_reload_keeps_probes_and_credentials_together(spark, folder):
+    """A truncated credentials file leaves the new probe set out too, and a probe without name is no good set."""
+    (one, two, three), good = event_tables(spark), fx.event_probes(spark, SF)
+    strict = good.withColumn("expected_status", F.lit(418))
+    broken, sound = f"{folder}/broken", table(spark, schemas.CREDENTIALS, {"credential_id": "a", "value": "b"})
+    spark.createDataFrame([('{"credential_id": "a", "val',)], "value string").write.text(broken)
+    nameless = strict.withColumn("name", F.lit(None).cast("string"))
+    probe_sets = iter([good, strict, nameless])
+    held = iter([sound, readers.read_credentials(spark, broken), sound])
+    stream = feed(spark, folder, one, two, three)
+    finish(streams.start_probe_reload(stream, lambda: next(probe_sets), f"{folder}/h8", f"{folder}/c8", load_credentials=lambda: next(held)))
+    everything = one.unionByName(two).unionByName(three)
+    assert same(evaluate.check_results(everything, good), streams.read_batches(spark, f"{folder}/h8/results"))
+    assert same(sound, spark.read.parquet(f"{folder}/h8/credentials/batch=2"))
+
+
 def test_an_older_late_result_does_not_win(spark, folder):
     newer, older = result("a", message="new", at=seconds(9)), result("a", message="old", at=seconds(1))
     stream = feed(spark, folder, results(spark, newer), results(spark, older))
