@@ -34,9 +34,42 @@ def _replace_all(text: Column, pairs: list[tuple[str, str]]) -> Column:
     return text
 
 
+# Characters that don't print, besides those with an escape of their own: written as numbers.
+_UNPRINTABLE = r"[\p{C}\p{Z}&&[^ ]]"
+
+
+def _numbered(text: str) -> str:
+    """SQL text: what doesn't print as \\x01, \\u200b or \\U000e0001; other texts are not taken apart."""
+    pattern, utf16 = literal(_UNPRINTABLE), "hex(encode(c, 'UTF-16BE'))"
+    written = (
+        f"CASE WHEN NOT c RLIKE {pattern} THEN c WHEN length(hex(c)) = 2 THEN {literal(chr(92) + 'x')} || lower(hex(c)) "
+        f"WHEN length({utf16}) = 4 THEN {literal(chr(92) + 'u')} || lower({utf16}) "
+        f"ELSE {literal(chr(92) + 'U')} || lower(hex(encode(c, 'UTF-32'))) END"
+    )
+    each = f"array_join(transform(regexp_extract_all({text}, '(?s).', 0), c -> {written}), '')"
+    return f"CASE WHEN {text} RLIKE {pattern} THEN {each} ELSE {text} END"
+
+
 def quoted(text: Column) -> Column:
     """The text in double quotes with escapes, as messages show it."""
-    return F.concat(F.lit('"'), _replace_all(text, QUOTE_ESCAPES), F.lit('"'))
+    one = F.transform(F.array(_replace_all(text, QUOTE_ESCAPES)), lambda t: F.concat(F.lit('"'), _printable(t), F.lit('"')))
+    return F.get(one, F.lit(0))
+
+
+def _printable(text: Column) -> Column:
+    """The Column form of `_numbered`."""
+
+    def written(c: Column) -> Column:
+        utf16 = F.hex(F.encode(c, "UTF-16BE"))
+        return (
+            F.when(~c.rlike(_UNPRINTABLE), c)
+            .when(F.length(F.hex(c)) == 2, F.concat(F.lit("\\x"), F.lower(F.hex(c))))
+            .when(F.length(utf16) == 4, F.concat(F.lit("\\u"), F.lower(utf16)))
+            .otherwise(F.concat(F.lit("\\U"), F.lower(F.hex(F.encode(c, "UTF-32")))))
+        )
+
+    each = F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), written), "")
+    return F.when(text.rlike(_UNPRINTABLE), each).otherwise(text)
 
 
 def literal(text: str) -> str:
@@ -48,7 +81,7 @@ def quoted_sql(text: str) -> str:
     """`quoted` for an expression given as SQL text."""
     for old, new in QUOTE_ESCAPES:
         text = f"replace({text}, {literal(old)}, {literal(new)})"
-    return f"('\"' || {text} || '\"')"
+    return f"get(transform(array({text}), t -> '\"' || {_numbered('t')} || '\"'), 0)"
 
 
 def json_line(value: Column) -> Column:

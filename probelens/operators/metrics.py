@@ -120,20 +120,14 @@ def metric_exposition(results: DataFrame) -> DataFrame:
         sample(DURATION, "_count", probe, F.col("n")),
         sample(HEALTHY, "", probe, F.col("last_healthy")),
     )
-    lines = metrics.select(
-        "name", F.posexplode(F.concat(counters, buckets, totals)).alias("rank", "s")
-    ).select("s.metric", F.col("name").alias("probe"), (F.col("rank") + 1).alias("rank"), "s.line")
-    kinds = [
-        F.struct(
-            F.lit(metric).alias("metric"),
-            F.lit(rank).alias("rank"),
-            F.lit(text).alias("line"),
-        )
+    headers = [
+        F.struct(F.lit(metric).alias("metric"), F.lit("").alias("probe"), F.lit(rank).alias("rank"), F.lit(text).alias("line"))
         for metric, (kind, help_text) in HELP.items()
         for rank, text in ((-2, f"# HELP {metric} {help_text}"), (-1, f"# TYPE {metric} {kind}"))
     ]
-    any_routed = metrics.select(F.lit(1)).limit(1)  # of the grouped rows, whose exchange serves the samples too
-    headers = any_routed.select(F.explode(F.array(*kinds)).alias("h")).select(
-        "h.metric", F.lit("").alias("probe"), "h.rank", "h.line"
+    samples = F.transform(
+        F.concat(counters, buckets, totals),
+        lambda s, i: F.struct(s["metric"].alias("metric"), F.col("name").alias("probe"), (i + 1).alias("rank"), s["line"].alias("line")),
     )
-    return headers.unionByName(lines)
+    # Every probe brings the headers; copies combine inside tasks, and the log is read once.
+    return metrics.select(F.inline(F.concat(F.array(*headers), samples))).distinct()

@@ -80,14 +80,60 @@ def start_upserts(rows: DataFrame, path: str, checkpoint: str, trigger: Trigger
     return writer.foreachBatch(write).trigger(**trigger).start()
 
 
+def _numbers(spark: SparkSession, path: str, name: str) -> list[int]:
+    """The numbers N of the folders `name=N` below a path, ascending; unfinished ones don't count."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(place):
+        return []
+    found = [s.getPath().getName() for s in files.listStatus(place) if s.isDirectory()]
+    done = lambda f: files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{f}/_SUCCESS"))
+    return sorted(int(f.split("=")[1]) for f in found if f.startswith(f"{name}=") and done(f))
+
+
+def _remove(spark: SparkSession, path: str, name: str, numbers: list[int]) -> None:
+    for n in numbers:
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}={n}")
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def read_upserts(spark: SparkSession, path: str, key: str = "name") -> DataFrame:
-    """Current table: of each key the row of the last batch that wrote it."""
-    rows = spark.read.parquet(path)
+    """Current table: of each key the row of the last batch that wrote it. Opens the newest merged table and the
+    batches after it."""
+    merged = (_numbers(spark, path, "merged") or [-1])[-1]
+    kinds = [("merged", n) for n in [merged] if n >= 0] + [("batch", n) for n in _numbers(spark, path, "batch") if n > merged]
+    if not kinds:
+        raise FileNotFoundError(f"no batch below {path}")
+    parts = [spark.read.parquet(f"{path}/{kind}={n}").withColumn("batch", F.lit(n)) for kind, n in kinds]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
     rest = [c for c in rows.columns if c not in (key, "batch")]
     last = rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.col("batch")).alias("_last"))
     return last.select(key, "_last.*")
 
 
+def compact_upserts(spark: SparkSession, path: str, key: str = "name", keep: int = 2) -> None:
+    """Merge all batches so far into `path/merged=N`, N the last of them, and remove what only older tables need.
+
+    The newest `keep` merged tables stay, with the batches after the oldest of them, for readers that have begun. May
+    run beside the stream: a batch that is written meanwhile belongs to the next merge.
+    """
+    batches = _numbers(spark, path, "batch")
+    if batches and batches[-1] not in _numbers(spark, path, "merged"):
+        read_upserts(spark, path, key).write.mode("overwrite").parquet(f"{path}/merged={batches[-1]}")
+    merged = _numbers(spark, path, "merged")
+    oldest = merged[-keep:][0] if merged else -1
+    _remove(spark, path, "merged", [n for n in merged if n < oldest])
+    _remove(spark, path, "batch", [n for n in batches if n <= oldest and n != batches[-1]])
+
+
+def trim_batches(spark: SparkSession, path: str, keep: int = 2) -> None:
+    """Remove all but the newest `keep` of the tables a stream writes whole for each batch, such as
+    `states` of a status history, or `probes` and `credentials` of a reload. The next batch reads the one before it."""
+    _remove(spark, path, "batch", _numbers(spark, path, "batch")[: -max(keep, 1)])
+
+
 def start_status_history(
     results: DataFrame,
     path: str,

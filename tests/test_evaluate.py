@@ -24,6 +24,7 @@ SINGLE = [
     ({"expected_status": 204}, response(status=204), True, 204, "Got expected status 204"),
     ({"contains_text": "Hi"}, response(body="hi"), False, 200, 'Response body did not contain "Hi"'),
     ({"contains_text": 'a"b\\c\n'}, response(body=None), False, 200, 'Response body did not contain "a\\"b\\\\c\\n"'),
+    ({"contains_text": "a\x01\x7f b\u200b\U000e0001é"}, response(body=None), False, 200, 'Response body did not contain "a\\x01\\x7f b\\u200b\\U000e0001é"'),
     ({}, response(error_kind="transport", error="timeout"), False, 0, "http request failed: timeout"),
     ({}, response(error_kind="build", error="bad url"), False, 0, "failed to build request: bad url"),
     ({}, response(error_kind="read", error="eof"), False, 0, "failed to read response body: eof"),

@@ -180,3 +180,11 @@ def test_history_chunks_agree_on_events(spark):
     log = event_results(spark)
     whole = status.status_history(log, seconds=3600)
     assert same(whole, status.status_history(log, seconds=3600, chunk_windows=7)) and whole.count() > 500
+
+
+def test_history_and_exposition_scan_the_log_once(spark):
+    for df in (status.status_history(event_results(spark), seconds=86_400), metrics.metric_exposition(event_results(spark))):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        scans = [line for line in plan.splitlines() if "Scan parquet" in line and "props" in line]
+        assert len(scans) == 1, plan

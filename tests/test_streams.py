@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,6 +140,25 @@ def test_reload_keeps_probes_and_credentials_together(spark, folder):
     assert same(sound, spark.read.parquet(f"{folder}/h8/credentials/batch=2"))
 
 
+def test_compaction_leaves_the_same_table_in_few_folders(spark, folder):
+    batches = [results(spark, *[result(f"p{i}", message=f"{k}", at=seconds(k), cycle_id=str(k)) for i in range(k % 3 + 1)]) for k in range(9)]
+    for i, rows in enumerate(batches):
+        streams_in = rows.coalesce(1)
+        streams_in.write.mode("append").parquet(f"{folder}/in/part={i}")
+    latest = streams.stream_latest_results(arriving(spark, folder, batches[0].schema))
+    finish(streams.start_upserts(latest, f"{folder}/u", f"{folder}/c"))
+    before = streams.read_upserts(spark, f"{folder}/u").collect()
+    for _ in range(2):
+        streams.compact_upserts(spark, f"{folder}/u", keep=1)
+        assert sorted(streams.read_upserts(spark, f"{folder}/u").collect()) == sorted(before)
+    left = {p for p in os.listdir(f"{folder}/u") if "=" in p}
+    assert len(left) == 2 and len(streams.read_upserts(spark, f"{folder}/u").inputFiles()) <= 4
+    results(spark, result("p0", message="later", at=seconds(99))).write.mode("append").parquet(f"{folder}/in/part=99")
+    finish(streams.start_upserts(streams.stream_latest_results(arriving(spark, folder, batches[0].schema)), f"{folder}/u", f"{folder}/c"))
+    now = {r.name: r.message for r in streams.read_upserts(spark, f"{folder}/u").collect()}
+    assert now == {r.name: r.message for r in before} | {"p0": "later"}
+
+
 def test_an_older_late_result_does_not_win(spark, folder):
     newer, older = result("a", message="new", at=seconds(9)), result("a", message="old", at=seconds(1))
     stream = feed(spark, folder, results(spark, newer), results(spark, older))
