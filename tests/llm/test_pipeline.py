@@ -35,3 +35,33 @@ def test_each_stage_takes_effect_and_keeps_the_rest(spark):
 
 def test_stages_follow_the_operators():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "passages", "benchmark", "packing"]
+
+
+def test_stages_equal_brute_force_on_their_own_input(spark):
+    """Whole documents of the smallest tables; the language stage may only drop texts without a letter or unsure ones."""
+    from test_dedup import brute_components, brute_contamination, brute_repeats
+    from test_packing import check
+    from tokenizers import Tokenizer
+
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    before = {r.doc_id: r.text for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, SF), name)
+        after = {r.doc_id: r.text for r in docs.collect()}
+        if name == "language":
+            assert after == {d: before[d] for d in after} and len(after) >= 0.97 * len(before)
+        if name == "near_duplicates":
+            assert after == {d: before[d] for d, _, c in brute_components(list(before.items())) if c == d}
+        if name == "passages":
+            removed = {d: (n, k) for d, n, k, _ in brute_repeats(sorted(before.items()))}
+            assert set(after) == {d for d, (n, k) in removed.items() if not k or k < n}
+            assert all(after[d] == before[d] if not removed[d][1] else len(after[d].split()) == removed[d][0] - removed[d][1] for d in after)
+        if name == "benchmark":
+            clean = {int(d) for d, _, hit, _ in brute_contamination(list(before.items()), items) if not hit}
+            assert after == {d: before[d] for d in clean}
+        before = after
+    tokenizer = Tokenizer.from_file(corpus_pipeline.packing.word_bpe())
+    tokenizer.encode_special_tokens = True
+    whole = lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
+    check(corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect(), list(before.items()), whole, 2048)
