@@ -23,6 +23,22 @@ def outcome(healthy: bool, status_code: str, message: str) -> str:
     return any_outcome(healthy, status_code, message, str(OK))
 
 
+# The keys that are read. A decoder takes them in any case.
+KEYS = ["jsonrpc", "error", "code", "message", "result", "protocolVersion", "capabilities", "tools", "name"]
+
+
+def usual_keys(body: str) -> str:
+    """The body with these keys in their usual case. A quoted text before a colon is always a key; a body without
+    an unusual one is not rewritten."""
+    names = "|".join(KEYS)
+    unusual = f'"(?!(?:{names})")(?i:{names})"\\s*:'
+    text = body
+    for key in KEYS:
+        old, new = f'"(?i:{key})"(\\s*:)', f'"{key}"$1'
+        text = f"regexp_replace({text}, {literal(old)}, {literal(new)})"
+    return f"CASE WHEN {body} RLIKE {literal(unusual)} THEN {text} ELSE {body} END"
+
+
 def parse_body(body: str) -> str:
     """The body as VARIANT below key `v`; null unless the text is exactly one JSON document.
 

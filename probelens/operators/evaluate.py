@@ -103,11 +103,13 @@ MODES: dict[str, Mode] = {
                                  {jsonrpc.tools_success("r", "_names")}) END""",
         last=str(len(jsonrpc.STAGES) - 1),
         before_cycle=(
-            {"_doc0": jsonrpc.parse_body(f"{_CALLS[0]}.body"), "_doc2": jsonrpc.parse_body(f"{_CALLS[2]}.body")},
+            {f"_body{i}": jsonrpc.usual_keys(f"{_CALLS[i]}.body") for i in (0, 2)},
+            {f"_doc{i}": jsonrpc.parse_body(f"_body{i}") for i in (0, 2)},
             {"_names": jsonrpc.tool_names("_doc2")},
         ),
         before_row=(
-            {"_doc": f"CASE WHEN r.seq IN (0, 2) THEN {jsonrpc.parse_body('r.body')} END"},
+            {"_body": f"CASE WHEN r.seq IN (0, 2) THEN {jsonrpc.usual_keys('r.body')} END"},
+            {"_doc": jsonrpc.parse_body("_body")},
             {"_names": f"CASE WHEN r.seq = 2 THEN {jsonrpc.tool_names('_doc')} END"},
         ),
     ),

@@ -124,6 +124,8 @@ MCP = [
     (mcp(), calls(init=f" {OK_INIT}\n"), True, 200, "MCP tool validation succeeded (2 tools)"),
     (mcp(), calls(init="[]"), False, 200, INIT_DECODE + "unexpected JSON type"),
     (mcp(), calls(init="5"), False, 200, INIT_DECODE + "unexpected JSON type"),
+    (mcp(), calls(init='{"JSONRPC":"2.0","Result" : {"ProtocolVersion":"1","capabilities":{"TOOLS":{}}}}', tools='{"result":{"tools":[{"NAME":"a"}]}}'), True, 200, "MCP tool validation succeeded (1 tools)"),
+    (mcp(), calls(init='{"result":{"protocolVersion":"1"},"RESULT":{"protocolVersion":""}}'), False, 200, "Initialize response missing protocolVersion"),
     (mcp(), calls(init="null"), False, 200, "initialize response missing result"),
     (mcp(), calls(init='{"jsonrpc":2,"result":{}}'), False, 200, INIT_DECODE + "unexpected JSON type"),
     (mcp(), calls(init='{"error":"x"}'), False, 200, INIT_DECODE + "unexpected JSON type"),
