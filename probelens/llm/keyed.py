@@ -169,3 +169,41 @@ def placed(answer: dict | None, keys: np.ndarray, parts: int, default: int) -> n
     out = np.empty(len(keys), np.int64)
     out[order] = ordered
     return out
+
+
+# A sketch of how often keys occur: counts in a fixed number of buckets, so what the driver gets and sends is bounded.
+
+SKETCH = 1 << 18
+_SLICES = 64
+SKETCHES = "part INT, sketch BINARY"
+
+
+def bucket_of(keys: np.ndarray) -> np.ndarray:
+    return (keys & np.uint64(SKETCH - 1)).astype(np.int64)
+
+
+def sketch_slices(counts: np.ndarray) -> pa.RecordBatch:
+    """A task's counts of all buckets, as rows of SKETCHES."""
+    slices = [c.tobytes() for c in counts.reshape(_SLICES, -1)]
+    return pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array(slices, pa.binary())], names=["part", "sketch"])
+
+
+def crowded(slices: DataFrame, above: int) -> tuple[np.ndarray, int]:
+    """Which buckets hold more than twice the mean and `above`, and that limit. Fewer than SKETCH / 2 keys can
+    occur more often than it."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, data in zip(batch.column("part").to_pylist(), batch.column("sketch").to_pylist()):
+                counts = np.frombuffer(data, np.int64)
+                sums[part] = sums[part] + counts if part in sums else counts
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["part", "sketch"])
+
+    rows = slices.select("part", "sketch").mapInArrow(add, SKETCHES).repartition(8, "part").mapInArrow(add, SKETCHES).collect()
+    counts = np.zeros(SKETCH, np.int64)
+    for part, data in rows:
+        counts.reshape(_SLICES, -1)[part] = np.frombuffer(data, np.int64)
+    limit = int(2 * counts.mean() + above)
+    return counts > limit, limit

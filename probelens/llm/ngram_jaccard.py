@@ -35,8 +35,7 @@ from probelens.llm.words import SPACES, Words, mix, ranges, slices
 WIDTH = 5
 #: Similarity in percent.
 LEAST = 80
-#: Buckets of the frequency sketch (a fixed size), and how far above twice the mean a bucket is crowded.
-SKETCH = 1 << 18
+#: How far above twice the mean a bucket of the frequency sketch is crowded.
 CROWDED = 1000
 #: Shingles in a block, and sets that all blocks of a family share.
 BLOCK = 1 << 20
@@ -45,7 +44,6 @@ PIVOTS = 4
 LONG = 32
 
 _OWNER = np.dtype([("a", "<i8"), ("b", "<i8")])
-_SKETCH_SLICES = 64
 _HOT_NODE = -(1 << 62)
 
 
@@ -78,10 +76,6 @@ def digest(keys: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
-def bucket_of(keys: np.ndarray) -> np.ndarray:
-    return (keys & np.uint64(SKETCH - 1)).astype(np.int64)
-
-
 # 1. sets and sketch
 
 _SETS = "doc_id BIGINT, n BIGINT, a BIGINT, b BIGINT, part INT, sketch BINARY"
@@ -89,7 +83,7 @@ _SETS_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("a", pa.int
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sketch, seen = np.zeros(SKETCH, np.int64), set()
+    sketch, seen = np.zeros(keyed.SKETCH, np.int64), set()
     for batch in slices(batches, "__text"):
         rows = []
         for doc, keys in zip(batch.column("__id").to_pylist(), shingle_sets(batch.column("__text"))):
@@ -97,31 +91,12 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows.append((doc, len(keys), a, b, None, None))
             if (a, b) not in seen and len(keys):  # copies in a task count once
                 seen.add((a, b))
-                sketch += np.bincount(bucket_of(keys), minlength=SKETCH)
+                sketch += np.bincount(keyed.bucket_of(keys), minlength=keyed.SKETCH)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SETS_ARROW)], schema=_SETS_ARROW)
     if seen:
-        step = SKETCH // _SKETCH_SLICES
-        yield pa.RecordBatch.from_pydict({n: [None] * _SKETCH_SLICES for n in ("doc_id", "n", "a", "b")} | {"part": list(range(_SKETCH_SLICES)), "sketch": [sketch[i * step : (i + 1) * step].tobytes() for i in range(_SKETCH_SLICES)]}, _SETS_ARROW)
-
-
-def _hot(sets: DataFrame) -> np.ndarray:
-    """Which buckets are crowded. What reaches the driver has the size of the sketch."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, data in zip(batch.column("part").to_pylist(), batch.column("sketch").to_pylist()):
-                counts = np.frombuffer(data, np.int64)
-                sums[part] = sums[part] + counts if part in sums else counts
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["part", "sketch"])
-
-    slices_ = sets.where("part IS NOT NULL").select("part", "sketch")
-    rows = slices_.mapInArrow(add, "part INT, sketch BINARY").repartition(8, "part").mapInArrow(add, "part INT, sketch BINARY").collect()
-    counts, step = np.zeros(SKETCH, np.int64), SKETCH // _SKETCH_SLICES
-    for part, data in rows:
-        counts[part * step : (part + 1) * step] = np.frombuffer(data, np.int64)
-    return counts > 2 * counts.mean() + CROWDED
+        slices_ = keyed.sketch_slices(sketch)
+        nulls = {n: pa.nulls(len(slices_), pa.int64()) for n in ("doc_id", "n", "a", "b")}
+        yield pa.RecordBatch.from_arrays([*nulls.values(), *slices_.columns], schema=_SETS_ARROW)
 
 
 # 2. frequencies
@@ -135,7 +110,7 @@ def _deal_rare(hot, parts: int):
             for keys in shingle_sets(batch.column("__text")):
                 if len(keys) and (name := digest(keys)) not in seen:  # copies in a task are sent once
                     seen.add(name)
-                    keys = keys[~crowded[bucket_of(keys)]]
+                    keys = keys[~crowded[keyed.bucket_of(keys)]]
                     if len(keys):
                         kept.append(keys)
                         owners.append(name)
@@ -172,7 +147,7 @@ _SURVIVORS_ARROW = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("keys", pa
 
 def ranks(keys: np.ndarray, crowded: np.ndarray, seen: dict, parts: int) -> np.ndarray:
     """How often each shingle occurs (1 to 255), 256 for hot ones."""
-    hot = crowded[bucket_of(keys)]
+    hot = crowded[keyed.bucket_of(keys)]
     out = np.full(len(keys), 256, np.int64)
     out[~hot] = keyed.placed(seen, keys[~hot], parts, 1)
     return out
@@ -193,7 +168,7 @@ def _survive(hot, parts: int):
                     continue
                 order = np.lexsort((keys, rank))[: len(keys) - least + 1]
                 short = keys[order[(rank[order] > 1) & (rank[order] < 256)]]
-                buckets = np.unique(bucket_of(keys[order[rank[order] == 256]])).astype("<i4")
+                buckets = np.unique(keyed.bucket_of(keys[order[rank[order] == 256]])).astype("<i4")
                 rows.append((seen["__id"], len(keys), keys.tobytes(), short.tobytes(), buckets.tobytes()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SURVIVORS_ARROW)], schema=_SURVIVORS_ARROW)
@@ -442,7 +417,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     texts = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).alias("__text"))
     scanned = written(texts.mapInArrow(_sets, _SETS), "sets")
     sets = scanned.where("part IS NULL").select("doc_id", "n", "a", "b")
-    hot = spark.sparkContext.broadcast(_hot(scanned))
+    hot = spark.sparkContext.broadcast(keyed.crowded(scanned.where("part IS NOT NULL"), CROWDED)[0])
     reps = sets.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("rep"))
     dealt = texts.select("__text").mapInArrow(_deal_rare(hot, parts), keyed.SCHEMA)
     sent = keyed.by_part(dealt, parts).mapInArrow(_frequencies(parts), keyed.ANSWERS)

@@ -4,6 +4,8 @@ Every window of `width` consecutive words gets a Rabin-Karp hash (polynomial ove
 sums). Spark brings all occurrences of a hash together, packed by part of the hash space (see `keyed`), and the
 task finds the smallest document id of each. A window is repeated if that id is smaller than its own document's. What
 returns to a document is one flag for each of its windows in that part, and only from parts with a repeated one.
+Windows that a large share of the corpus has would all meet in one task. A sketch finds them; their counts and smallest ids
+combine inside tasks, the few that are as frequent as the sketch says go to all tasks, and they are not exchanged.
 The document is then hashed again, the flags go back to their windows, and windows merge into maximal intervals.
 
 Hashes have 56 bits beside the part of the space they are in.
@@ -23,6 +25,8 @@ from probelens.llm.store import parts_of, small_batches
 from probelens.llm.words import SPACES, Words, ranges, slices
 
 WIDTH = 50
+#: How far above twice the mean of the sketch's buckets a window is frequent.
+FREQUENT = 1000
 KEY_BYTES = 7
 
 #: __id: the document's id; __hash: tells rows of one id with different texts apart.
@@ -36,12 +40,87 @@ def owners_of(batch: pa.RecordBatch) -> np.ndarray:
     return out
 
 
-def _deal(width: int, parts: int):
+class Frequent:
+    """Frequent windows with the smallest id of each; fewer than half of the sketch's buckets."""
+
+    def __init__(self, keys: np.ndarray, ids: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.ids = keys[order], ids[order]
+
+    def of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each window is frequent, and where it is here."""
+        if not len(self.keys):
+            return np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return self.keys[at] == hashes, at
+
+
+def _sketch(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(keyed.SKETCH, np.int64)
+        for batch in slices(batches, "__text"):
+            counts += np.bincount(keyed.bucket_of(Words(batch.column("__text"), SPACES).windows(width)[0]), minlength=keyed.SKETCH)
+        if counts.any():
+            yield keyed.sketch_slices(counts)
+
+    return run
+
+
+_CANDIDATES = "part INT, keys BINARY, n BINARY, ids BINARY"
+
+
+def _least(keys: np.ndarray, n: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys with their sums and smallest ids."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(n[order], first) if len(first) else n, np.minimum.reduceat(ids[order], first) if len(first) else ids
+
+
+def _packed(parts: np.ndarray, keys: np.ndarray, n: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    rows = [(int(p), keys[m].tobytes(), n[m].tobytes(), ids[m].tobytes()) for p in np.unique(parts) for m in [parts == p]]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["part", "keys", "n", "ids"])
+
+
+def frequent_windows(texts: DataFrame, width: int, parts: int, above: int) -> Frequent:
+    """Windows that occur more often than the sketch's limit."""
+    spark = texts.sparkSession
+    full, limit = keyed.crowded(texts.mapInArrow(_sketch(width), keyed.SKETCHES), above)
+    if not full.any():
+        return Frequent(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    shared = spark.sparkContext.broadcast(full)
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "__text"):
+            hashes, counts = Words(batch.column("__text"), SPACES).windows(width)
+            keep = shared.value[keyed.bucket_of(hashes)]
+            if keep.any():
+                ids = np.repeat(batch.column("__id").to_numpy(), counts)[keep]
+                keys, n, ids = _least(hashes[keep], np.ones(len(ids), np.int64), ids)
+                yield _packed(keyed.part_of(keys, parts), keys, n, ids)
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("keys", "n", "ids")))]
+        if rows:
+            keys, n, ids = _least(*(np.concatenate([np.frombuffer(r[i], t) for r in rows]) for i, t in enumerate(("<u8", "<i8", "<i8"))))
+            often = n > limit
+            if often.any():
+                yield _packed(np.zeros(int(often.sum()), np.int32), keys[often], n[often], ids[often])
+
+    met = texts.mapInArrow(candidates, _CANDIDATES).repartitionById(parts, F.col("part"))
+    found = met.mapInArrow(frequent, _CANDIDATES).collect()
+    shared.unpersist()
+    return Frequent(*(np.concatenate([np.frombuffer(r[c], t) for r in found] or [np.zeros(0, t)]) for c, t in (("keys", "<u8"), ("ids", "<i8"))))
+
+
+def _deal(width: int, parts: int, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__text"):
             hashes, counts = Words(batch.column("__text"), SPACES).windows(width)
-            if len(hashes):
-                yield keyed.deal(hashes, counts, owners_of(batch), parts, KEY_BYTES)
+            rare = ~frequent.value.of(hashes)[0]
+            if rare.any():
+                counts = np.bincount(np.repeat(np.arange(len(batch)), counts)[rare], minlength=len(batch))
+                yield keyed.deal(hashes[rare], counts, owners_of(batch), parts, KEY_BYTES)
 
     return run
 
@@ -82,18 +161,28 @@ _OUT = [("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()
 _OUT_SQL = "n_words BIGINT, n_removed BIGINT, kept STRING, removed ARRAY<STRUCT<start: INT, end: INT>>"
 
 
-def _cut(width: int, parts: int):
+def _cut(width: int, parts: int, frequent):
+    def repeated(doc: int, answer: dict, hashes: np.ndarray) -> np.ndarray:
+        often, at = frequent.value.of(hashes)
+        out = np.zeros(len(hashes), np.int64)
+        out[~often] = keyed.placed(answer if answer["found"] is not None else None, hashes[~often], parts, 0)
+        out[often] = doc > frequent.value.ids[at[often]]
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__text"):
             flags, rows = batch.select(["parts", "counts", "found"]).to_pylist(), []
-            marked = [i for i, f in enumerate(flags) if f["found"] is not None]
+            marked = [i for i, f in enumerate(flags) if f["found"] is not None or len(frequent.value.keys)]
+            ids = batch.column("__id").to_pylist()
             found = {}
             if marked:
                 some = Words(batch.column("__text").take(pa.array(marked)), SPACES)
                 hashes, counts = some.windows(width)
                 ends = np.cumsum(counts)
                 for i, n, end, words in zip(marked, counts, ends, some.counts):
-                    found[i] = covered_words(keyed.placed(flags[i], hashes[end - n : end], parts, 0), int(words), width)
+                    drop = covered_words(repeated(ids[i], flags[i], hashes[end - n : end]), int(words), width)
+                    if drop.any():
+                        found[i] = drop
             for i, text in enumerate(batch.column("__text").to_pylist()):
                 words = [w.decode() for w in (text or "").encode().split()]
                 if i in found:
@@ -103,7 +192,7 @@ def _cut(width: int, parts: int):
                 else:
                     rows.append((len(words), 0, " ".join(words), []))
             made = [pa.array(c, t) for c, (_, t) in zip(zip(*rows), _OUT)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[4:], *made], names=[*batch.schema.names[4:], *(n for n, _ in _OUT)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[5:], *made], names=[*batch.schema.names[5:], *(n for n, _ in _OUT)])
 
     return run
 
@@ -122,12 +211,14 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     parts = parts_of(spark)
     kept = [f"__kept_{i}" for i in range(len(carry))]
     keyed_docs = docs.select(*[F.col(c).alias(k) for c, k in zip(carry, kept)], F.coalesce(F.col(doc_id), F.lit(_LAST)).alias("__id"), F.xxhash64(text).alias("__hash"), F.col(text).alias("__text"))
-    dealt = keyed_docs.select("__id", "__hash", "__text").mapInArrow(_deal(width, parts), keyed.SCHEMA)
+    texts = keyed_docs.select("__id", "__hash", "__text")
+    frequent = spark.sparkContext.broadcast(frequent_windows(texts, width, parts, FREQUENT))
+    dealt = texts.mapInArrow(_deal(width, parts, frequent), keyed.SCHEMA)
     sent = keyed.by_part(dealt, parts).mapInArrow(_flag(parts), keyed.ANSWERS)
     flags = keyed.gathered(sent, parts, _OWNER)
-    joined = keyed_docs.join(flags, ["__id", "__hash"], "left").select("__text", "parts", "counts", "found", *[f"`{c}`" for c in kept])
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[4:]] + [_OUT_SQL])
-    out = joined.mapInArrow(_cut(width, parts), schema)
+    joined = keyed_docs.join(flags, ["__id", "__hash"], "left").select("__id", "__text", "parts", "counts", "found", *[f"`{c}`" for c in kept])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[5:]] + [_OUT_SQL])
+    out = joined.mapInArrow(_cut(width, parts, frequent), schema)
     return out.withColumnsRenamed(dict(zip(kept, carry)))
 
 

@@ -113,7 +113,9 @@ def brute_repeats(rows, width=50):
     return sorted(out)
 
 
-def test_repeated_passages_equal_brute_force(spark):
+@pytest.mark.parametrize("frequent", [1000, 1])
+def test_repeated_passages_equal_brute_force(spark, monkeypatch, frequent):
+    monkeypatch.setattr(substring_dedup, "FREQUENT", frequent)
     passage, rows = prose(1, 70), []
     for i in range(30):
         own = prose(10 + i, 20 + i)
