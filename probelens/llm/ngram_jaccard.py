@@ -38,7 +38,7 @@ LEAST = 80
 #: How far above twice the mean a bucket of the frequency sketch is crowded.
 CROWDED = 1000
 #: Shingles in a block, and sets that all blocks of a family share.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 PIVOTS = 4
 #: Inverted lists longer than this are probed rather than merged.
 LONG = 32

@@ -32,7 +32,7 @@ END_ID = 1
 #: Open windows that are merged in one group.
 MERGED = 4096
 #: Words whose ids a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 
 def _byte_characters() -> dict[int, str]:

@@ -127,7 +127,7 @@ def ranges(counts: np.ndarray) -> np.ndarray:
     return out - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `most_bytes` of text at most; a longer text comes alone."""
     for batch in batches:
         if not len(batch):
