@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from probelens.llm.store import small_batches
+from probelens.llm.store import small_batches, written
 from probelens.llm.words import slices
 
 # Fixed values of the HTML standard.
@@ -46,6 +46,10 @@ LEFT_OUT_WORDS = frozenset(
     "banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations more-stories "
     "comment comments commentlist respond disqus reply replies breadcrumb breadcrumbs pagination pager skip toolbar search form byline-share copyright legal disclaimer".split()
 )
+#: Of these, ones that also name parts of an article (with a word for it beside), and wrappers of whole pages.
+OF_ARTICLES = frozenset("header masthead banner legal notice".split())
+ARTICLE_WORDS = frozenset("article story entry post".split())
+OF_LAYOUTS = frozenset("sidebar header footer nav navbar menu banner rail overlay modal aside widget widgets search cookie cookies consent".split())
 GOOD_WORDS = frozenset("article content main post entry story text body page blog".split())
 
 _TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)
@@ -57,7 +61,7 @@ _END_OF_RAW = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for tag
 
 
 class Element:
-    __slots__ = ("tag", "label", "words", "parent", "inside", "out")
+    __slots__ = ("tag", "label", "words", "parent", "inside", "out", "layout")
 
     def __init__(self, tag: str, attributes: str, parent: Element | None):
         self.tag, self.parent, self.inside = tag, parent, []
@@ -66,8 +70,11 @@ class Element:
         self.label = tag + "".join("." + c for c in sorted(re.sub(r"\d+", "#", x) for x in classes)) + ("#" + re.sub(r"\d+", "#", name) if name else "")
         self.words = {w for x in (*classes, name) for part in (x, *re.split(r"[-_:]", x)) for w in (part, *_WORD.findall(part))}
         role = found.get("role", "").lower()
-        marked = tag not in ("html", "body", "article", "main") and bool(self.words & LEFT_OUT_WORDS) and not (self.words & {"article", "content", "main", "story", "entry"} and not self.words & {"comment", "comments", "sidebar", "ad", "ads", "nav"})
-        self.out = tag in LEFT_OUT or role in LEFT_OUT_ROLES or "hidden" in found or marked
+        told = set() if tag in ("html", "body", "article", "main") else self.words & LEFT_OUT_WORDS
+        if self.words & ARTICLE_WORDS:
+            told -= OF_ARTICLES
+        self.layout = bool(told) and told <= OF_LAYOUTS and tag not in LEFT_OUT and role not in LEFT_OUT_ROLES and "hidden" not in found
+        self.out = tag in LEFT_OUT or role in LEFT_OUT_ROLES or "hidden" in found or bool(told)
         if tag == "header":  # a page's header goes; an article's keeps its headings (see Page)
             self.out = not any(e.tag in ("article", "main") for e in self.ancestors())
 
@@ -155,7 +162,11 @@ class Page:
 
     def __init__(self, html: str):
         self.root = parse(html)
-        self.body = next((e for e in self.walk(self.root, all_=True) if e.tag == "body"), self.root)
+        elements = list(self.walk(self.root, all_=True))
+        self.body = next((e for e in elements if e.tag == "body"), self.root)
+        for e in elements:  # a page's wrapper may be named after its sidebar
+            if e.layout and any(x.tag in ("article", "main") for x in self.walk(e, all_=True)):
+                e.out = False
 
     @staticmethod
     def walk(top: Element, all_: bool = False) -> Iterator[Element]:
@@ -293,10 +304,22 @@ def winning_paths(pages: DataFrame, url: str = "url", html: str = "html") -> Dat
     return ranked.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]).alias("paths"))
 
 
+#: Bytes of all hosts' paths that are sent to every task, and places a host's pages go to where there are more.
+SMALL, SALTS = 8 << 20, 32
 #: Paths of a host that pages are searched for; a page that has none goes by its own best container.
 RANKED = 20
 
 
+def _with_paths(rows: DataFrame, paths: DataFrame) -> DataFrame:
+    """Every page with the paths of its host. A table of paths of at most SMALL bytes goes to the pages; for a larger one
+    pages move, those of a host to SALTS places, so that no host is a task."""
+    size = paths.agg(F.sum(F.octet_length("host") + F.octet_length(F.to_json("paths")) + 32)).first()[0] or 0
+    if size <= SMALL:
+        return rows.join(F.broadcast(paths), "host", "left")
+    salted = paths.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+
+
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, text): the main text of every page, blocks joined by a line feed.
 
@@ -312,7 +335,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
             texts = [main_text(h, paths or []) if h else "" for h, paths in zip(batch.column("html").to_pylist(), batch.column("paths").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    known = rows.join(winning_paths(pages, url, html), "host", "left").select("page_id", "url", "html", "paths")
+    known = _with_paths(rows, written(winning_paths(pages, url, html), "paths")).select("page_id", "url", "html", "paths")
     return known.mapInArrow(run, f"page_id {types['page_id']}, url {types['url']}, text STRING")
 
 

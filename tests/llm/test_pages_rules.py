@@ -30,7 +30,9 @@ def pages(spark, rows):
     return spark.createDataFrame([(*r, "x", "x") for r in rows], "page_id BIGINT, url STRING, html STRING, text STRING, host STRING")
 
 
-def test_main_text_by_consensus(spark):
+@pytest.mark.parametrize("small", [1 << 20, 0])
+def test_main_text_by_consensus(spark, monkeypatch, small):
+    monkeypatch.setattr(html_extract, "SMALL", small)
     rows = [(i, f"https://a.test/{i}", PAGE.format(n=i)) for i in range(5)]
     short = "<html><body><div id='wrap'><div class='sidebar'><p>A long sidebar text, much longer, than the text, of the page, is here</p></div><div class='post-content' id='post-9'><p>Tiny</p></div></div></body></html>"
     rows += [(10, "https://a.test/9", short.replace("<body>", '<body class="home">')), (11, "https://b.test/", "plain text &amp; <no tag"), (12, None, None), (13, "", ""), (14, "x", "<p>only"), (0, "https://a.test/0", PAGE.format(n=0))]
@@ -45,6 +47,14 @@ def test_an_article_keeps_its_own_heading():
     assert html_extract.main_text(html, []) == "Title\nSome text, long enough, to be the article of this page."
 
 
+def test_names_of_wrappers_and_parts_of_an_article():
+    html = """<body><div class="layout has-sidebar"><div class="post-header"><h1>Title</h1></div><main><p>Some text, long enough, to be the article of this page.</p>
+    <div class="share-post">Share</div></main><div class="sidebar"><p>Side text, that is long enough, to be seen as one</p></div></div></body>"""
+    assert html_extract.main_text(html, []) == "Some text, long enough, to be the article of this page."
+    inside = html.replace('<div class="post-header"><h1>Title</h1></div><main>', '<main><div class="post-header"><h1>Title</h1></div>')
+    assert html_extract.main_text(inside, []).split("\n")[0] == "Title"
+
+
 def test_broken_markup_does_not_loop():
     for html in ("<" * 2000, "<p" * 2000, "<a href='" * 2000, "<!--" * 500, "</div>" * 500, "<b>" * 3000 + "deep text that is long enough, really", "<p>x<foot", "a < b <3 c"):
         html_extract.main_text(html, [])
