@@ -19,6 +19,7 @@ inverted lists of one set's shingles, T = ceil(0.8 n). The join is exact:
 from __future__ import annotations
 
 import heapq
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator, Sequence
 from itertools import groupby
@@ -40,8 +41,8 @@ CROWDED = 1000
 #: Shingles in a block, and sets that all blocks of a family share.
 BLOCK = 1 << 19
 PIVOTS = 4
-#: Inverted lists longer than this are probed rather than merged.
-LONG = 32
+#: Inverted lists longer than this are probed rather than merged; more ids than this are merged by sorting.
+LONG, MANY = 32, 512
 
 _OWNER = np.dtype([("a", "<i8"), ("b", "<i8")])
 _HOT_NODE = -(1 << 62)
@@ -219,12 +220,12 @@ def _meet_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # 4. search in a block
 
 
-def divide_skip(lists: list[list[int]], least: int) -> list[tuple[int, int]]:
+def divide_skip(lists: list[array], least: int) -> list[tuple[int, int]]:
     """(id, count) of the ids in at least `least` of the sorted lists.
 
-    Lists longer than LONG, at most least - 1 of them, are set aside. The others are merged by a heap; an id
-    found there often enough is looked up in the long lists by binary search, longest last, as long as it can
-    still reach the count.
+    Lists longer than LONG, at most least - 1 of them, are set aside. The others are merged by a heap, or by one
+    sort where they hold many ids; an id found there often enough is looked up in the long lists by binary
+    search, longest last, as long as it can still reach the count.
     """
     if len(lists) < least:
         return []
@@ -233,6 +234,15 @@ def divide_skip(lists: list[list[int]], least: int) -> list[tuple[int, int]]:
     while cut > 0 and len(lists) - cut < least - 1 and len(lists[cut - 1]) > LONG:
         cut -= 1
     long, out = lists[cut:], []
+    if sum(map(len, lists[:cut])) > MANY:
+        ids, counts = np.unique(np.concatenate([np.frombuffer(x, np.int32) for x in lists[:cut]]), return_counts=True)
+        for k, other in enumerate(long):
+            able = counts + (len(long) - k) >= least
+            ids, counts, among = ids[able], counts[able], np.frombuffer(other, np.int32)
+            at = np.minimum(np.searchsorted(among, ids), len(among) - 1)
+            counts += among[at] == ids
+        able = counts >= least
+        return list(zip(ids[able].tolist(), counts[able].tolist()))
     for x, run in groupby(heapq.merge(*lists[:cut])):
         count = sum(1 for _ in run)
         for k, other in enumerate(long):
@@ -261,7 +271,7 @@ class Cluster:
     def __init__(self) -> None:
         self.members: list[int] = []
         self.recent: list[int] = []
-        self.lists: dict[int, list[int]] = {}
+        self.lists: dict[int, array] = {}
         self.listed = 0
 
 
@@ -275,7 +285,7 @@ class Block:
         dense = np.where(counts > 1, np.cumsum(counts > 1) - 1, -1)[which]
         ends = np.cumsum(self.sizes)
         self.keys = [(k := dense[e - n : e])[k >= 0] for n, e in zip(self.sizes, ends)]
-        self.lists: dict[int, list[int]] = {}
+        self.lists: dict[int, array] = {}
         self.clusters: list[Cluster] = []
 
     def search(self, cluster: Cluster, x: int) -> int | None:
@@ -288,7 +298,7 @@ class Block:
                 return m
         for m in cluster.members[cluster.listed :]:
             for k in self.keys[m].tolist():
-                cluster.lists.setdefault(k, []).append(m)
+                cluster.lists.setdefault(k, array("i")).append(m)
         cluster.listed = len(cluster.members)
         for m, both in divide_skip([cluster.lists[k] for k in keys.tolist() if k in cluster.lists], need(n)):
             if linked(both, self.sizes[m], n):
@@ -313,7 +323,7 @@ class Block:
         if len(cluster.recent) < 4:
             cluster.recent.append(x)
         for k in self.keys[x].tolist():
-            having = self.lists.setdefault(k, [])
+            having = self.lists.setdefault(k, array("i"))
             if not having or having[-1] < c:
                 having.append(c)
             elif having[bisect_left(having, c)] != c:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -89,9 +90,11 @@ def test_near_duplicates_of_odd_rows(spark):
     assert ngram_jaccard.near_duplicates(empty(spark)).isEmpty()
 
 
-def test_divide_skip_counts():
+@pytest.mark.parametrize("many", [10_000, 0])
+def test_divide_skip_counts(monkeypatch, many):
+    monkeypatch.setattr(ngram_jaccard, "MANY", many)
     rng = random.Random(3)
-    lists = [sorted(rng.sample(range(300), n)) for n in (3, 10, 40, 120, 200, 250, 290)]
+    lists = [array("i", sorted(rng.sample(range(300), n))) for n in (3, 10, 40, 120, 200, 250, 290)]
     for least in range(1, 8):
         counted = {x: sum(x in s for s in map(set, lists)) for x in range(300)}
         assert dict(ngram_jaccard.divide_skip(lists, least)) == {x: n for x, n in counted.items() if n >= least}
