@@ -8,7 +8,7 @@ so training starts from the unigram model.
 
 Counts cover all training texts: words are counted by part of the hash space (see `keyed`). Words so frequent that their share
 has a bounded number of members (heads) go to all tasks; only the others travel, once for each text that has them. The weights
-are trained on a fixed share of all training texts' blocks in rounds: each task descends on its blocks from the weights of the round
+are trained on all blocks of all training texts in rounds: each task descends on its blocks from the weights of the round
 before, and Spark averages what the tasks changed. Only that average, of the model's fixed size, reaches the driver.
 """
 
@@ -36,8 +36,8 @@ CLASS_ROWS, WORD_ROWS = 1 << 13, 1 << 14
 FEATURES = 4
 #: A word with at least this share of all training tokens is a head; there are no more heads than this number.
 HEADS = 1 << 17
-#: Share of blocks of BLOCK tokens that the weights are trained on (one in so many), and rounds they are dealt to.
-ONE_IN, BLOCK, ROUNDS = 4, 64, 6
+#: Tokens of a block, and rounds that the blocks are dealt to.
+BLOCK, ROUNDS = 64, 6
 RATE, BATCH = 0.15, 2048
 
 
@@ -203,8 +203,8 @@ def encode(words: Words, counts: Counts) -> tuple[np.ndarray, np.ndarray, np.nda
     return ids, n, which, (distinct, *known)
 
 
-def _sampled(shared):
-    """Blocks of tokens to train on, with the three before each block, and the round they are for."""
+def _blocks(shared):
+    """All blocks of tokens, with the three before each block, and the round they are for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__text"):
@@ -214,7 +214,7 @@ def _sampled(shared):
                 blocks = -(-m // BLOCK)
                 with np.errstate(over="ignore"):
                     draw = mix(h + np.arange(blocks, dtype=np.uint64))
-                for b in np.flatnonzero(draw % np.uint64(ONE_IN) == 0).tolist():
+                for b in range(blocks):
                     low = b * BLOCK
                     lead = np.full(3, END, np.uint16)
                     if low:
@@ -273,7 +273,7 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(train: DataFrame, counts: Counts, shared_counts) -> Model:
     spark, model = train.sparkSession, Model(counts)
     path = new_dir(spark, "blocks")
-    train.mapInArrow(_sampled(shared_counts), "round INT, ids BINARY").write.partitionBy("round").parquet(path)
+    train.mapInArrow(_blocks(shared_counts), "round INT, ids BINARY").write.partitionBy("round").parquet(path)
     blocks = spark.read.schema("ids BINARY, round INT").parquet(path)
     for r in range(ROUNDS):
         weights = spark.sparkContext.broadcast(model)

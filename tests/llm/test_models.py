@@ -112,6 +112,19 @@ def test_class_and_word_probabilities_sum_to_one():
     assert math.isclose(np.exp(model.log_probability(ids, before)).sum(), 1, rel_tol=1e-4)
 
 
+def test_every_training_token_is_in_a_block():
+    import types
+
+    import pyarrow as pa
+
+    counts = lm_scoring.Counts(np.arange(50, dtype=np.uint64), np.arange(1, 51), 2000, 300, 20)
+    texts = [prose(i, 1 + i * 37 % 300) for i in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64()), pa.array(texts)], names=["__hash", "__text"])
+    blocks = [x for b in lm_scoring._blocks(types.SimpleNamespace(value=counts))(iter([batch])) for x in b.column("ids").to_pylist()]
+    width = len(blocks[0]) // (min(len(texts[0].split()) + 1, lm_scoring.BLOCK) + 3)
+    assert sum(len(x) // width - 3 for x in blocks) == sum(len(t.split()) + 1 for t in texts)
+
+
 def test_scores_of_odd_rows(spark):
     found = lm_scoring.score(documents(spark, odd_rows()), F.col("doc_id") % 2 == 1).collect()
     assert len(found) == len(odd_rows()) and all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in found)
