@@ -1,15 +1,18 @@
-"""Language-model scores: a hashed maximum-entropy model with a class-factored softmax.
+"""Language-model scores: a hashed maximum-entropy model with a softmax factored by levels of classes.
 
-Tokens are words, and one end for each text. The most frequent words of the training texts are the vocabulary, in classes by
-frequency; every other word is one unknown token, spelled out by its smoothed frequency among unknown words. A token's
-probability is that of its class times that within the class, each a softmax over weights of hashed features of what
+Tokens are words, and one end for each text. The frequent words of the training texts (heads) are the vocabulary, a tree
+by frequency; every other word is one unknown token, spelled out by its smoothed frequency among unknown words. A token's
+probability is the product of those of the branches that lead to it, each a softmax over weights of hashed features of what
 comes before: the last token, the last two, and the second and third last alone (skips). Biases are the logarithms of frequencies,
 so training starts from the unigram model.
 
-Counts cover all training texts: words are counted by part of the hash space (see `keyed`). Words so frequent that their share
-has a bounded number of members (heads) go to all tasks; only the others travel, once for each text that has them. The weights
+Vocabulary and weights grow with the square root of the training tokens, as the number of different words of a share does; levels
+are added as the vocabulary needs them.
+
+Counts cover all training texts: words are counted by part of the hash space (see `keyed`). Heads go to all tasks; only the
+other words travel, once for each text that has them. The weights
 are trained on all blocks of all training texts in rounds: each task descends on its blocks from the weights of the round
-before, and Spark averages what the tasks changed. Only that average, of the model's fixed size, reaches the driver.
+before, and Spark averages what the tasks changed. Only that average, of the model's size, reaches the driver.
 """
 
 from __future__ import annotations
@@ -28,19 +31,27 @@ from probelens.llm.store import new_dir, parts_of, small_batches
 from probelens.llm.substring_dedup import _LAST, _OWNER, owners_of
 from probelens.llm.words import SPACES, Words, mix, ranges, slices
 
-CLASSES, WITHIN = 32, 32
-TOKENS = CLASSES * WITHIN
+#: Branches of a node of the tree of words, and tokens of the smallest tree, of two levels.
+BRANCHES = 32
+TOKENS = BRANCHES**2
 END, UNKNOWN = 0, 1
-#: Rows of the hashed weights for classes, and for words within classes.
-CLASS_ROWS, WORD_ROWS = 1 << 13, 1 << 14
+#: Rows of the hashed weights for the first level, and for each further one, up to ROWS_FROM training tokens.
+CLASS_ROWS, WORD_ROWS, ROWS_FROM = 1 << 13, 1 << 14, 1 << 22
 FEATURES = 4
-#: A word with at least this share of all training tokens is a head; there are no more heads than this number.
-HEADS = 1 << 17
+#: A word with at least one of so many of all training tokens is a head, up to HEADS_FROM training tokens.
+HEADS, HEADS_FROM = 1 << 17, 1 << 20
+#: Tasks of a round of training, up to ROWS_FROM training tokens.
+TASKS = 6
 #: Tokens of a block, and rounds that the blocks are dealt to.
 BLOCK, ROUNDS = 64, 6
 RATE, BATCH = 0.15, 2048
 
 
+def growth(tokens: int, start: int) -> float:
+    """By how much what grows with the square root of the training tokens is larger than at `start` tokens."""
+    return max(1.0, tokens / start) ** 0.5
+
+
 @dataclass
 class Counts:
     keys: np.ndarray  # hashes of heads, sorted
@@ -50,7 +61,7 @@ class Counts:
     ends: int  # training texts
 
     def __post_init__(self) -> None:
-        order = np.lexsort((self.keys, -self.counts))[: TOKENS - 2]
+        order = np.lexsort((self.keys, -self.counts))
         self.rank = np.full(len(self.keys), UNKNOWN, np.int64)
         self.rank[order] = np.arange(2, 2 + len(order))
         self.vocabulary = order
@@ -113,7 +124,7 @@ def count(train: DataFrame, parts: int) -> Counts:
     """Counts of all words of the training texts; those of heads by word."""
     total = train.mapInArrow(_tokens, "words BIGINT, texts BIGINT").agg(F.sum("words"), F.sum("texts")).first()
     words, texts = total[0] or 0, total[1] or 0
-    least = max(1, -(-(words + texts) // HEADS))
+    least = max(1, -(-(words + texts) // int(HEADS * growth(words + texts, HEADS_FROM))))
     found = keyed.by_part(train.mapInArrow(_deal_counts(parts), keyed.SCHEMA), parts).mapInArrow(_heads(least), "keys BINARY, counts BINARY, distinct BIGINT").collect()
     keys = np.concatenate([np.frombuffer(r[0], "<u8") for r in found] or [np.zeros(0, np.uint64)])
     n = np.concatenate([np.frombuffer(r[1], "<i8") for r in found] or [np.zeros(0, np.int64)])
@@ -125,53 +136,68 @@ def count(train: DataFrame, parts: int) -> Counts:
 
 
 class Model:
+    """Weights and biases by level; a token's id in base BRANCHES gives its branches, from the root on."""
+
     def __init__(self, counts: Counts):
-        n = np.full(TOKENS, 0.01)
+        self.depth = 2
+        while BRANCHES**self.depth < len(counts.vocabulary) + 2:
+            self.depth += 1
+        n = np.full(BRANCHES**self.depth, 0.01 * TOKENS / BRANCHES**self.depth)
         n[END], n[UNKNOWN] = counts.ends + 0.5, counts.unknown + 0.5
         n[2 : 2 + len(counts.vocabulary)] = counts.counts[counts.vocabulary] + 0.5
-        n = n.reshape(CLASSES, WITHIN)
-        self.class_bias = np.log(n.sum(axis=1)).astype(np.float32)
-        self.word_bias = np.log(n).astype(np.float32)
-        self.by_class = np.zeros((CLASS_ROWS, CLASSES), np.float32)
-        self.by_word = np.zeros((WORD_ROWS, WITHIN), np.float32)
-
-    def rows(self, before: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of the weights for each position; before: the last three tokens, nearest first."""
+        self.bias = [np.log(n.reshape(-1, BRANCHES, BRANCHES ** (self.depth - k - 1)).sum(axis=2)).astype(np.float32) for k in range(self.depth)]
+        times = 1 << int(np.log2(growth(counts.tokens, ROWS_FROM)))
+        self.by_class = np.zeros((CLASS_ROWS * times, BRANCHES), np.float32)
+        self.by_word = [np.zeros((WORD_ROWS * times, BRANCHES), np.float32) for _ in range(self.depth - 1)]
+
+    @property
+    def weights(self) -> list[np.ndarray]:
+        return [self.by_class, *self.by_word]
+
+    def plus(self, change: np.ndarray | None = None) -> Model:
+        """A copy to which a change of all weights is added."""
+        own, at = [], 0
+        for w in self.weights:
+            own.append(w.copy() if change is None else w + change[at : at + w.size].reshape(w.shape))
+            at += w.size
+        out = Model.__new__(Model)
+        out.__dict__ = self.__dict__ | {"by_class": own[0], "by_word": own[1:]}
+        return out
+
+    def features(self, before: np.ndarray) -> np.ndarray:
+        """Hashed features of each position; before: the last three tokens, nearest first."""
         b = before.astype(np.uint64)
-        features = np.stack((b[:, 0], (b[:, 0] + 1) * np.uint64(TOKENS) + b[:, 1], b[:, 1], b[:, 2]), axis=1)
-        features = mix(features * np.uint64(FEATURES) + np.arange(FEATURES, dtype=np.uint64))
-        inner = mix(features ^ (classes.astype(np.uint64)[:, None] + 1) * np.uint64(0x9E3779B97F4A7C15))
-        return (features >> np.uint64(40)) % np.uint64(CLASS_ROWS), (inner >> np.uint64(40)) % np.uint64(WORD_ROWS)
-
-    def softmax(self, rows: tuple[np.ndarray, np.ndarray], classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log-probabilities of all classes, and of all words of each position's class."""
-        out = []
-        for bias, weights, at in ((self.class_bias, self.by_class, rows[0]), (self.word_bias[classes], self.by_word, rows[1])):
-            z = weights[at[:, 0]] + bias
-            for k in range(1, FEATURES):
-                z += weights[at[:, k]]
+        features = np.stack((b[:, 0], ((b[:, 0] + 1) << np.uint64(28)) + b[:, 1], b[:, 1], b[:, 2]), axis=1)
+        return mix(features * np.uint64(FEATURES) + np.arange(FEATURES, dtype=np.uint64))
+
+    def levels(self, ids: np.ndarray, before: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each level: its number, the rows of the weights, the log-probabilities of all branches of each position's node,
+        and the branch that was taken."""
+        features = self.features(before)
+        for k, weights in enumerate(self.weights):
+            node = ids // BRANCHES ** (self.depth - k)
+            inner = mix(features ^ (node.astype(np.uint64)[:, None] + 1) * np.uint64(0x9E3779B97F4A7C15)) if k else features
+            at = (inner >> np.uint64(32)) % np.uint64(len(weights))
+            z = weights[at[:, 0]] + self.bias[k][node]
+            for j in range(1, FEATURES):
+                z += weights[at[:, j]]
             z -= z.max(axis=1, keepdims=True)
             z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-            out.append(z)
-        return out[0], out[1]
+            yield k, at, z, ids // BRANCHES ** (self.depth - k - 1) % BRANCHES
 
     def log_probability(self, ids: np.ndarray, before: np.ndarray) -> np.ndarray:
-        out = np.empty(len(ids))
+        out = np.zeros(len(ids))
         for low in range(0, len(ids), 8192):
             some = ids[low : low + 8192]
-            classes = some // WITHIN
-            of_class, of_word = self.softmax(self.rows(before[low : low + 8192], classes), classes)
-            i = np.arange(len(some))
-            out[low : low + 8192] = of_class[i, classes] + of_word[i, some % WITHIN]
+            for _, _, z, branch in self.levels(some, before[low : low + 8192]):
+                out[low : low + 8192] += z[np.arange(len(some)), branch]
         return out
 
-    def descend(self, ids: np.ndarray, before: np.ndarray, seen: tuple[np.ndarray, np.ndarray]) -> None:
+    def descend(self, ids: np.ndarray, before: np.ndarray, seen: list[np.ndarray]) -> None:
         """A step on some positions; seen: squared gradients of each row so far."""
-        classes, i = ids // WITHIN, np.arange(len(ids))
-        rows = self.rows(before, classes)
-        for weights, squares, at, p, target in zip((self.by_class, self.by_word), seen, rows, self.softmax(rows, classes), (classes, ids % WITHIN)):
-            error = np.exp(p)
-            error[i, target] -= 1
+        for level, at, z, branch in self.levels(ids, before):
+            weights, squares, error = self.weights[level], seen[level], np.exp(z)
+            error[np.arange(len(ids)), branch] -= 1
             for k in range(FEATURES):
                 order = np.argsort(at[:, k], kind="stable")
                 own = at[order, k]
@@ -216,10 +242,10 @@ def _blocks(shared):
                     draw = mix(h + np.arange(blocks, dtype=np.uint64))
                 for b in range(blocks):
                     low = b * BLOCK
-                    lead = np.full(3, END, np.uint16)
+                    lead = np.full(3, END, np.uint32)
                     if low:
                         lead[:] = ids[at + low - 3 : at + low]
-                    own = np.concatenate((lead, ids[at + low : at + min(low + BLOCK, m)])).astype("<u2")
+                    own = np.concatenate((lead, ids[at + low : at + min(low + BLOCK, m)])).astype("<u4")
                     out.append((int(draw[b] >> np.uint64(32)) % ROUNDS, own.tobytes()))
                 at += m
             if out:
@@ -233,16 +259,15 @@ _SLICES = 24
 
 
 def _descend(shared):
-    """A task's changes to the weights, in slices, weighted by its positions."""
+    """A task's changes to the weights, in slices and with half precision, weighted by its positions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, positions = shared.value, 0
-        model = Model.__new__(Model)
-        model.__dict__ = start.__dict__ | {"by_class": start.by_class.copy(), "by_word": start.by_word.copy()}
-        seen = (np.zeros(CLASS_ROWS, np.float32), np.zeros(WORD_ROWS, np.float32))
+        model = start.plus()
+        seen = [np.zeros(len(w), np.float32) for w in model.weights]
         rng = np.random.default_rng(7)
         for batch in batches:
-            blocks = [np.frombuffer(x, "<u2").astype(np.int64) for x in batch.column("ids").to_pylist()]
+            blocks = [np.frombuffer(x, "<u4").astype(np.int64) for x in batch.column("ids").to_pylist()]
             flat = np.concatenate(blocks)
             n = np.array([len(b) for b in blocks])
             at = np.repeat(np.cumsum(n) - n + 3, n - 3) + ranges(n - 3)
@@ -252,7 +277,7 @@ def _descend(shared):
                 model.descend(flat[some], np.stack([flat[some - k] for k in (1, 2, 3)], axis=1), seen)
             positions += len(at)
         if positions:
-            change = np.concatenate(((model.by_class - start.by_class).ravel(), (model.by_word - start.by_word).ravel())).reshape(_SLICES, -1)
+            change = np.array_split(np.concatenate([(a - b).astype(np.float16).ravel() for a, b in zip(model.weights, start.weights)]), _SLICES)
             yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array([c.tobytes() for c in change], pa.binary()), pa.array([float(positions)] * _SLICES)], names=["slice", "changed", "weight"])
 
     return run
@@ -263,7 +288,7 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k, data, weight in zip(*(batch.column(n).to_pylist() for n in ("slice", "changed", "weight"))):
             had = sums.setdefault(k, [0.0, 0.0])
-            had[0] = had[0] + np.frombuffer(data, np.float32) * weight
+            had[0] = had[0] + np.frombuffer(data, np.float16).astype(np.float32) * weight
             had[1] += weight
     if sums:
         rows = [(k, (total / weight).astype(np.float32).tobytes(), weight) for k, (total, weight) in sums.items()]
@@ -275,16 +300,14 @@ def fit(train: DataFrame, counts: Counts, shared_counts) -> Model:
     path = new_dir(spark, "blocks")
     train.mapInArrow(_blocks(shared_counts), "round INT, ids BINARY").write.partitionBy("round").parquet(path)
     blocks = spark.read.schema("ids BINARY, round INT").parquet(path)
+    tasks = int(TASKS * growth(counts.tokens, ROWS_FROM))
     for r in range(ROUNDS):
         weights = spark.sparkContext.broadcast(model)
-        changes = blocks.where(F.col("round") == r).select("ids").mapInArrow(_descend(weights), _CHANGE)
+        changes = blocks.where(F.col("round") == r).select("ids").coalesce(tasks).mapInArrow(_descend(weights), _CHANGE)
         found = changes.repartition(min(_SLICES, parts_of(spark)), "slice").mapInArrow(_average, _CHANGE).collect()
         weights.unpersist()
         if found:
-            change = np.concatenate([np.frombuffer(x.changed, np.float32) for x in sorted(found)])
-            cut = model.by_class.size
-            model.by_class = model.by_class + change[:cut].reshape(model.by_class.shape)
-            model.by_word = model.by_word + change[cut:].reshape(model.by_word.shape)
+            model = model.plus(np.concatenate([np.frombuffer(x.changed, np.float32) for x in sorted(found)]))
     return model
 
 
@@ -346,7 +369,7 @@ def _tail_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["__id", "__hash", "tail_sum", "tail_known"])
 
 
-_LOCAL = "n_tokens BIGINT, n_unknown BIGINT, head_known BIGINT, head_sum DOUBLE, spelled DOUBLE, model DOUBLE"
+_LOCAL = "n_tokens BIGINT, n_unknown BIGINT, head_known BIGINT, head_sum DOUBLE, model DOUBLE"
 
 
 def _local(shared_counts, shared_model):
@@ -358,12 +381,12 @@ def _local(shared_counts, shared_model):
             words = Words(batch.column("__text"), SPACES, lower=True)
             ids, n, which, (_, head, count, rank) = encode(words, counts)
             logs = np.log10(count + 0.5)
-            columns = [np.where(head & (count > 0), 1, 0), np.where(head, logs, 0), np.where(head & (rank == UNKNOWN), logs, 0), np.where(rank == UNKNOWN, 1, 0)]
+            columns = [np.where(head & (count > 0), 1, 0), np.where(head, logs, 0), np.where(rank == UNKNOWN, 1, 0)]
             doc = np.repeat(np.arange(len(batch)), words.counts)
-            known, heads, spelled, unknown = (np.bincount(doc, weights=c[which], minlength=len(batch)) for c in columns)
+            known, heads, unknown = (np.bincount(doc, weights=c[which], minlength=len(batch)) for c in columns)
             log_p = model.log_probability(ids, preceding(ids, None, n)) / np.log(10)
             of_model = np.bincount(np.repeat(np.arange(len(batch)), n), weights=log_p, minlength=len(batch))
-            made = [pa.array(n), pa.array(unknown.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(heads), pa.array(spelled), pa.array(of_model)]
+            made = [pa.array(n), pa.array(unknown.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(heads), pa.array(of_model)]
             names = [c.split()[0] for c in _LOCAL.split(", ")]
             keep = [i for i, x in enumerate(batch.schema.names) if x not in ("__text", "__train")]
             yield pa.RecordBatch.from_arrays([*(batch.columns[i] for i in keep), *made], names=[*(batch.schema.names[i] for i in keep), *names])
@@ -397,7 +420,7 @@ def score(docs: DataFrame, train, doc_id: str = "doc_id", text: str = "text", ca
     rare = float(np.log10(counts.unknown + 0.5 * (counts.unknown_distinct + 1)))
     known = F.col("head_known") + F.coalesce("tail_known", F.lit(0)) + (1 if counts.ends else 0)
     base = F.col("head_sum") + tail + float(np.log10(counts.ends + 0.5)) - F.col("n_tokens") * whole
-    of_model = F.col("model") + F.col("spelled") + tail - F.col("n_unknown") * rare
+    of_model = F.col("model") + tail - F.col("n_unknown") * rare
     return out.select(*[F.col(k).alias(c) for k, c in zip(kept, carry)], "n_tokens", known.cast("long").alias("n_known"), F.lit(counts.tokens).cast("long").alias("train_tokens"),
                       base.alias("base_score"), of_model.alias("score"))
 

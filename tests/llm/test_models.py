@@ -125,6 +125,23 @@ def test_every_training_token_is_in_a_block():
     assert sum(len(x) // width - 3 for x in blocks) == sum(len(t.split()) + 1 for t in texts)
 
 
+def test_vocabulary_and_weights_grow_with_the_training_tokens():
+    def counts_of(heads, tokens):
+        return lm_scoring.Counts(np.arange(heads, dtype=np.uint64) * np.uint64(7919), np.arange(heads, 0, -1), tokens, 2 * heads, 20)
+
+    few, many = counts_of(50, 2000), counts_of(5000, 100_000_000)
+    ids = many.of(many.keys)[2]
+    assert len(set(ids.tolist())) == 5000 and lm_scoring.UNKNOWN not in ids  # each head is a word of its own
+    small, large = lm_scoring.Model(few), lm_scoring.Model(many)
+    assert large.by_class.size >= 4 * small.by_class.size and sum(w.size for w in large.by_word) >= 8 * sum(w.size for w in small.by_word)
+    for w in large.weights:
+        w += np.random.default_rng(3).normal(size=w.shape).astype(np.float32)
+    every = np.arange(lm_scoring.BRANCHES**large.depth)
+    assert math.isclose(np.exp(large.log_probability(every, np.tile([4000, 3, 5], (len(every), 1)))).sum(), 1, rel_tol=1e-3)
+    least = lambda n: n / (lm_scoring.HEADS * lm_scoring.growth(n, lm_scoring.HEADS_FROM))
+    assert least(1 << 30) < (1 << 30) / lm_scoring.HEADS / 8
+
+
 def test_scores_of_odd_rows(spark):
     found = lm_scoring.score(documents(spark, odd_rows()), F.col("doc_id") % 2 == 1).collect()
     assert len(found) == len(odd_rows()) and all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in found)
