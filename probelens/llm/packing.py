@@ -45,16 +45,18 @@ def _byte_characters() -> dict[int, str]:
 
 class WordIds:
     """Ids of a word BPE whose words never span white space. Words of plain Latin text are looked up or encoded one
-    by one and remembered; a text with any other character is encoded whole."""
+    by one and remembered; a text with any other character is encoded whole. With `added`, literals of added tokens give
+    these tokens' ids, as by the tokenizer's defaults, and a text that may hold one is encoded whole; else they are text."""
 
     #: The vocabulary's own split of a word.
     PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
     #: Composed letters whose lower case is one letter, ASCII, and plain white space.
     OTHER = re.compile("[^\t-\r -~¡-įı-ɏ]")
 
-    def __init__(self, path: str, remembered: int = REMEMBERED):
+    def __init__(self, path: str, remembered: int = REMEMBERED, added: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        self.literals = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
         self.model, self.remembered = self.tokenizer.model, remembered
         self.characters = _byte_characters()
         self.forget()
@@ -82,12 +84,13 @@ class WordIds:
         return i
 
     def encode(self, text: str) -> np.ndarray:
-        if self.OTHER.search(text):
+        lower = text.lower()
+        if self.OTHER.search(text) or any(x in lower for x in self.literals):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
         if len(self.index) > self.remembered:
             self.forget()
         get, learn = self.index.get, self.learn
-        which = np.array([i if (i := get(w)) is not None else learn(w) for w in text.lower().split()], np.int64)
+        which = np.array([i if (i := get(w)) is not None else learn(w) for w in lower.split()], np.int64)
         lengths = self.lengths[which]
         return self.pool[np.repeat(self.starts[which], lengths) + ranges(lengths)]
 
@@ -97,7 +100,7 @@ _ENCODERS: dict[str, WordIds] = {}
 
 def encoder(path: str) -> WordIds:
     if path not in _ENCODERS:
-        _ENCODERS[path] = WordIds(path)
+        _ENCODERS[path] = WordIds(path, added=True)
     return _ENCODERS[path]
 
 
@@ -200,7 +203,7 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", carry: Sequence[st
 
     A document is its ids followed by `end_id`; a null or empty text is that id alone. Pieces of a sequence have no
     gap between them; what is missing to `size` at its end is padding. Documents longer than a window are cut at its
-    multiples. Repeated rows are packed each for itself; other columns are ignored. No documents give no rows.
+    multiples. Ids are those of the tokenizer's defaults, so the literal of an added token is that token. Repeated rows are packed each for itself; other columns are ignored. No documents give no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)

@@ -69,6 +69,18 @@ def test_odd_rows(spark, whole):
     assert packing.pack(empty(spark), PATH).isEmpty()
 
 
+def test_literals_of_added_tokens_are_these_tokens(spark):
+    plain = Tokenizer.from_file(PATH)
+    unmodified = lambda text: plain.encode(text or "", add_special_tokens=False).ids
+    assert unmodified("hello <|endoftext|> b")[1] == plain.token_to_id("<|endoftext|>")
+    texts = [*TEXTS, "hello <|endoftext|> b", "a<|ENDOFTEXT|>b <|startoftext|>", "<|endoftext|", "<|endoftext|><|endoftext|>"]
+    ids = packing.WordIds(PATH, added=True)
+    for text in texts * 2:
+        assert ids.encode(text).tolist() == unmodified(text), text
+    rows = list(enumerate(texts))
+    check(packing.pack(documents(spark, rows), PATH).collect(), rows, unmodified, packing.WINDOW)
+
+
 def test_at_most_so_many_windows_are_open():
     windows = packing.Windows(10, 2)
     assert windows.place(6, ("a",)) == [] and windows.place(5, ("b",)) == []
