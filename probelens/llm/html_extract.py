@@ -3,9 +3,10 @@
 1. Each page is parsed leniently and its containers are scored: paragraphs give points for length and commas to
    their parent and half to its parent, less the share of linked text. The best one, with the article around it and
    its heading, names a path of tags and classes in which digits are generalised.
-2. Spark counts the votes for every path of a host (a grouped count, small rows; pages don't move) and ranks them.
-3. Each page is parsed again and its text is taken from the elements on the highest ranked path that it has;
-   without any, from its own best container, and at last from the body.
+2. Spark counts the votes for every path of a host (a grouped count, small rows).
+3. Each page is parsed again and its text is taken from the elements on the path with most votes that it has; without any,
+   from its own best container, and at last from the body. No path is dropped: a small table of votes goes to the pages, and
+   with a large one each page asks for the votes of its own paths.
 
 Inside of what is chosen, menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
 comments are left out, told by tag, role, class or id.
@@ -13,6 +14,7 @@ comments are left out, told by tag, role, class or id.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from html import unescape
@@ -20,7 +22,6 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from probelens.llm.store import small_batches, written
 from probelens.llm.words import slices
@@ -250,6 +251,19 @@ class Page:
                     break
         return top
 
+    def keys(self) -> set[int]:
+        """Hashes of the paths of all elements (see `key_of`), made from those of their parents."""
+        out, stack = set(), [(self.root, _hasher())]
+        while stack:
+            e, made = stack.pop()
+            out.add(_number(made))
+            for x in e.inside:
+                if not isinstance(x, str) and not x.out:
+                    of_x = made.copy()
+                    of_x.update(f"/{x.label}".encode("utf-8", "replace"))
+                    stack.append((x, of_x))
+        return out
+
     def at(self, path: str) -> list[Element]:
         """Outermost elements on a path."""
         last = path.rpartition("/")[2]
@@ -271,13 +285,30 @@ def _strings(x: str | Element, linked: bool = False) -> Iterator[tuple[str, bool
             todo.extend((y, link or e.tag == "a") for y in e.inside)
 
 
+def _hasher():
+    return hashlib.blake2b(digest_size=8)
+
+
+def _number(made) -> int:
+    return int.from_bytes(made.digest(), "little", signed=True)
+
+
+def key_of(path: str) -> int:
+    made = _hasher()
+    made.update(path.encode("utf-8", "replace"))
+    return _number(made)
+
+
 def main_path(html: str) -> str | None:
     best = Page(html).best()
     return best.path() if best is not None else None
 
 
-def main_text(html: str, paths: list[str]) -> str:
+def main_text(html: str, paths: list[str], votes: dict[int, tuple[int, str]] | None = None) -> str:
+    """The text of a page by the first path that it has: of `paths`, or of those in `votes`, (less votes, path) by key."""
     page = Page(html)
+    if votes:
+        paths = [path for _, path in sorted(votes[k] for k in page.keys() & votes.keys())]
     for path in paths:
         if blocks := [b for e in page.at(path) for b in page.text(e)]:
             return "\n".join(blocks)
@@ -290,34 +321,39 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def winning_paths(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, paths): the paths that pages of a host voted for, most votes first, ties by path."""
+def votes_of(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """(host, key, path, votes): all paths that pages of a host voted for."""
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
             found = [main_path(h) if h else None for h in batch.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(found, pa.string())], names=["host", "path"])
+            keys = [key_of(p) if p is not None else None for p in found]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(keys, pa.int64()), pa.array(found, pa.string())], names=["host", "key", "path"])
 
     rows = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html"))
-    votes = rows.mapInArrow(vote, "host STRING, path STRING").where("path IS NOT NULL").groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"))
-    ranked = votes.withColumn("rank", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), "path"))).where(F.col("rank") <= RANKED)
-    return ranked.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]).alias("paths"))
+    votes = rows.mapInArrow(vote, "host STRING, key BIGINT, path STRING").where("path IS NOT NULL")
+    return votes.groupBy("host", "key", "path").agg(F.count(F.lit(1)).alias("votes"))
 
 
-#: Bytes of all hosts' paths that are sent to every task, and places a host's pages go to where there are more.
+#: Bytes of all votes that are sent to every task, and places the votes for a path go to where there are more.
 SMALL, SALTS = 8 << 20, 32
-#: Paths of a host that pages are searched for; a page that has none goes by its own best container.
-RANKED = 20
 
 
-def _with_paths(rows: DataFrame, paths: DataFrame) -> DataFrame:
-    """Every page with the paths of its host. A table of paths of at most SMALL bytes goes to the pages; for a larger one
-    pages move, those of a host to SALTS places, so that no host is a task."""
-    size = paths.agg(F.sum(F.octet_length("host") + F.octet_length(F.to_json("paths")) + 32)).first()[0] or 0
-    if size <= SMALL:
-        return rows.join(F.broadcast(paths), "host", "left")
-    salted = paths.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+def _with_paths(rows: DataFrame, votes: DataFrame) -> DataFrame:
+    """Every page with those of its paths that have votes, most votes first, ties by path. Pages send hashes of their paths,
+    to SALTS places for each path, so that a path of a hot host is no task; what is found is joined to the page's row."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "html"):
+            keys = [sorted(Page(h).keys()) if h else [] for h in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("row"), pa.array(keys, pa.list_(pa.int64()))], names=["host", "row", "keys"])
+
+    rows = rows.withColumn("row", F.xxhash64("page_id", "url", "html"))
+    asked = rows.select("host", "row", "html").mapInArrow(ask, "host STRING, row BIGINT, keys ARRAY<BIGINT>")
+    asked = asked.select("host", "row", F.explode("keys").alias("key")).withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int"))
+    salted = votes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    found = asked.join(salted, ["host", "key", "salt"]).groupBy("row").agg(F.array_sort(F.collect_set(F.struct((-F.col("votes")).alias("less"), "path"))).alias("found"))
+    return rows.join(found.select("row", F.transform("found", lambda x: x["path"]).alias("paths")), "row", "left")
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -330,12 +366,24 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(F.col(url)).alias("host"))
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
+    votes = written(votes_of(pages, url, html), "votes")
+    size = votes.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 64)).first()[0] or 0
+    by_host: dict[str, dict] | None = None
+    if size <= SMALL:
+        by_host = {}
+        for r in votes.collect():
+            by_host.setdefault(r.host, {})[r.key] = (-r.votes, r.path)
+    known = rows.withColumn("paths", F.lit(None).cast("array<string>")) if by_host is not None else _with_paths(rows, votes)
+    shared = pages.sparkSession.sparkContext.broadcast(by_host)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = shared.value or {}
         for batch in slices(batches, "html"):
-            texts = [main_text(h, paths or []) if h else "" for h, paths in zip(batch.column("html").to_pylist(), batch.column("paths").to_pylist())]
+            columns = (batch.column(n).to_pylist() for n in ("html", "host", "paths"))
+            texts = [main_text(h, paths or [], of.get(host)) if h else "" for h, host, paths in zip(*columns)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    known = _with_paths(rows, written(winning_paths(pages, url, html), "paths")).select("page_id", "url", "html", "paths")
+    known = known.select("page_id", "url", "html", "host", "paths")
     return known.mapInArrow(run, f"page_id {types['page_id']}, url {types['url']}, text STRING")
 
 

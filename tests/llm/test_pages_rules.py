@@ -42,6 +42,18 @@ def test_main_text_by_consensus(spark, monkeypatch, small):
     assert html_extract.extract(pages(spark, rows).limit(0)).isEmpty()
 
 
+@pytest.mark.parametrize("small", [8 << 20, 0])
+def test_every_layout_of_a_host_is_searched_for(spark, monkeypatch, small):
+    monkeypatch.setattr(html_extract, "SMALL", small)
+    name = lambda k: chr(97 + k // 26) + chr(97 + k % 26)
+    page = "<html><body><div class='box{0}'><div class='l{0}'><p>{1}</p></div><div class='r{0}'><p>{2}</p></div></div></body></html>"
+    long, short = "A text of some length, with commas, of the article of the page, and more, of it", "Tiny"
+    rows = [(100 * k + i, "https://many.test/x", page.format(name(k), f"{long} {k} {i}", short)) for k in range(30) for i in range(3)]
+    rows += [(100 * k + 50, "https://many.test/y", page.format(name(k), short, "A text beside, longer, than that of the page, is here")) for k in range(30)]
+    found = {r.page_id: r.text for r in html_extract.extract(pages(spark, rows)).collect()}
+    assert len(found) == len(rows) and all(found[100 * k + 50] == "Tiny" for k in range(30))
+
+
 def test_an_article_keeps_its_own_heading():
     html = "<body><header>Site, of many things</header><article><header><h1>Title</h1><span>by me</span></header><p>Some text, long enough, to be the article of this page.</p><aside>More</aside></article></body>"
     assert html_extract.main_text(html, []) == "Title\nSome text, long enough, to be the article of this page."
