@@ -82,7 +82,8 @@ def boilerplate(docs: DataFrame, text: str, host: str, most_documents: int, perc
 
 def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", most_documents: int = MOST_DOCUMENTS,
             percent: int = MOST_PERCENT, least_percent: int = LEAST_PERCENT) -> DataFrame:
-    """One row per document: its id, the base counts, base_failed, n_lost (words in boilerplate lines) and kept.
+    """One row per document: its id, the base counts, base_failed, n_lost (words in boilerplate lines), kept and cleaned
+    (the text without its boilerplate lines; other lines, blank ones too, stay as they are, and null stays null).
 
     A document is kept unless it fails the base rules or boilerplate leaves it less than `least_percent` of its
     words. Null and blank texts fail. A null host is a host of its own. Every row counts as a document, so repeated
@@ -90,23 +91,25 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: s
     """
     rows = docs.select(F.col(doc_id).alias("__id"), F.col(host).alias("__host"), F.col(text).alias("__text")).withColumn("__of", F.xxhash64("__text"))
     bad = boilerplate(rows, "__text", "__host", most_documents, percent)
-    lines = F.filter(F.split(F.col("__text"), "\n"), _present)
-    counted = F.transform(lines, lambda x: F.struct(line_hash(x).alias("hash"), F.size(words_of(x)).alias("words")))
-    placed = rows.select("__id", "__of", "__host", F.posexplode(counted).alias("__at", "__line"))
-    placed = placed.select("__id", "__of", "__host", "__at", F.col("__line.hash").alias("__hash"), F.col("__line.words").alias("__lost"))
+    lines = F.transform(F.split(F.col("__text"), "\n"), lambda x, i: F.struct(i.alias("at"), x.alias("line")))
+    counted = F.transform(F.filter(lines, lambda x: _present(x["line"])), lambda x: F.struct(x["at"].alias("at"), line_hash(x["line"]).alias("hash"), F.size(words_of(x["line"])).alias("words")))
+    placed = rows.select("__id", "__of", "__host", F.explode(counted).alias("__line"))
+    placed = placed.select("__id", "__of", "__host", F.col("__line.at").alias("__at"), F.col("__line.hash").alias("__hash"), F.col("__line.words").alias("__lost"))
     hit = placed.alias("p").join(bad.alias("b"), F.expr("p.__hash = b.__hash AND p.__host <=> b.__host"), "left_semi")
     once = hit.groupBy("__id", "__of", "__at").agg(F.max("__lost").alias("__lost"))  # of repeated rows
-    lost = once.groupBy("__id", "__of").agg(F.sum("__lost").alias("n_lost"))
-    base = base_counts(rows.drop("__host"), "__text").drop("__text")
+    lost = once.groupBy("__id", "__of").agg(F.sum("__lost").alias("n_lost"), F.collect_list("__at").alias("__bad"))
+    base = base_counts(rows.drop("__host"), "__text")
     out = base.alias("d").join(lost.alias("l"), F.expr("d.__id <=> l.__id AND d.__of = l.__of"), "left")
     n_lost = F.coalesce("n_lost", F.lit(0).cast("long"))
     kept = ~F.col("base_failed") & (100 * (F.col("n_words") - n_lost) >= least_percent * F.col("n_words"))
+    left = F.expr("transform(array(split(__text, '\n')), x -> transform(array_except(sequence(0, size(x) - 1), __bad), i -> x[i]))[0]")  # splits once
+    cleaned = F.when(F.col("__bad").isNull(), F.col("__text")).otherwise(F.array_join(left, "\n"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    return out.select(F.col("d.__id").alias(doc_id), *names, n_lost.alias("n_lost"), kept.alias("kept"))
+    return out.select(F.col("d.__id").alias(doc_id), *names, n_lost.alias("n_lost"), kept.alias("kept"), cleaned.alias("cleaned"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return quality(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("cleaned")
 
 
 _CLASS = r" \t\n\x0B\f\r"

@@ -114,6 +114,14 @@ def test_quality_rules(spark):
     assert quality_rules.quality(empty(spark)).isEmpty()
 
 
+def test_boilerplate_lines_are_removed_from_texts(spark):
+    rows = [(i, f"own line of {prose(i, 3)}\n\n  SHARED line {i}\nlast {prose(500 + i, 2)}\n") for i in range(8)]
+    rows += [(20, "shared line 1"), (20, "shared line 1"), (21, None), (22, ""), (23, "shared line 1\nshared line 2"), (24, "no such\nlines"), (None, "x\nshared line 3\ny")]
+    found = quality_rules.quality(documents(spark, rows), most_documents=3).collect()
+    expected = {d: t if t is None else "\n".join(x for x in t.split("\n") if not x.strip().lower().startswith("shared line")) for d, t in rows}
+    assert len(found) == len(rows) and {r.doc_id: r.cleaned for r in found} == expected
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, name):
     sf = "/root/testdata/sf0.001"
