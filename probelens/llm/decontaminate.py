@@ -129,12 +129,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
 
     if blocks == 1:
         return _pass(docs, text, windows_of(0), width, carry)
-    found = None
+    kept = [f"__kept_{i}" for i in range(len(carry))]
+    rows = docs.select(F.monotonically_increasing_id().alias("__row"), *[F.col(c).alias(k) for c, k in zip(carry, kept)], F.col(text).alias("__whole"))
+    rows, found = written(rows, "documents"), None  # a row is the same one in all passes
     for b in range(blocks):  # a pass for each block of items; what a pass found is written
-        hits = written(_pass(docs, text, windows_of(b), width, carry), "contamination")
+        hits = written(_pass(rows, "__whole", windows_of(b), width, ["__row"]), "contamination")
         found = hits if found is None else found.unionAll(hits)
-    keys = [F.col(c) for c in carry]
-    return found.groupBy(*keys, F.col("n_words")).agg(*(_joined(c) for c in ("hits", "spans")), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    merged_rows = found.groupBy("__row").agg(F.first("n_words").alias("n_words"), *(_joined(c) for c in ("hits", "spans")), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return rows.drop("__whole").join(merged_rows, "__row").select(*[F.col(k).alias(c) for c, k in zip(carry, kept)], "n_words", "hits", "spans", "items")
 
 
 def _joined(name: str):

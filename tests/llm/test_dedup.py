@@ -180,3 +180,11 @@ def test_contamination_of_odd_rows(spark):
     assert len(found) == len(odd_rows()) and {r.doc_id for r in found if r.hits} == {1, 2, 6, 7, 8, None}
     assert all(not r.hits for r in decontaminate.contamination(documents(spark, odd_rows()), benchmark.limit(0)).collect())
     assert decontaminate.contamination(empty(spark), benchmark).isEmpty()
+
+
+def test_contamination_of_odd_rows_in_several_passes(spark):
+    benchmark = spark.createDataFrame([(1, prose(1, 12)), (None, "one"), (3, "other text of a repeated id"), (4, prose(2, 10))], "item_id BIGINT, text STRING")
+    docs = documents(spark, [*odd_rows(), (30, "one two"), (30, "two one"), (30, "one two")])  # texts of one id, with as many words
+    row = lambda r: (str(r.doc_id), r.n_words, [tuple(x) for x in r.hits], [tuple(x) for x in r.spans], r["items"])
+    passes = [sorted(map(row, decontaminate.contamination(docs, benchmark, block_bytes=n).collect())) for n in (1 << 20, 20)]
+    assert passes[0] == passes[1] and len(passes[1]) == len(odd_rows()) + 3
