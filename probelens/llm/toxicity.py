@@ -32,7 +32,7 @@ SHARED = (3, 1)
 DISCOUNT, CLASS_DISCOUNT = 0.75, 1.5
 RUN = 8
 #: Labelled rows of each class that counts are taken from, and that the curve is fitted on; the sample's bound.
-COUNTED_ROWS = 6000
+COUNTED_ROWS = 8000
 FITTED_ROWS = 2000
 
 _VALUES = mix(np.arange(301, 557, dtype=np.uint64))

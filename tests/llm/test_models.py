@@ -65,6 +65,11 @@ def test_toxic_words_of_held_out_texts(spark):
     assert {r.score for r in toxicity.score(docs, None).collect()} == {0.0}
 
 
+def test_counts_come_from_8000_rows_of_a_class(spark):
+    labels = spark.range(9000).select(F.col("id").alias("doc_id"), F.lit(0).alias("toxic"))
+    assert 7800 < toxicity.sample(labels, "doc_id", "toxic", toxicity.COUNTED_ROWS, 1).count() < 8200
+
+
 def test_the_shared_order_smooths_what_a_class_has_not_seen():
     import pyarrow as pa
 
