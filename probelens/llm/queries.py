@@ -11,9 +11,10 @@ from probelens.llm.ngram_jaccard import op1_ngram_jaccard
 from probelens.llm.packing import op2_packing
 from probelens.llm.quality_rules import op6_quality_rules
 from probelens.llm.substring_dedup import op8_substring_dedup
+from probelens.llm.suffix_dedup import op11_suffix_dedup
 from probelens.llm.toxicity import op3_toxicity
 from probelens.llm.warc import op10_warc
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_packing, op3_toxicity, op4_html_extract, op5_decontaminate, op6_quality_rules, op7_language_id, op8_substring_dedup, op9_lm_scoring, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_packing, op3_toxicity, op4_html_extract, op5_decontaminate, op6_quality_rules, op7_language_id, op8_substring_dedup, op9_lm_scoring, op10_warc, op11_suffix_dedup)}
 
 ORACLES: dict[str, str] = {"op6_quality_rules": quality_rules.SQL, "op10_warc": warc.SQL}
