@@ -219,7 +219,8 @@ def failure_masks(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     marked = labels.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(*marks).withColumn("salt", F.lit(0).cast("long"))
     rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"))
     rows = rows.withColumn("salt", F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.lit(0)))  # spreads null ids
-    labelled = rows.join(marked, ["id", "salt"], "left").select(
+    # the same exchange at every size, and no sort of texts
+    labelled = rows.join(marked.hint("shuffle_hash"), ["id", "salt"], "left").select(
         F.coalesce("id", F.lit(_NO_ID)).alias("id"), "text", "part", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("quality", "toxic")]
     )
     combined = labelled.mapInArrow(_combined(text_bounds(rows.select("text"), parts)), _TEXTS)
