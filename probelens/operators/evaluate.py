@@ -190,6 +190,16 @@ def check_results(cycles: DataFrame, probes: DataFrame, modes: tuple[str, ...] =
     return evaluate_cycles(cycles, probes, modes).where(F.col("healthy").isNotNull())
 
 
+def with_auth_errors(cycles: DataFrame, failing: DataFrame) -> DataFrame:
+    """Cycles as they are without the credentials that are missing: of a probe in `failing` (name, error, see
+    `auth.runtime_auth_errors`), the first request failed with that error and there is no other response."""
+    errors = failing.select(F.col("name").alias("probe"), F.col("error").alias("_auth_error"))
+    found = lookup_join(cycles, errors, on=["probe"], spread_by=["cycle_id"], how="left")
+    failed = "array(named_struct('seq', 0, 'stage', 'request', 'status_code', 0, 'body', CAST(NULL AS STRING), 'error_kind', 'auth', 'error', _auth_error))"
+    responses = F.when(F.col("_auth_error").isNotNull(), F.expr(failed).cast(cycles.schema["responses"].dataType)).otherwise(F.col("responses"))
+    return found.withColumn("responses", responses).select(cycles.columns)
+
+
 def incomplete_cycles(cycles: DataFrame, probes: DataFrame) -> DataFrame:
     """Cycles without a verdict: a response is missing and none before it failed."""
     return evaluate_cycles(cycles, probes).where(F.col("healthy").isNull()).select("cycle_id", "name", "mode")

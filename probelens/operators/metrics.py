@@ -49,6 +49,21 @@ def probe_metrics(results: DataFrame) -> DataFrame:
     return _routed(results).groupBy("name").agg(*_counts(), *_histogram(), _gauge())
 
 
+def metric_days(results: DataFrame) -> DataFrame:
+    """The same per day of the check and probe, in a form that merges: `last` orders the gauge. See `merged_metrics`."""
+    last = F.max(F.struct("last_check_time", F.col("cycle_id").cast("string").alias("cycle_id"), F.col("healthy").cast("int").alias("healthy"))).alias("last")
+    day = F.to_date("last_check_time").alias("day")
+    return _routed(results).groupBy("name", day).agg(*_counts(), *_histogram(), last)
+
+
+def merged_metrics(days: DataFrame) -> DataFrame:
+    """Totals of partial metrics: what `probe_metrics` gives for all their results together."""
+    buckets = F.array(*[F.sum(F.col("buckets")[i]) for i in range(len(BUCKETS))])
+    sums = [F.sum(c).alias(c) for c in ("success", "failure")]
+    rest = [buckets.alias("buckets"), F.sum("sum_us").alias("sum_us"), F.sum("n").alias("n"), F.max("last")["healthy"].alias("last_healthy")]
+    return days.groupBy("name").agg(*sums, *rest)
+
+
 def _counter_rows() -> Column:
     def row(result: str) -> Column:
         return F.struct(F.lit(result).alias("result"), F.col(result).alias("value"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from probelens.functions.text import text_or_empty
 from probelens.operators.joins import lookup_join
 from probelens.operators.specs import probe_key
+from probelens.session import run_dir
 
 ORDER = ["last_check_time", "cycle_id"]
 POLL_SECONDS = 15
@@ -27,6 +28,33 @@ def latest_results(results: DataFrame, order: list[str] | None = None) -> DataFr
     return last.select("name", "_last.*").select(results.columns)
 
 
+def latest_from_days(spark: SparkSession, path: str, probes: DataFrame, at_once: int = 1) -> tuple[DataFrame, list[str]]:
+    """Last result of each probe of the set, from a log stored by day (`sinks.write_result_days`), and the days that were read.
+
+    Days are opened from the newest on, `at_once` together, until every probe of the set is found; a day that
+    holds all of them ends the search. A probe that was never checked leads to the first day. Of a day only probes that
+    are still missing count, so rows per step are one per probe at most.
+    """
+    days = sorted((r["day"] for r in spark.read.parquet(path).select("day").distinct().collect()), reverse=True)
+    missing, found, read = probes.select("name"), None, []
+    for i in range(0, len(days), at_once):
+        some = days[i : i + at_once]
+        rows = spark.read.parquet(path).where(F.col("day").isin(some)).drop("day").join(missing, ["name"], "left_semi")
+        read += [str(d) for d in some]
+        # cut here, so that a later step does not search the days before it again
+        last = latest_results(rows)
+        folder = run_dir(spark, "latest")
+        last.write.parquet(folder)
+        last = spark.read.schema(last.schema).parquet(folder)
+        found = last if found is None else found.unionByName(last)
+        missing = missing.join(last.select("name"), ["name"], "left_anti")
+        if missing.isEmpty():
+            break
+    if found is None:
+        found = latest_results(spark.read.parquet(path).drop("day")).where(F.lit(False))
+    return found, read
+
+
 def results_of_current_probes(results: DataFrame, probes: DataFrame, reload_time: Column) -> DataFrame:
     """Results from the reload on, of probes in the current set."""
     recent = results.where(F.col("last_check_time") >= reload_time)
@@ -103,6 +131,24 @@ def sync_summary(statuses: DataFrame, latest: DataFrame) -> DataFrame:
     return counts.where("results_received > 0")
 
 
+def observed_sync(statuses: DataFrame, latest: DataFrame) -> tuple[DataFrame, Observation]:
+    """The changes of a sync, and its counts as seen in the same pass.
+
+    Once the changes are written, `Observation.get` has results_received, canaries_checked and statuses_updated: both inputs are
+    read once for the write and the summary.
+    """
+    seen = Observation("sync")
+    changed = F.coalesce(_changed() & F.col("namespace").isNotNull(), F.lit(False))
+    both = _joined(statuses, latest, "full").withColumn("_write", changed).observe(
+        seen,
+        F.count("new_phase").alias("results_received"),
+        F.count("namespace").alias("canaries_checked"),
+        F.count_if(F.col("_write")).alias("statuses_updated"),
+    )
+    fields = {c: f"new_{c}" for c in (*STATE[:1], "last_check_time", *STATE[1:])}
+    return both.where("_write").select("namespace", "name", *[F.col(n).alias(c) for c, n in fields.items()]), seen
+
+
 def canary_listing(canaries: DataFrame, statuses: DataFrame, as_of: Column) -> DataFrame:
     """Name, URL, phase and age of every declaration; the phase is empty until the first sync."""
     phases = statuses.select("namespace", "name", "phase")

@@ -674,3 +674,6 @@ def stream_probe_reload(spark: SparkSession, sf: str) -> DataFrame:
         return streams.start_probe_reload(cycles, lambda: next(loads), out, checkpoint, load_credentials=lambda: held)
 
     return _results(streams.read_batches(spark, f"{_run(spark, 'reload', start)}/results"))
+
+
+from probelens.plans import continuous  # noqa: E402, F401  (registers its queries)

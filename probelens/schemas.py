@@ -71,6 +71,10 @@ PROBES = struct(
     config_error=TEXT,
 )
 SECRETS = struct(namespace=TEXT, name=TEXT, data=TEXT_MAP)
+#: Changes of declarations (`kind` canary) and secrets (`kind` secret): op is create, update or delete.
+DECLARATION_EVENTS = struct(
+    kind=TEXT, namespace=TEXT, name=TEXT, op=TEXT, at=TIME, seq=LONG, created_at=TIME, spec=_SPEC, data=TEXT_MAP
+)
 CREDENTIALS = struct(credential_id=TEXT, value=TEXT)
 EXCHANGES = struct(
     cycle_id=TEXT,

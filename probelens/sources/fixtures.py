@@ -409,3 +409,44 @@ def page_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FX8: every page as a recorded response `r`."""
     r = _response(F.lit(0), F.lit("request"), F.lit(200), F.col("html"), F.lit(None).cast("string"))
     return table(spark, sf_dir, "pages").select("page_id", "url", r.alias("r"))
+
+
+def declaration_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FX9: changes of FX1 and FX2 in three steps (column `step`).
+
+    0: everything is created. 1: declarations are updated (k % 5 = 1) or, later, deleted (k % 7 = 2); secrets are deleted (n % 4 = 1) or lose
+    their key `key` (n % 4 = 2); updates older than the creation arrive (k % 9 = 0). 2: some are created again (k % 14 = 2, n % 8 = 1), and
+    events of step 0 arrive once more (k % 3 = 0).
+    """
+    no_spec, no_data = (F.lit(None).cast(schemas.DECLARATION_EVENTS[c].dataType) for c in ("spec", "data"))
+    k = F.substring_index("name", "-", -1).cast("long")
+
+    def event(rows: DataFrame, kind: str, op: str, step: int, seconds: int, spec: Column, data: Column, where: Column | None = None, after: int = 0) -> DataFrame:
+        chosen = rows if where is None else rows.where(where)
+        created = F.col("created_at") if "created_at" in rows.columns else F.lit(None).cast("timestamp")
+        return chosen.select(
+            F.lit(kind).alias("kind"), "namespace", "name", F.lit(op).alias("op"), F.timestamp_seconds(F.lit(EPOCH_2024 + seconds)).alias("at"),
+            (k + after).alias("seq"), created.alias("created_at"), spec.alias("spec"), data.alias("data"), F.lit(step).alias("step"),
+        )
+
+    def moved(label: str) -> Column:
+        return F.col("spec").withField("url", F.concat(F.lit(f"https://{label}-"), k, F.lit(".example.test/")))
+
+    c, s = canaries(spark, sf_dir), secrets(spark, sf_dir)
+    spec, data = F.col("spec"), F.col("data")
+    parts = [
+        event(c, "canary", "create", 0, 0, spec, no_data),
+        event(s, "secret", "create", 0, 0, no_spec, data),
+        event(c, "canary", "update", 1, 60, moved("new"), no_data, k % 5 == 1),
+        event(c, "canary", "delete", 1, 60, no_spec, no_data, k % 7 == 2, after=1_000_000_000),
+        event(c, "canary", "update", 1, -60, moved("old"), no_data, k % 9 == 0),
+        event(s, "secret", "delete", 1, 60, no_spec, no_data, k % 4 == 1),
+        event(s, "secret", "update", 1, 60, no_spec, F.map_filter("data", lambda key, value: key != "key"), k % 4 == 2),
+        event(c, "canary", "create", 2, 120, moved("again"), no_data, k % 14 == 2),
+        event(s, "secret", "create", 2, 120, no_spec, data, k % 8 == 1),
+        event(c, "canary", "create", 2, 0, spec, no_data, k % 3 == 0),
+    ]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.DECLARATION_EVENTS], "step")

@@ -22,9 +22,12 @@ STRICT = {"mode": "FAILFAST"}
 
 
 def _keyed(df: DataFrame, *keys: str) -> DataFrame:
-    """The rows, or an error where a key is null."""
+    """The rows, or an error where a key is null, whichever columns are read later."""
     text = F.lit(f"a row has no {' or no '.join(keys)}")
-    return df.withColumns({k: F.when(F.col(k).isNull(), F.raise_error(text)).otherwise(F.col(k)) for k in keys})
+    there = F.lit(True)
+    for k in keys:
+        there &= F.col(k).isNotNull()
+    return df.where(F.when(there, F.lit(True)).otherwise(F.raise_error(text).cast("boolean")))
 
 
 def read_canaries(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
@@ -87,10 +90,77 @@ def read_results(spark: SparkSession, path: str, lines: bool = False) -> DataFra
     return _keyed(_retyped(reader.json(path, multiLine=not lines, **STRICT), schemas.RESULTS), "name")
 
 
+def _checked_array(text: Column) -> Column:
+    """The text if it is one JSON array of objects with names and nothing else, or an error."""
+    document = F.try_parse_json(text)
+    names = F.from_json(text, "array<struct<name: string>>")
+    sound = (F.schema_of_variant(document).startswith("ARRAY<") & F.coalesce(F.forall(names, lambda r: r["name"].isNotNull()), F.lit(False)))
+    shown = F.coalesce(F.substring(text, 1, 80), F.lit("null"))
+    message = F.concat(F.lit("results are not one JSON array of objects with names: "), shown)
+    return F.when(sound, text).otherwise(F.raise_error(message))
+
+
 def results_from_text(texts: DataFrame, body: str | Column) -> DataFrame:
-    """Results from a column that holds such JSON arrays; the other columns are kept. A text that is no such array is an error."""
+    """Results from a column that holds such JSON arrays; the other columns are kept.
+
+    A text that is no such array is an error: null or blank, cut off, an object instead of an array, text after the array, an
+    element without name. An empty array has no results.
+    """
     column = F.col(body) if isinstance(body, str) else body
     array = T.ArrayType(schemas.RESULTS_JSON)
-    rows = texts.select("*", F.inline(F.from_json(column, array, STRICT)))
+    rows = texts.select("*", F.inline(F.from_json(_checked_array(column), array, STRICT)))
     names = dict(zip(schemas.RESULTS_JSON.names, schemas.RESULTS.names))
     return rows.withColumnsRenamed(names)
+
+
+def read_bucketed(spark: SparkSession, table: str) -> DataFrame:
+    """A log stored by `sinks.write_bucketed`. Its column `_salt` tells the operators that it need not move."""
+    return spark.table(table)
+
+
+_BAD = "_corrupt_record"
+
+
+def _flat_results(rows: DataFrame) -> DataFrame:
+    return _retyped(rows, schemas.RESULTS)
+
+
+def _flat_probes(rows: DataFrame) -> DataFrame:
+    return _retyped(rows, schemas.PROBES).withColumns({c: F.coalesce(c, F.lit(0)) for c in ("interval", "expected_status")})
+
+
+def _flat_canaries(rows: DataFrame) -> DataFrame:
+    return _retyped(rows.select("metadata.namespace", "metadata.name", "metadata.creationTimestamp", "spec"), schemas.CANARIES)
+
+
+#: Tables in JSON lines: schema of a line, its key, how it becomes a row, whether its text may be shown.
+_LINES = {
+    "canaries": (schemas.MANIFEST, ("metadata.namespace", "metadata.name"), _flat_canaries, True),
+    "probes": (schemas.PROBES_JSON, ("name",), _flat_probes, True),
+    "results": (schemas.RESULTS_JSON, ("name",), _flat_results, True),
+    "exchanges": (schemas.EXCHANGES, ("cycle_id", "probe"), lambda rows: rows, True),
+    "secrets": (schemas.SECRETS, ("namespace", "name"), lambda rows: rows, False),
+    "credentials": (schemas.CREDENTIALS, ("credential_id",), lambda rows: rows, False),
+}
+
+
+def read_with_quarantine(spark: SparkSession, table: str, path: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, quarantine) of JSON lines: the rows of the files that are sound, and (file, cause, line, line_chars) for every line that is not.
+
+    One bad line takes its file out as a whole, so that a truncated file never passes for a shorter one; the rest of
+    the folder is read. A line is bad if it does not decode or has no key. `line` is null for tables that hold
+    secrets. Reading strictly (an error at the first bad line) is what the other readers do.
+    """
+    schema, keys, flat, shown = _LINES[table]
+    whole = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
+    lines = spark.read.schema(whole).json(path, mode="PERMISSIVE", columnNameOfCorruptRecord=_BAD).withColumn("_file", F.col("_metadata.file_path"))
+    keyless = F.lit(False)
+    for k in keys:
+        keyless |= F.col(k).isNull()
+    cause = F.when(F.col(_BAD).isNotNull(), "does not decode").when(keyless, f"has no {' or no '.join(keys)}")
+    text = F.coalesce(F.col(_BAD), F.to_json(F.struct(*[c for c in schema.names])))
+    bad = lines.withColumn("cause", cause).where("cause IS NOT NULL")
+    line = text if shown else F.lit(None).cast("string")
+    quarantine = bad.select(F.col("_file").alias("file"), "cause", line.alias("line"), F.length(text).alias("line_chars"))
+    files = bad.select("_file").distinct()
+    return flat(lines.join(files, ["_file"], "left_anti").select(schema.names)), quarantine

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probelens.functions.text import json_line, rfc3339
-from probelens.operators.metrics import metric_exposition
+from probelens.operators.joins import SALT, salt_of
+from probelens.operators.metrics import metric_days, metric_exposition
 
 
 def _as_json(results: DataFrame):
@@ -51,3 +52,29 @@ def write_statuses(statuses: DataFrame, path: str, version: int) -> None:
 def write_status_changes(changes: DataFrame, path: str, version: int) -> None:
     """Store only the rows a sync changed, under the number of the sync."""
     changes.write.mode("overwrite").parquet(f"{path}/sync={version}")
+
+
+def write_bucketed(log: DataFrame, table: str, path: str, buckets: int, mode: str = "error") -> None:
+    """Store a log of responses or checks in buckets of (probe, salt), as the table `table` with its files below `path`.
+
+    A reader of `readers.read_bucketed` joins it to a probe table of any size without moving its rows. A hot probe
+    fills as many buckets as there are salts. Tasks write to the buckets directly, so bodies do not shuffle here either; a
+    log of many small tasks is better repartitioned first, as each writes a file to every bucket it meets.
+    """
+    spread = ["cycle_id", "seq"] if "seq" in log.columns else ["cycle_id"]
+    salted = log.withColumn(SALT, salt_of(spread))
+    salted.write.bucketBy(buckets, "probe", SALT).format("parquet").mode(mode).option("path", path).saveAsTable(table)
+
+
+def write_metric_days(results: DataFrame, path: str) -> None:
+    """Store the partial metrics of the days that `results` has, as partitions `day=...` below `path`.
+
+    A day is replaced as a whole, others stay: give all results of a day, also when one comes late.
+    """
+    days = metric_days(results).repartition("day")
+    days.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+
+
+def write_result_days(results: DataFrame, path: str, mode: str = "append") -> None:
+    """Store a result log by day of the check, for `status.latest_from_days` and `metrics.metric_days`."""
+    results.withColumn("day", F.to_date("last_check_time")).write.mode(mode).partitionBy("day").parquet(path)

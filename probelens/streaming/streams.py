@@ -9,15 +9,13 @@ checkpoint: a new checkpoint counts batches from 0 again.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from py4j.protocol import Py4JError
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from probelens.operators import evaluate, metrics, status
+from probelens.operators import auth, evaluate, metrics, status
 from probelens.sources import sinks
 
 Trigger = dict[str, object]
@@ -97,23 +95,33 @@ def _remove(spark: SparkSession, path: str, name: str, numbers: list[int]) -> No
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def read_upserts(spark: SparkSession, path: str, key: str = "name") -> DataFrame:
+def _keys(key: str | Sequence[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def upsert_tables(spark: SparkSession, path: str, before: int | None = None) -> list[tuple[str, int]]:
+    """The folders a reader has to open: the newest merged table and the batches after it. `before`: as it was before that batch."""
+    seen = {kind: [n for n in _numbers(spark, path, kind) if before is None or n < before] for kind in ("merged", "batch")}
+    merged = seen["merged"][-1:]
+    return [("merged", n) for n in merged] + [("batch", n) for n in seen["batch"] if not merged or n > merged[0]]
+
+
+def read_upserts(spark: SparkSession, path: str, key: str | Sequence[str] = "name", before: int | None = None) -> DataFrame:
     """Current table: of each key the row of the last batch that wrote it. Opens the newest merged table and the
-    batches after it."""
-    merged = (_numbers(spark, path, "merged") or [-1])[-1]
-    kinds = [("merged", n) for n in [merged] if n >= 0] + [("batch", n) for n in _numbers(spark, path, "batch") if n > merged]
+    batches after it. `before` gives the table as it was before that batch."""
+    kinds = upsert_tables(spark, path, before)
     if not kinds:
         raise FileNotFoundError(f"no batch below {path}")
     parts = [spark.read.parquet(f"{path}/{kind}={n}").withColumn("batch", F.lit(n)) for kind, n in kinds]
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
-    rest = [c for c in rows.columns if c not in (key, "batch")]
-    last = rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.col("batch")).alias("_last"))
-    return last.select(key, "_last.*")
+    rest = [c for c in rows.columns if c not in (*_keys(key), "batch")]
+    last = rows.groupBy(*_keys(key)).agg(F.max_by(F.struct(*rest), F.col("batch")).alias("_last"))
+    return last.select(*_keys(key), "_last.*")
 
 
-def compact_upserts(spark: SparkSession, path: str, key: str = "name", keep: int = 2) -> None:
+def compact_upserts(spark: SparkSession, path: str, key: str | Sequence[str] = "name", keep: int = 2) -> None:
     """Merge all batches so far into `path/merged=N`, N the last of them, and remove what only older tables need.
 
     The newest `keep` merged tables stay, with the batches after the oldest of them, for readers that have begun. May
@@ -129,8 +137,8 @@ def compact_upserts(spark: SparkSession, path: str, key: str = "name", keep: int
 
 
 def trim_batches(spark: SparkSession, path: str, keep: int = 2) -> None:
-    """Remove all but the newest `keep` of the tables a stream writes whole for each batch, such as
-    `states` of a status history, or `probes` and `credentials` of a reload. The next batch reads the one before it."""
+    """Remove all but the newest `keep` of the tables a stream writes whole for each batch: `probes` and `credentials` of a
+    reload or of a feed. The next batch reads the one before it."""
     _remove(spark, path, "batch", _numbers(spark, path, "batch")[: -max(keep, 1)])
 
 
@@ -142,20 +150,25 @@ def start_status_history(
     seconds: int = status.POLL_SECONDS,
     initial: DataFrame | None = None,
     trigger: Trigger = ALL_NOW,
+    compact_every: int = 100,
 ) -> StreamingQuery:
     """Status writes of closed poll windows, as `path/changes/batch=N`.
 
-    `path/polled/batch=N` holds the windows that batch N closed and `path/states/batch=N` the state of
-    every probe after it. A batch reads the states of the one before and replaces its own, so running it
-    twice gives the same; older ones may be removed. `initial` is the state before the stream.
+    `path/polled/batch=N` holds the windows that batch N closed and `path/states/batch=N` the states it changed; the
+    state of every probe is what the batches so far wrote last (`read_upserts`), merged every `compact_every` batches.
+    A batch reads the states before it and replaces its own, so running it twice gives the same. `initial` is the
+    state before the stream.
     """
     spark = results.sparkSession
     polled = status.latest_per_window(results.withWatermark("last_check_time", delay), seconds)
+    state = F.struct(*status.STATE)
 
     def before(batch_id: int) -> DataFrame | None:
-        if batch_id == 0:
-            return initial.select("name", *status.STATE) if initial is not None else None
-        return spark.read.parquet(f"{path}/states/batch={batch_id - 1}")
+        stored = read_upserts(spark, f"{path}/states", before=batch_id) if upsert_tables(spark, f"{path}/states", batch_id) else None
+        if initial is None or stored is None:
+            return stored if initial is None else initial.select("name", *status.STATE)
+        both = initial.select("name", state.alias("_old")).join(stored.select("name", state.alias("_new")), ["name"], "full")
+        return both.select("name", F.coalesce("_new", "_old").alias("_s")).select("name", "_s.*")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         # Written once, then read by both tables below, so the stateful part runs once per batch.
@@ -163,14 +176,12 @@ def start_status_history(
         windows, known = spark.read.parquet(f"{path}/polled/batch={batch_id}"), before(batch_id)
         changes = status.changes_over_windows(windows, known)
         changes.write.mode("overwrite").parquet(f"{path}/changes/batch={batch_id}")
-        state = F.struct(*status.STATE)
-        ends = windows.groupBy("name").agg(F.max_by(state, F.col("window_index")).alias("_end"))
-        if known is None:
-            after = ends.select("name", "_end.*")
-        else:
-            both = known.select("name", state.alias("_known")).join(ends, ["name"], "full")
-            after = both.select("name", F.coalesce("_end", "_known").alias("_s")).select("name", "_s.*")
-        after.write.mode("overwrite").parquet(f"{path}/states/batch={batch_id}")
+        # a probe's state after the batch differs from before only if its last change is one of these
+        written = spark.read.schema(changes.schema).parquet(f"{path}/changes/batch={batch_id}")
+        ends = written.groupBy("name").agg(F.max_by(state, F.col("window_start")).alias("_end"))
+        ends.select("name", "_end.*").write.mode("overwrite").parquet(f"{path}/states/batch={batch_id}")
+        if batch_id and batch_id % compact_every == 0:
+            compact_upserts(spark, f"{path}/states")
 
     writer = polled.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
     return writer.foreachBatch(write).trigger(**trigger).start()
@@ -180,6 +191,9 @@ def read_status_history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/changes").drop("batch")
 
 
+RELOAD_ERRORS = "batch BIGINT, loading STRING, error STRING"
+
+
 def start_probe_reload(
     cycles: DataFrame,
     load_probes: Callable[[], DataFrame],
@@ -190,31 +204,48 @@ def start_probe_reload(
 ) -> StreamingQuery:
     """Evaluate each batch against the probe set as it is then; results go to `path/results/batch=N`.
 
-    The set, and the credentials with it, are loaded and stored as `path/probes/batch=N` and
-    `path/credentials/batch=N` before use. If either fails to load, does not decode or has a row without its key, both
-    of the batch before are used on: a broken file never stops the checks. Without any good set the batch fails.
+    The set, and which credentials there are, are loaded and stored as `path/probes/batch=N` and
+    `path/credentials/batch=N` before use; of credentials only ids and whether they hold a value are stored, never values. If either
+    fails to load in any way, does not decode or has a row without its key, both of the batch before are used on,
+    and `path/errors/batch=N` says why: a broken file never stops the checks. Without any good set the batch fails.
+
+    With credentials, a probe whose credentials are missing sends nothing: its checks fail with the error that
+    `auth.runtime_auth_errors` gives it, whatever responses there are.
     """
     spark = cycles.sparkSession
     loads = {"probes": load_probes} | ({"credentials": load_credentials} if load_credentials else {})
 
-    def good_set(batch_id: int) -> DataFrame:
+    def kept(kind: str, rows: DataFrame) -> DataFrame:
+        key = rows.columns[0]
+        if not rows.where(F.col(key).isNull()).isEmpty():
+            raise ValueError(f"a row of the {kind} has no {key}")
+        if kind == "probes":
+            return rows
+        held = F.col("value").isNotNull() if "value" in rows.columns else F.lit(True)
+        return rows.select("credential_id", held.alias("value_present"))
+
+    def good_set(batch_id: int) -> dict[str, DataFrame]:
         own, previous = ({k: f"{path}/{k}/batch={n}" for k in loads} for n in (batch_id, batch_id - 1))
-        try:
-            for kind, load in loads.items():
-                rows = load()
-                key = rows.columns[0]
-                if not rows.where(F.col(key).isNull()).isEmpty():
-                    raise ValueError(f"a row of the {kind} has no {key}")
-                rows.write.mode("overwrite").parquet(own[kind])
-        except (PySparkException, Py4JError, ValueError):
-            if batch_id == 0:
-                raise
+        errors = []
+        for kind, load in loads.items():
+            try:
+                kept(kind, load()).write.mode("overwrite").parquet(own[kind])
+            except Exception as error:  # a loader is the caller's code and may fail in any way
+                if batch_id == 0:
+                    raise
+                errors.append((batch_id, kind, f"{type(error).__name__}: {str(error)[:1000]}"))
+                break
+        if errors:
             for kind in loads:
                 spark.read.parquet(previous[kind]).write.mode("overwrite").parquet(own[kind])
-        return spark.read.parquet(own["probes"])
+            spark.createDataFrame(errors, RELOAD_ERRORS).write.mode("overwrite").parquet(f"{path}/errors/batch={batch_id}")
+        return {kind: spark.read.parquet(folder) for kind, folder in own.items()}
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        results = evaluate.check_results(batch, good_set(batch_id))
+        good = good_set(batch_id)
+        if load_credentials and "auth" in good["probes"].columns:
+            batch = evaluate.with_auth_errors(batch, auth.runtime_auth_errors(good["probes"], good["credentials"].where("value_present")))
+        results = evaluate.check_results(batch, good["probes"])
         results.write.mode("overwrite").parquet(f"{path}/results/batch={batch_id}")
 
     writer = cycles.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
