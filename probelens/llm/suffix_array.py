@@ -12,9 +12,9 @@ from __future__ import annotations
 import numpy as np
 
 #: A sweep takes buckets together until they hold so many suffixes.
-_GROUP = 1 << 13
+_GROUP = 1 << 10
 #: Buckets with longer chains among themselves are taken in two halves.
-_REPEATS = 4
+_REPEATS = 100
 
 
 def _groups(counts: np.ndarray) -> list[tuple[int, int]]:
@@ -36,7 +36,7 @@ def induced(text: np.ndarray, wanted: np.ndarray, seeds: np.ndarray, n_symbols:
     """
     members = np.bincount(text[wanted], minlength=n_symbols)
     begin = np.concatenate(([0], np.cumsum(members)))
-    out, head = np.empty(int(begin[-1]), np.int64), begin[:-1].copy()
+    out, head = np.empty(int(begin[-1]), np.int32), begin[:-1].copy()
     seeds = seeds[seeds > 0]
     seeds = seeds[wanted[seeds - 1]]
     seed_at = np.concatenate(([0], np.cumsum(np.bincount(text[seeds], minlength=n_symbols))))
@@ -47,7 +47,7 @@ def induced(text: np.ndarray, wanted: np.ndarray, seeds: np.ndarray, n_symbols:
 
     def place(rows: np.ndarray) -> None:
         symbols = text[rows]
-        order = np.argsort(symbols, kind="stable")
+        order = _order(symbols, n_symbols)
         symbols = symbols[order]
         first = np.flatnonzero(np.concatenate(([True], symbols[1:] != symbols[:-1])))
         n = np.diff(np.append(first, len(rows)))
@@ -73,11 +73,11 @@ def induced(text: np.ndarray, wanted: np.ndarray, seeds: np.ndarray, n_symbols:
         else:
             filled = head[low:high] - begin[low:high]
             placed = out[np.repeat(begin[low:high] - np.cumsum(filled) + filled, filled) + np.arange(int(filled.sum()))]
-            ordered, n, tries = _sorted_by(text, [placed, ending]), -1, 0
+            ordered, n, tries = _sorted_by(text, [placed, ending], low, high), -1, 0
             while n != len(ordered) and tries < _REPEATS:  # a repetition adds the members whose successor the last one added
                 n, tries = len(ordered), tries + 1
                 previous = before(ordered)
-                ordered = _sorted_by(text, [placed, previous[text[previous] < high], ending])
+                ordered = _sorted_by(text, [placed, previous[text[previous] < high], ending], low, high)
             if n != len(ordered):
                 middle = (low + high) // 2
                 groups += [(middle, high), (low, middle)]
@@ -90,17 +90,22 @@ def induced(text: np.ndarray, wanted: np.ndarray, seeds: np.ndarray, n_symbols:
     return out
 
 
-def _sorted_by(text: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+def _sorted_by(text: np.ndarray, rows: list[np.ndarray], low: int, high: int) -> np.ndarray:
     joined = np.concatenate(rows)
-    return joined[np.argsort(text[joined], kind="stable")]
+    return joined[_order(text[joined] - low, high - low)]
+
+
+def _order(symbols: np.ndarray, n: int) -> np.ndarray:
+    """A stable order of symbols below n; few of them are sorted by radix."""
+    return np.argsort(symbols.astype(np.uint16) if n <= 1 << 16 else symbols, kind="stable")
 
 
 def _smaller(text: np.ndarray) -> np.ndarray:
     """Which suffixes are smaller than their successor; the last one counts as larger than the empty suffix."""
     n = len(text)
     differs = np.flatnonzero(np.concatenate((text[1:] != text[:-1], [True])))
-    at = differs[np.searchsorted(differs, np.arange(n))]
-    following = np.append(text[1:], -1)
+    at = np.repeat(differs, np.diff(differs, prepend=-1))
+    following = np.append(text[1:], text.dtype.type(-1))
     return (text < following)[at]
 
 
@@ -110,7 +115,7 @@ def _names(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, int]:
     A substring that another one continues is the larger of the two, so what ends is filled with the largest value;
     the last one ends with the text, which is smaller than everything.
     """
-    ends = np.append(starts[1:] + 1, len(text))
+    ends = np.append(starts[1:] + 1, np.int32(len(text)))
     largest = int(text.max()) + 1
     padded = np.concatenate((text + 1, np.zeros(1, text.dtype)))  # 0: the end of the text
     ends[-1] += 1
@@ -138,18 +143,18 @@ def _names(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, int]:
         live = live[again & (starts[live] + offset <= ends[live])]  # what ends here is told from what goes on by one more look
     used = np.zeros(len(starts) + 1, bool)
     used[names] = True
-    return np.cumsum(used)[names] - 1, int(used.sum())
+    return (np.cumsum(used)[names] - 1).astype(np.int32), int(used.sum())
 
 
 def suffix_array(text: np.ndarray, n_symbols: int | None = None) -> np.ndarray:
-    """Positions of all suffixes of a string of symbols from 0, in ascending order; a suffix precedes its continuations."""
-    text = text.astype(np.int64)
+    """Positions of all suffixes of a string of fewer than 2**31 symbols from 0, in ascending order; a suffix precedes its continuations."""
+    text = text.astype(np.int32)
     n = len(text)
     if n < 2:
-        return np.arange(n)
+        return np.arange(n, dtype=np.int32)
     n_symbols = int(text.max()) + 1 if n_symbols is None else n_symbols
     small = _smaller(text)
-    starts = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    starts = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
     if len(starts):
         names, distinct = _names(text, starts)
         order = np.argsort(names) if distinct == len(starts) else suffix_array(names, distinct)
@@ -165,8 +170,8 @@ def suffix_array(text: np.ndarray, n_symbols: int | None = None) -> np.ndarray:
 
 def _with_end(text: np.ndarray, large: np.ndarray, seeds: np.ndarray, n_symbols: int) -> np.ndarray:
     """`induced` for a text that ends with a symbol smaller than all others."""
-    ended = np.append(text + 1, 0)
-    return induced(ended, np.append(large, False), np.concatenate(([len(text)], seeds)), n_symbols + 1)
+    ended = np.append(text + 1, np.int32(0))
+    return induced(ended, np.append(large, False), np.concatenate((np.array([len(text)], np.int32), seeds)), n_symbols + 1)
 
 
 def permuted_prefixes(text: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,27 +179,35 @@ def permuted_prefixes(text: np.ndarray, order: np.ndarray) -> tuple[np.ndarray,
     (-1 for none).
 
     Where a suffix and its neighbour are preceded by the same symbol, the value is one less than that of the position
-    before; only the others are compared, eight symbols at a time.
+    before; only the others are compared, a word of several symbols at a time.
     """
     n = len(text)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[order[1:]] = order[:-1]
-    position = np.arange(n)
+    position = np.arange(n, dtype=np.int32)
     same = (before > 0) & (position > 0)
     same[same] = text[position[same] - 1] == text[before[same] - 1]
     heads = np.flatnonzero(~same)
-    length = np.zeros(n, np.int64)
-    live = heads[before[heads] >= 0]
-    padded = np.concatenate((text, np.zeros(8, text.dtype)))
-    windows = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    length = np.zeros(n, np.int32)
+    live = heads[before[heads] >= 0].astype(np.int32)
+    other = before[live]
+    bits = 16 if n and int(text.max()) < (1 << 16) - 1 else 32
+    each = 64 // bits  # symbols in a word; 0 ends the text
+    padded = np.concatenate((text.astype(np.uint64) + np.uint64(1), np.zeros(each, np.uint64)))
+    words = np.zeros(n, np.uint64)
+    for k in range(each):
+        words |= padded[k : n + k] << np.uint64(64 - bits * (k + 1))
     done = 0
     while len(live):
-        live = live[np.maximum(live, before[live]) + done < n]
-        low = windows[live + done] == windows[before[live] + done]
-        room = np.minimum(n - done - np.maximum(live, before[live]), 8)
-        equal = np.minimum(np.where(low.all(axis=1), 8, low.argmin(axis=1)), room)
+        inside = np.maximum(live, other) + done < n
+        live, other = live[inside], other[inside]
+        differs = words[live + done] ^ words[other + done]
+        equal = np.zeros(len(live), np.int32)
+        for k in range(each):
+            equal += differs < np.uint64(1 << (64 - bits * (k + 1)))
+        equal = np.minimum(equal, n - done - np.maximum(live, other))
         length[live] += equal
-        live = live[equal == 8]
-        done += 8
+        live, other = live[equal == each], other[equal == each]
+        done += each
     head = np.maximum.accumulate(np.where(same, 0, position))
     return np.where(same, length[head] - (position - head), length), before

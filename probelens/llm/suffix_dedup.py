@@ -7,8 +7,8 @@ differ is therefore dealt by where they differ.
 
 1. Chunks of documents send the hashes of their distinct stretches, by minimizer. A minimizer that occurs once has no
    repeated string; of the others, one chunk is asked for the bytes of each distinct stretch.
-2. Each part sorts its stretches (those that occur more than once two times over) in shards: induced sorting gives the suffix array,
-   and the permuted common prefixes tell which strings of `width` bytes occur twice.
+2. Each part sorts its different stretches, with how often each occurs, in shards: induced sorting gives the suffix array, and the
+   permuted common prefixes tell which strings of `width` bytes occur twice.
 3. What is repeated goes back to every chunk that has the stretch, and overlapping strings merge into spans.
 
 Texts are exchanged once, by chunk; all else is hashes, flags and one copy of each stretch whose minimizer repeats. Results
@@ -238,25 +238,24 @@ def _send(width: int, parts: int, frequent):
     return run
 
 
-def repeated_windows(data: np.ndarray, lengths: np.ndarray, copies: np.ndarray, width: int) -> np.ndarray:
-    """For stretches joined in `data`, each counted `copies` times: which of their windows occur twice, as a row of packed bits
-    for each. A stretch has so many windows at most as a row has bits."""
-    begins = np.repeat(np.cumsum(lengths) - lengths, copies)
-    each = np.repeat(lengths, copies)
-    starts = np.cumsum(each + 1) - each - 1  # one symbol less than all others ends a stretch
-    text = np.zeros(int((each + 1).sum()), np.int64)
-    inside = np.repeat(starts, each) + ranges(each)
-    text[inside] = data[np.repeat(begins, each) + ranges(each)].astype(np.int64) + 1
+def repeated_windows(data: np.ndarray, lengths: np.ndarray, weights: np.ndarray, width: int) -> np.ndarray:
+    """For different stretches joined in `data`, which occur `weights` times: which of their windows occur twice or more, as a row of
+    packed bits for each. Windows are equal where a run of the suffix array has a common prefix of `width`; the weights of a run
+    add up. A stretch has so many windows at most as a row has bits."""
+    starts = np.cumsum(lengths + 1) - lengths - 1  # one symbol less than all others ends a stretch
+    text = np.zeros(int((lengths + 1).sum()), np.int32)
+    text[np.repeat(starts, lengths) + ranges(lengths)] = data
+    text[np.repeat(starts, lengths) + ranges(lengths)] += 1
     order = suffix_array(text, 257)
     common, before = permuted_prefixes(text, order)
     longest = common.copy()
     has = before >= 0
     longest[before[has]] = np.maximum(longest[before[has]], common[has])
-    first = starts[np.cumsum(copies) - copies]
     n = lengths - width + 1
-    at = np.repeat(first, n) + ranges(n)
+    at = np.repeat(starts, n) + ranges(n)
     bits = np.zeros((len(lengths), 8 * _flag_bytes(width)), np.uint8)
-    bits[np.repeat(np.arange(len(lengths)), n), ranges(n)] = longest[at] >= width  # windows don't reach the end of a stretch
+    # windows don't reach the end of a stretch
+    bits[np.repeat(np.arange(len(lengths)), n), ranges(n)] = (longest[at] >= width) | np.repeat(weights > 1, n)
     return np.packbits(bits, axis=1)
 
 
@@ -276,7 +275,7 @@ def _sort(width: int):
             stretch = part.stretch[copies[part.order] > 0]
             flags = np.zeros((int(part.stretch[-1]) + 1, _flag_bytes(width)), np.uint8)
             # shards: whole groups of equal minimizers
-            size = np.cumsum((lengths[sender] + 1) * copies[sender])
+            size = np.cumsum(lengths[sender] + 1)
             last = np.flatnonzero(np.append(group[1:] != group[:-1], True))
             shard = np.repeat(size[last] // SHARD_BYTES, np.diff(np.concatenate(([-1], last))))
             cuts = np.concatenate(([0], np.flatnonzero(np.diff(shard)) + 1, [len(sender)]))
