@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from probelens.functions import jsonrpc, routing
 from probelens.functions.verdict import outcome, request_verdict
-from probelens.operators.joins import lookup_join
+from probelens.operators.joins import SALT, lookup_join
 from probelens.operators.specs import mode_of
 from probelens.schemas import CHECK_CYCLES, PROBES
 
@@ -157,6 +157,10 @@ def _absent(column: str) -> Column:
     return F.lit(None).cast(PROBES[column].dataType).alias(column)
 
 
+def _without_salt(log: DataFrame) -> list[str]:
+    return [c for c in log.columns if c != SALT]
+
+
 def cycles_with_probes(cycles: DataFrame, probes: DataFrame) -> DataFrame:
     """Attach to every check cycle its probe: struct `p`, `mode`, `to_metrics`, `to_lines`."""
     return lookup_join(cycles, _probe_side(probes), on=["probe"], spread_by=["cycle_id"])
@@ -197,7 +201,7 @@ def with_auth_errors(cycles: DataFrame, failing: DataFrame) -> DataFrame:
     found = lookup_join(cycles, errors, on=["probe"], spread_by=["cycle_id"], how="left")
     failed = "array(named_struct('seq', 0, 'stage', 'request', 'status_code', 0, 'body', CAST(NULL AS STRING), 'error_kind', 'auth', 'error', _auth_error))"
     responses = F.when(F.col("_auth_error").isNotNull(), F.expr(failed).cast(cycles.schema["responses"].dataType)).otherwise(F.col("responses"))
-    return found.withColumn("responses", responses).select(cycles.columns)
+    return found.withColumn("responses", responses).select(_without_salt(cycles))
 
 
 def incomplete_cycles(cycles: DataFrame, probes: DataFrame) -> DataFrame:
@@ -265,7 +269,7 @@ def unplanned_exchanges(exchanges: DataFrame, probes: DataFrame) -> DataFrame:
     side = _probe_side(probes).select("probe", _by_mode("last", ALL_MODES).alias("_last"))
     joined = lookup_join(exchanges, side, on=["probe"], spread_by=["cycle_id", "seq"], how="left")
     beyond = F.col("_last").isNull() | (F.col("seq") > F.col("_last")) | (F.col("seq") < 0)
-    return joined.where(beyond).select(exchanges.columns)
+    return joined.where(beyond).select(_without_salt(exchanges))
 
 
 def first_arrivals(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -410,4 +414,4 @@ def tick_results(ticks: DataFrame, probes: DataFrame) -> DataFrame:
 def unknown_cycles(cycles: DataFrame, probes: DataFrame) -> DataFrame:
     """Cycles whose probe is not in the set; they have no result."""
     names = probes.select(F.col("name").alias("probe"))
-    return lookup_join(cycles, names, on=["probe"], spread_by=["cycle_id"], how="left_anti").select(cycles.columns)
+    return lookup_join(cycles, names, on=["probe"], spread_by=["cycle_id"], how="left_anti").select(_without_salt(cycles))

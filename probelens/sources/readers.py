@@ -92,9 +92,11 @@ def read_results(spark: SparkSession, path: str, lines: bool = False) -> DataFra
 
 def _checked_array(text: Column) -> Column:
     """The text if it is one JSON array of objects with names and nothing else, or an error."""
-    document = F.try_parse_json(text)
     names = F.from_json(text, "array<struct<name: string>>")
-    sound = (F.schema_of_variant(document).startswith("ARRAY<") & F.coalesce(F.forall(names, lambda r: r["name"].isNotNull()), F.lit(False)))
+    # the parser accepts text after the document; brackets around it make that a second element
+    one = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+    array = F.schema_of_variant(F.try_parse_json(text)).startswith("ARRAY<")
+    sound = F.coalesce(one & array & F.forall(names, lambda r: r["name"].isNotNull()), F.lit(False))
     shown = F.coalesce(F.substring(text, 1, 80), F.lit("null"))
     message = F.concat(F.lit("results are not one JSON array of objects with names: "), shown)
     return F.when(sound, text).otherwise(F.raise_error(message))
