@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from probelens.llm.store import parts_of, small_batches, written
-from probelens.llm.words import ranges, slices
+from probelens.llm.words import SPACES, Words, ranges, slices
 
 WINDOW = 2048
 OPEN_WINDOWS = 64
@@ -32,7 +32,7 @@ END_ID = 1
 #: Open windows that are merged in one group.
 MERGED = 4096
 #: Words whose ids a task remembers.
-REMEMBERED = 250_000
+REMEMBERED = 1_000_000
 
 
 def _byte_characters() -> dict[int, str]:
@@ -44,11 +44,12 @@ def _byte_characters() -> dict[int, str]:
 
 
 class WordIds:
-    """Ids of a word BPE whose words never span white space. Words of plain Latin text are looked up or encoded one
-    by one and remembered; a text with any other character is encoded whole. With `added`, literals of added tokens give
-    these tokens' ids, as by the tokenizer's defaults, and a text that may hold one is encoded whole; else they are text."""
+    """Ids of a word BPE whose words never span white space. Words of plain Latin text are looked up, or encoded
+    once by the model alone and remembered; a text with any other character is encoded whole. With `added`, literals of added tokens give
+    these tokens' ids, as by the tokenizer's defaults, and a text that may hold one is encoded whole; else they are text.
+    Remembered words are told apart by 64 bits of hash."""
 
-    #: The vocabulary's own split of a word.
+    #: The vocabulary's own split of a word. A word of letters alone is one piece.
     PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
     #: Composed letters whose lower case is one letter, ASCII, and plain white space.
     OTHER = re.compile("[^\t-\r -~¡-įı-ɏ]")
@@ -62,37 +63,53 @@ class WordIds:
         self.forget()
 
     def forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.starts, self.lengths, self.pool, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.int32), 0
-
-    def word(self, word: str) -> list[int]:
-        out: list[int] = []
-        for piece in self.PIECES.findall(word):
-            out += [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.characters))]
-        return out
-
-    def learn(self, word: str) -> int:
-        ids, i = self.word(word), len(self.index)
-        if i == len(self.starts):
-            self.starts, self.lengths = np.resize(self.starts, 2 * i), np.resize(self.lengths, 2 * i)
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.resize(self.pool, 2 * len(self.pool))
-        self.starts[i], self.lengths[i] = self.used, len(ids)
-        self.pool[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-        self.index[word] = i
-        return i
+        self.known, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes of words, ascending, and where their ids are
+        self.starts, self.lengths, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def learn(self, words: list[str], hashes: np.ndarray) -> None:
+        """Ids of words in lower case, each encoded once, by the model alone."""
+        tokenize, pieces_of, characters = self.model.tokenize, self.PIECES.findall, self.characters
+        ids: list[int] = []
+        ends = [0]
+        for word in words:
+            for piece in (word,) if word.isalpha() else pieces_of(word):
+                bytewise = piece if piece.isascii() else piece.encode().decode("latin-1").translate(characters)
+                ids += [t.id for t in tokenize(bytewise)]
+            ends.append(len(ids))
+        bounds = np.array(ends, np.int64)
+        known = np.concatenate((self.known, hashes))
+        order = np.argsort(known)
+        self.known, self.place = known[order], np.concatenate((self.place, np.arange(len(self.starts), len(known))))[order]
+        self.starts, self.lengths = np.concatenate((self.starts, len(self.pool) + bounds[:-1])), np.concatenate((self.lengths, np.diff(bounds)))
+        self.pool = np.concatenate((self.pool, np.array(ids, np.int32)))
+
+    def encode_many(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Ids of each text. Each different word is looked up once, by its hash; those that no text before had are learnt together."""
+        if len(self.known) > self.remembered:
+            self.forget()
+        lower = [t.lower() for t in texts]
+        whole = [bool(self.OTHER.search(t)) or any(x in low for x in self.literals) for t, low in zip(texts, lower)]
+        words = Words(pa.array(["" if w else low for w, low in zip(whole, lower)], pa.large_string()), SPACES)
+        distinct, first, which = np.unique(words.hashes, return_index=True, return_inverse=True)
+        new = np.ones(len(distinct), bool)
+        if len(self.known):
+            new = self.known[np.minimum(np.searchsorted(self.known, distinct), len(self.known) - 1)] != distinct
+        if new.any():
+            data = words.buf.tobytes()
+            spans = zip(words.starts[first[new]].tolist(), words.ends[first[new]].tolist())
+            self.learn([data[a:b].decode() for a, b in spans], distinct[new])
+        if len(distinct):
+            which = self.place[np.searchsorted(self.known, distinct)][which]
+        for text, alone, at, n in zip(texts, whole, words.first.tolist(), words.counts.tolist()):
+            if alone:
+                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
+                continue
+            own = which[at : at + n]
+            lengths = self.lengths[own]
+            yield self.pool[np.repeat(self.starts[own], lengths) + ranges(lengths)]
 
     def encode(self, text: str) -> np.ndarray:
-        lower = text.lower()
-        if self.OTHER.search(text) or any(x in lower for x in self.literals):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
-        if len(self.index) > self.remembered:
-            self.forget()
-        get, learn = self.index.get, self.learn
-        which = np.array([i if (i := get(w)) is not None else learn(w) for w in lower.split()], np.int64)
-        lengths = self.lengths[which]
-        return self.pool[np.repeat(self.starts[which], lengths) + ranges(lengths)]
+        return next(self.encode_many([text]))
 
 
 _ENCODERS: dict[str, WordIds] = {}
@@ -160,12 +177,13 @@ def _place(path: str, size: int, most: int, end_id: int):
 
         for batch in slices(batches, "__text"):
             schema = batch.schema
-            for *carried, text in zip(*(c.to_pylist() for c in batch.columns)):
-                ids = np.append(ids_of.encode(text or ""), end_id).astype("<u4")
+            *carried, texts = (c.to_pylist() for c in batch.columns)
+            for *own, found in zip(*carried, ids_of.encode_many([t or "" for t in texts])):
+                ids = np.append(found, end_id).astype("<u4")
                 total = len(ids)
                 for start in range(0, total, size):
                     some = ids[start : start + size]
-                    piece = (*carried, start, len(some), zlib.crc32(some.tobytes()), total)
+                    piece = (*own, start, len(some), zlib.crc32(some.tobytes()), total)
                     emit([(windows.new(), 0, piece)] if len(some) == size else windows.place(len(some), piece), False)
             if len(rows) > 5000:
                 yield flush()
