@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probelens.llm.words import mix, ranges
+from probelens.llm.words import give_back, mix, ranges
 
 SCHEMA = "part INT, owners BINARY, counts BINARY, keys BINARY, extra BINARY"
 _ARROW = pa.schema([("part", pa.int32()), ("owners", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary()), ("extra", pa.binary())])
@@ -70,13 +70,15 @@ class Part:
     share in one row."""
 
     def __init__(self, part: int, rows: list[tuple], owner_type: np.dtype, width: int, extra_type: np.dtype | None):
+        """`rows` is emptied."""
         self.part = part
         self.owners = np.concatenate([np.frombuffer(r[0], owner_type) for r in rows])
         self.counts = np.concatenate([np.frombuffer(r[1], "<u4") for r in rows]).astype(np.int64)
         self.keys = np.concatenate([widen(r[2], width) for r in rows])
         self.extra = None if extra_type is None else np.concatenate([np.frombuffer(r[3], extra_type) for r in rows])
+        rows.clear()
         self.offsets = np.concatenate(([0], np.cumsum(self.counts)))
-        self.entry = np.repeat(np.arange(len(self.counts)), self.counts)
+        self.entry = np.repeat(np.arange(len(self.counts), dtype=np.int32), self.counts)
 
 
 def parts(batches: Iterator[pa.RecordBatch], owner_type: np.dtype, width: int = 8, extra_type: np.dtype | None = None) -> Iterator[Part]:
@@ -89,6 +91,7 @@ def parts(batches: Iterator[pa.RecordBatch], owner_type: np.dtype, width: int =
     while seen:
         p, rows = seen.popitem()
         yield Part(p, rows, owner_type, width, extra_type)
+    give_back()
 
 
 def binary_array(data: np.ndarray, offsets: np.ndarray) -> pa.Array:

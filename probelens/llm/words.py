@@ -7,6 +7,7 @@ on UTF-8 bytes gives the same words as working on characters. A word's hash is a
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,20 @@ _BASE, _BASE_INV = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _SLICE = 1 << 20
 
 
+try:
+    _LIBC = ctypes.CDLL(None)
+    _LIBC.mallopt(-3, 4 << 20)  # arrays from 4 MiB on are mapped, so that freed ones go back to the system
+except (OSError, AttributeError):  # another C library
+    _LIBC = None
+
+
+def give_back() -> None:
+    """Return freed memory to the system. A Python worker lives on after its task, with what its largest task needed."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None and hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     x = x ^ (x >> np.uint64(30))
@@ -138,3 +153,4 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 2 <<
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
+    give_back()
