@@ -16,7 +16,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import cached_property
 from html import unescape
 
 import pyarrow as pa
@@ -62,10 +63,11 @@ _END_OF_RAW = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for tag
 
 
 class Element:
-    __slots__ = ("tag", "label", "words", "parent", "inside", "out", "layout")
+    __slots__ = ("tag", "label", "words", "parent", "inside", "out", "layout", "of_article")
 
     def __init__(self, tag: str, attributes: str, parent: Element | None):
         self.tag, self.parent, self.inside = tag, parent, []
+        self.of_article = parent is not None and (parent.of_article or parent.tag in ("article", "main"))
         found = {a[0].lower(): unescape(a[1] or a[2] or a[3]) for a in _ATTRIBUTE.findall(attributes)} if attributes else {}
         classes, name = found.get("class", "").lower().split(), found.get("id", "").lower()
         self.label = tag + "".join("." + c for c in sorted(re.sub(r"\d+", "#", x) for x in classes)) + ("#" + re.sub(r"\d+", "#", name) if name else "")
@@ -77,7 +79,7 @@ class Element:
         self.layout = bool(told) and told <= OF_LAYOUTS and tag not in LEFT_OUT and role not in LEFT_OUT_ROLES and "hidden" not in found
         self.out = tag in LEFT_OUT or role in LEFT_OUT_ROLES or "hidden" in found or bool(told)
         if tag == "header":  # a page's header goes; an article's keeps its headings (see Page)
-            self.out = not any(e.tag in ("article", "main") for e in self.ancestors())
+            self.out = not self.of_article
 
     def ancestors(self) -> Iterator[Element]:
         e = self.parent
@@ -165,10 +167,21 @@ class Page:
         self.root = parse(html)
         elements = list(self.walk(self.root, all_=True))
         self.body = next((e for e in elements if e.tag == "body"), self.root)
-        for e in elements:  # a page's wrapper may be named after its sidebar
-            if e.layout and any(x.tag in ("article", "main") for x in self.walk(e, all_=True)):
+        for e in self.around(e for e in elements if e.tag in ("article", "main")):
+            if e.layout:  # a page's wrapper may be named after its sidebar
                 e.out = False
 
+    @staticmethod
+    def around(some: Iterable[Element]) -> list[Element]:
+        """Some elements and all elements they are in, each once."""
+        seen: dict[int, Element] = {}
+        for e in some:
+            for a in (e, *e.ancestors()):
+                if id(a) in seen:
+                    break
+                seen[id(a)] = a
+        return list(seen.values())
+
     @staticmethod
     def walk(top: Element, all_: bool = False) -> Iterator[Element]:
         stack = [top]
@@ -240,36 +253,39 @@ class Page:
             outer = next((a for a in [top, *top.ancestors()] if a.tag == tag), None)
             if outer is not None:
                 return outer
-        has_title = lambda e: any(x.tag == "h1" for x in self.walk(e))
-        if not has_title(top):
+        titled = {id(e) for e in self.around(x for x in self.walk(self.root) if x.tag == "h1")}
+        if id(top) not in titled:
             for outer in top.ancestors():
-                if outer is self.root or any(x.out for x in (outer,)):
+                if outer is self.root or outer.out:
                     break
-                if has_title(outer):
+                if id(outer) in titled:
                     return outer
                 if outer is self.body:
                     break
         return top
 
-    def keys(self) -> set[int]:
-        """Hashes of the paths of all elements (see `key_of`), made from those of their parents."""
-        out, stack = set(), [(self.root, _hasher())]
+    @cached_property
+    def by_key(self) -> dict[int, list[tuple[int, Element]]]:
+        """(depth, element) of all elements in page order, by the hash of their path (see `key_of`), made from their parent's."""
+        out: dict[int, list[tuple[int, Element]]] = {}
+        stack = [(self.root, _hasher(), 0)]
         while stack:
-            e, made = stack.pop()
-            out.add(_number(made))
-            for x in e.inside:
+            e, made, depth = stack.pop()
+            out.setdefault(_number(made), []).append((depth, e))
+            for x in reversed(e.inside):
                 if not isinstance(x, str) and not x.out:
                     of_x = made.copy()
                     of_x.update(f"/{x.label}".encode("utf-8", "replace"))
-                    stack.append((x, of_x))
+                    stack.append((x, of_x, depth + 1))
         return out
 
     def at(self, path: str) -> list[Element]:
-        """Outermost elements on a path."""
-        last = path.rpartition("/")[2]
-        found = [e for e in self.walk(self.root) if e.label == last and e.path() == path]
-        inner = {id(e) for e in found}
-        return [e for e in found if not any(id(a) in inner for a in e.ancestors())]
+        """Outermost elements on a path. Only classes with a slash in them give one path to elements of different depths."""
+        found = self.by_key.get(key_of(path), [])
+        if len({depth for depth, _ in found}) < 2:
+            return [e for _, e in found]
+        inner = {id(e) for _, e in found}
+        return [e for _, e in found if not any(id(a) in inner for a in e.ancestors())]
 
 
 def _strings(x: str | Element, linked: bool = False) -> Iterator[tuple[str, bool]]:
@@ -308,7 +324,7 @@ def main_text(html: str, paths: list[str], votes: dict[int, tuple[int, str]] | N
     """The text of a page by the first path that it has: of `paths`, or of those in `votes`, (less votes, path) by key."""
     page = Page(html)
     if votes:
-        paths = [path for _, path in sorted(votes[k] for k in page.keys() & votes.keys())]
+        paths = [path for _, path in sorted(votes[k] for k in page.by_key.keys() & votes.keys())]
     for path in paths:
         if blocks := [b for e in page.at(path) for b in page.text(e)]:
             return "\n".join(blocks)
@@ -345,7 +361,7 @@ def _with_paths(rows: DataFrame, votes: DataFrame) -> DataFrame:
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
-            keys = [sorted(Page(h).keys()) if h else [] for h in batch.column("html").to_pylist()]
+            keys = [sorted(Page(h).by_key) if h else [] for h in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("row"), pa.array(keys, pa.list_(pa.int64()))], names=["host", "row", "keys"])
 
     rows = rows.withColumn("row", F.xxhash64("page_id", "url", "html"))

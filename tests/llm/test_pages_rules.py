@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import sys
+import time
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 from common import documents, empty, odd_rows, prose
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
@@ -127,3 +129,30 @@ def test_query_equals_sql(spark, name):
     sf = "/root/testdata/sf0.001"
     left = spark_bag(QUERIES[name](spark, sf))
     assert difference(left, sql_bag(connect(sf), ORACLES[name])) is None and left[1]
+
+
+def test_deep_pages_take_time_by_their_length():
+    text = "A sentence of the page, long enough to be scored, with commas, and an end. " * 3
+    for page in ("<div>" * 50_000 + f"<p>{text}</p>", "<div class='sidebar'>" * 20_000 + f"<article><p>{text}</p></article>", "<article>" + "<div class='w-1/2'><section>" * 10_000 + f"<h1>T</h1><p>{text}</p>"):
+        started = time.perf_counter()
+        path = html_extract.main_path(page)
+        found = html_extract.main_text(page, [path] if path else [])
+        assert time.perf_counter() - started < 8 and "A sentence of the page" in found
+
+
+def test_a_share_of_a_host_gives_one_verdict_at_every_size(spark):
+    """Twenty documents of a host share a line; so do two hundred. Another line is in two of them, and in twenty."""
+    def host(name, n, first):
+        rows = []
+        for i in range(n):
+            lines = [prose(first + i, 60), "All rights reserved 2024", "Rare line" if i % 100 == 0 else f"own {i}"]
+            rows.append((first + i, "\n".join(lines), "en", name))
+        return rows
+
+    rows = host("small", 20, 0) + host("large", 200, 1000) + host("tenfold", 2000, 10_000)
+    bad = quality_rules.boilerplate(documents(spark, rows), "text", "source", quality_rules.MOST_DOCUMENTS, quality_rules.MOST_PERCENT)
+    shared = quality_rules.line_hash(F.lit("All rights reserved 1999"))
+    own = quality_rules.line_hash(F.lit("own 5"))
+    found = bad.select("__host", (F.col("__hash") == shared).alias("shared"), (F.col("__hash") == own).alias("own")).collect()
+    assert {r["__host"] for r in found if r.shared} == {"small", "large", "tenfold"}
+    assert all(r.shared or r.own for r in found)  # the rare line is in one percent, not more
