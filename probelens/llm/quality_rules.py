@@ -1,8 +1,8 @@
 """Quality rules from lines that many documents share, in DataFrame functions alone.
 
 Lines are normalised (trimmed, lower-cased, runs of digits as one 0, runs of white space as one space) and hashed. A
-line is boilerplate if more documents of its host have it than a limit, the larger of a fixed number and a share of
-the host's documents. Such lines are removed, and a document is rejected if
+line is boilerplate if more than a share of its host's documents have it, and more than two of them, so that a host's verdicts
+do not depend on its size. Such lines are removed, and a document is rejected if
 less than a share of its words is left. Only hashes are exchanged, never texts: a line's count combines inside tasks,
 and what a document loses is summed over its own lines.
 """
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A line is boilerplate if more documents of a host have it than this, and more than so many percent of them.
-MOST_DOCUMENTS = 50
+MOST_DOCUMENTS = 2
 MOST_PERCENT = 1
 #: Percent of the words that have to be left.
 LEAST_PERCENT = 30
@@ -114,19 +114,19 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CLASS = r" \t\n\x0B\f\r"
 SQL = rf"""
-WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, list_filter(string_split_regex(t, '[{_CLASS}]+'), lambda x: x <> '') AS words FROM d),
 win AS (SELECT doc_id, unnest(generate_series(1, len(words) - 2)) AS i, words FROM w WHERE len(words) >= 3),
 hit AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i], words[i + 1], words[i + 2]) AS n FROM win),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM hit WHERE n > 1) GROUP BY doc_id),
-raw AS (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS line FROM d),
+raw AS (SELECT row, doc_id, source, unnest(string_split(t, chr(10))) AS line FROM d),
 lines AS (
-  SELECT doc_id, source, line, len(list_filter(string_split_regex(line, '[{_CLASS}]+'), lambda x: x <> '')) AS n,
+  SELECT row, doc_id, source, line, len(list_filter(string_split_regex(line, '[{_CLASS}]+'), lambda x: x <> '')) AS n,
          lower(regexp_replace(regexp_replace(regexp_replace(line, '^[{_CLASS}]+|[{_CLASS}]+$', '', 'g'), '[{_CLASS}]+', ' ', 'g'), '[0-9]+', '0', 'g')) AS norm
   FROM raw WHERE regexp_matches(line, '[^{_CLASS}]')),
 bad AS (
-  SELECT source, norm FROM (SELECT source, norm, count(DISTINCT doc_id) AS n FROM lines GROUP BY ALL)
-  JOIN (SELECT source, count(*) AS documents FROM d GROUP BY source) USING (source)
+  SELECT source, norm FROM (SELECT source, norm, count(DISTINCT row) AS n FROM lines GROUP BY ALL)
+  JOIN (SELECT source, count(*) AS documents FROM d GROUP BY source) USING (source)  -- every row counts
   WHERE n > {MOST_DOCUMENTS} AND 100 * n > {MOST_PERCENT} * documents),
 lost AS (SELECT doc_id, sum(n) AS n FROM lines SEMI JOIN bad USING (source, norm) GROUP BY doc_id),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY doc_id),
