@@ -98,7 +98,7 @@ def _checked_array(text: Column) -> Column:
     array = F.schema_of_variant(F.try_parse_json(text)).startswith("ARRAY<")
     sound = F.coalesce(one & array & F.forall(names, lambda r: r["name"].isNotNull()), F.lit(False))
     shown = F.coalesce(F.substring(text, 1, 80), F.lit("null"))
-    message = F.concat(F.lit("results are not one JSON array of objects with names: "), shown)
+    message = F.concat(F.lit("results do not parse as one JSON array of objects with names: "), shown)
     return F.when(sound, text).otherwise(F.raise_error(message))
 
 

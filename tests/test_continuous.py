@@ -405,7 +405,7 @@ def test_quarantine_never_shows_secrets(spark, tmp_path):
 @pytest.mark.parametrize("text", ['[{"statusCode":200}]', '{"name":"a"}', '[{"name":"a"}] trailing', "", "  ", None, '[{"name":"a"', "[1]", "null", '[{"name":"a"},null]', '[{"name":"a"}] [{"name":"b"}]', '[{"name":"a"}], [{"name":"b"}]'])
 def test_a_results_body_that_is_no_array_is_an_error(spark, text):
     body = spark.createDataFrame([(1, '[{"name":"fine"}]'), (2, text)], "k int, body string")
-    with pytest.raises(Exception, match="results are not one JSON array"):
+    with pytest.raises(Exception, match="do not parse as one JSON array"):
         readers.results_from_text(body, "body").collect()
 
 

@@ -137,7 +137,8 @@ def test_reload_keeps_probes_and_credentials_together(spark, folder):
     finish(streams.start_probe_reload(stream, lambda: next(probe_sets), f"{folder}/h8", f"{folder}/c8", load_credentials=lambda: next(held)))
     everything = one.unionByName(two).unionByName(three)
     assert same(evaluate.check_results(everything, good), streams.read_batches(spark, f"{folder}/h8/results"))
-    assert same(sound, spark.read.parquet(f"{folder}/h8/credentials/batch=2"))
+    held_ids = sound.select("credential_id", F.lit(True).alias("value_present"))  # values are not stored
+    assert same(held_ids, spark.read.parquet(f"{folder}/h8/credentials/batch=2"))
 
 
 def test_compaction_leaves_the_same_table_in_few_folders(spark, folder):
