@@ -154,3 +154,26 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda acc, x: acc + (x["end"] - x["start"]))
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+_NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: For small tables: every window of a document that is as long as an item's is a row.
+SQL = rf"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex({_LOWER}, '{_NO_WORD}'), lambda x: x <> '') AS words FROM documents),
+b AS (SELECT item_id, list_filter(string_split_regex({_LOWER}, '{_NO_WORD}'), lambda x: x <> '') AS words FROM benchmark),
+item AS (
+  SELECT DISTINCT item_id, size, array_to_string(words[i:i + size - 1], ' ') AS k
+  FROM (SELECT item_id, words, least(len(words), 10) AS size, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS i FROM b WHERE len(words) > 0)),
+win AS (
+  SELECT doc_id, size, i, array_to_string(words[i:i + size - 1], ' ') AS k
+  FROM (SELECT doc_id, words, size, unnest(range(1, len(words) - size + 2)) AS i FROM d JOIN (SELECT DISTINCT size FROM item) s ON len(words) >= size)),
+hit AS (SELECT doc_id, item_id, i, size FROM win JOIN item USING (size, k)),
+words_hit AS (SELECT doc_id, count(DISTINCT i + o)::BIGINT AS n_hit FROM hit, range(0, 10) r(o) WHERE o < size GROUP BY doc_id),
+items_hit AS (
+  SELECT doc_id, count(*)::BIGINT AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY encode(item_id::VARCHAR)) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words_hit USING (doc_id) LEFT JOIN items_hit USING (doc_id)
+"""

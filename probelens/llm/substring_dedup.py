@@ -225,3 +225,21 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+_CLASS = r" \t\n\x0B\f\r"
+#: For small tables: every window is a row.
+SQL = rf"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[{_CLASS}]+'), lambda x: x <> '') AS words FROM documents),
+win AS (
+  SELECT doc_id, i, md5(array_to_string(words[i:i + {WIDTH - 1}], ' ')) AS k
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - {WIDTH - 2})) AS i FROM d WHERE len(words) >= {WIDTH})),
+hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS least FROM win) WHERE doc_id > least),
+covered AS (SELECT DISTINCT doc_id, i + o AS j FROM hit, range(0, {WIDTH}) r(o)),
+w AS (SELECT doc_id, generate_subscripts(words, 1) AS j, unnest(words) AS word FROM d),
+kept AS (
+  SELECT doc_id, count(c.j) AS n_removed, string_agg(word, ' ' ORDER BY w.j) FILTER (WHERE c.j IS NULL) AS kept
+  FROM w LEFT JOIN covered c USING (doc_id, j) GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""

@@ -360,3 +360,22 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: For small tables: every string of bytes is a row.
+SQL = f"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+win AS (SELECT doc_id, i, md5(b[i:i + {WIDTH - 1}]) AS k FROM (SELECT doc_id, b, unnest(range(1, n - {WIDTH - 2})) AS i FROM d WHERE n >= {WIDTH})),
+hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY k) AS c FROM win) WHERE c > 1),
+edge AS (SELECT doc_id, i, lag(i) OVER w AS p, lead(i) OVER w AS q FROM hit WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+opens AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS s FROM edge WHERE p IS NULL OR i > p + {WIDTH}),
+closes AS (SELECT doc_id, i + {WIDTH} AS e, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS s FROM edge WHERE q IS NULL OR q > i + {WIDTH}),
+spans AS (SELECT doc_id, s, i, e FROM opens JOIN closes USING (doc_id, s)),
+removed AS (SELECT doc_id, sum(e - i)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans FROM spans GROUP BY doc_id),
+gaps AS (
+  SELECT doc_id, s, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 1) AS a, i AS z FROM spans
+  UNION ALL SELECT doc_id, 1000000000, coalesce(max(e), 1), max(n) + 1 FROM d LEFT JOIN spans USING (doc_id) GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(CASE WHEN z > a THEN hex(b[a:z - 1]) ELSE '' END, '' ORDER BY s) AS h FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(h)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN removed USING (doc_id)
+"""

@@ -302,6 +302,6 @@ def test_manifest_of_odd_tables(spark):
     assert manifest_bag(merkle.manifest(documents(spark, odd))) == expected_manifest(odd)
 
 
-@pytest.mark.parametrize("name", ["op12_filter_audit", "op13_merkle_manifest"])
+@pytest.mark.parametrize("name", ["op5_decontaminate", "op8_substring_dedup", "op11_suffix_dedup", "op12_filter_audit", "op13_merkle_manifest"])
 def test_queries_equal_sql(spark, name):
     assert difference(spark_bag(QUERIES[name](spark, SF)), sql_bag(connect(SF), ORACLES[name])) is None
