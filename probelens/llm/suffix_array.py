@@ -1,7 +1,7 @@
 """Suffix arrays by induced sorting, and permuted common prefixes, in numpy.
 
 Suffixes are classified as larger (L) or smaller (S) than their successor. Leftmost smaller substrings are sorted and
-named; where names repeat, the array of the string of names comes from the same function. The sorted leftmost smaller
+named; where names repeat, the string of names, a third as long, is sorted by prefix doubling. The sorted leftmost smaller
 suffixes induce all L suffixes in one ascending sweep, those induce all S suffixes in one descending sweep. A sweep takes
 neighbouring buckets together, so that its steps are array operations: what a group of buckets induces in itself
 is found by repetition, and a group that needs many is halved, down to one bucket, which grows at its end.
@@ -146,6 +146,27 @@ def _names(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, int]:
     return (np.cumsum(used)[names] - 1).astype(np.int32), int(used.sum())
 
 
+def by_doubling(text: np.ndarray) -> np.ndarray:
+    """The suffix array of a string of names: ranks by the first symbols, then by twice as many in each round, among those not yet told apart."""
+    n, bits = len(text), int(text.max()).bit_length() + 1
+    width = max(1, 62 // bits)
+    padded = np.concatenate((text.astype(np.int64) + 1, np.zeros(width, np.int64)))
+    key = np.zeros(n, np.int64)
+    for k in range(width):
+        key = key << bits | padded[k : n + k]
+    order, places, rank = np.arange(n), np.arange(n), np.full(n + 1, -1, np.int64)  # the last: the end of the text
+    while len(places):
+        by = np.argsort(key)
+        rows, key = order[places][by], key[by]
+        first = np.concatenate(([True], key[1:] != key[:-1]))
+        order[places], rank[rows] = rows, np.maximum.accumulate(np.where(first, places, 0))
+        places = places[~(first & np.append(first[1:], True))]
+        rows = order[places]
+        key = rank[rows] * (n + 1) + rank[np.minimum(rows + width, n)] + 1
+        width *= 2
+    return order.astype(np.int32)
+
+
 def suffix_array(text: np.ndarray, n_symbols: int | None = None) -> np.ndarray:
     """Positions of all suffixes of a string of fewer than 2**31 symbols from 0, in ascending order; a suffix precedes its continuations."""
     text = text.astype(np.int32)
@@ -157,7 +178,7 @@ def suffix_array(text: np.ndarray, n_symbols: int | None = None) -> np.ndarray:
     starts = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
     if len(starts):
         names, distinct = _names(text, starts)
-        order = np.argsort(names) if distinct == len(starts) else suffix_array(names, distinct)
+        order = np.argsort(names) if distinct == len(starts) else by_doubling(names)
         seeds = starts[order]
     else:
         seeds = starts
@@ -191,23 +212,27 @@ def permuted_prefixes(text: np.ndarray, order: np.ndarray) -> tuple[np.ndarray,
     length = np.zeros(n, np.int32)
     live = heads[before[heads] >= 0].astype(np.int32)
     other = before[live]
-    bits = 16 if n and int(text.max()) < (1 << 16) - 1 else 32
+    bits = int(text.max() if n else 0).bit_length() + 1
     each = 64 // bits  # symbols in a word; 0 ends the text
     padded = np.concatenate((text.astype(np.uint64) + np.uint64(1), np.zeros(each, np.uint64)))
     words = np.zeros(n, np.uint64)
     for k in range(each):
-        words |= padded[k : n + k] << np.uint64(64 - bits * (k + 1))
+        words |= padded[k : n + k] << np.uint64(bits * (each - 1 - k))
     done = 0
     while len(live):
-        inside = np.maximum(live, other) + done < n
-        live, other = live[inside], other[inside]
+        inside = np.maximum(live, other) < n - done
+        if not inside.all():
+            length[live[~inside]] = done
+            live, other = live[inside], other[inside]
         differs = words[live + done] ^ words[other + done]
-        equal = np.zeros(len(live), np.int32)
+        equal = differs == 0
+        ended = np.flatnonzero(~equal)
+        at, differs = live[ended], differs[ended]
+        same_symbols = np.zeros(len(at), np.int32)
         for k in range(each):
-            equal += differs < np.uint64(1 << (64 - bits * (k + 1)))
-        equal = np.minimum(equal, n - done - np.maximum(live, other))
-        length[live] += equal
-        live, other = live[equal == each], other[equal == each]
+            same_symbols += differs < np.uint64(1 << (bits * (each - 1 - k)))
+        length[at] = done + same_symbols
+        live, other = live[equal], other[equal]
         done += each
     head = np.maximum.accumulate(np.where(same, 0, position))
     return np.where(same, length[head] - (position - head), length), before

@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from probelens.llm import filter_audit, merkle, suffix_dedup
+from probelens.llm import suffix_array as suffix_arrays
 from probelens.llm.queries import ORACLES, QUERIES
 from probelens.llm.suffix_array import permuted_prefixes, suffix_array
 from common import documents, empty, odd_rows, prose
@@ -53,6 +54,18 @@ def test_suffix_array_of_long_runs_and_many_buckets():
     assert np.all((text[a] < text[b]) | ((text[a] == text[b]) & (rank[a + 1] < rank[b + 1])))
 
 
+def test_two_sweeps_sort_near_copies(monkeypatch):
+    sweeps, induced, rng = [], suffix_arrays.induced, np.random.default_rng(3)
+    monkeypatch.setattr(suffix_arrays, "induced", lambda *a: sweeps.append(1) or induced(*a))
+    base, texts = rng.integers(1, 20, 300), []
+    for k in range(40):
+        texts += [base[k % 7 : 300 - k], [0]]
+    text = np.concatenate(texts)
+    order = suffix_arrays.suffix_array(text)
+    assert order.tolist() == sorted(range(len(text)), key=lambda i: text[i:].tolist())
+    assert len(sweeps) == 2  # the string of names needs none, however deep its repeats are
+
+
 # ---- substring dedup by suffix arrays
 
 
