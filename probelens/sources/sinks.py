@@ -9,6 +9,9 @@ from probelens.functions.text import json_line, rfc3339
 from probelens.operators.joins import SALT, salt_of
 from probelens.operators.metrics import metric_days, metric_exposition
 
+#: With one file open at a time, which is what a task with one bucket needs, Spark does not sort rows by bucket before it writes.
+_OPEN_FILES = "spark.sql.maxConcurrentOutputFileWriters"
+
 
 def _as_json(results: DataFrame):
     return json_line(
@@ -58,12 +61,17 @@ def write_bucketed(log: DataFrame, table: str, path: str, buckets: int, mode: st
     """Store a log of responses or checks in buckets of (probe, salt), as the table `table` with its files below `path`.
 
     A reader of `readers.read_bucketed` joins it to a probe table of any size without moving its rows. A hot probe
-    fills as many buckets as there are salts. Tasks write to the buckets directly, so bodies do not shuffle here either; a
-    log of many small tasks is better repartitioned first, as each writes a file to every bucket it meets.
+    fills as many buckets as there are salts. Rows move once, to one task a bucket, which writes one file as they come: a task
+    that met all buckets would have to sort its rows first, and hold as many of them as its part of the log has.
     """
-    spread = ["cycle_id", "seq"] if "seq" in log.columns else ["cycle_id"]
-    salted = log.withColumn(SALT, salt_of(spread))
-    salted.write.bucketBy(buckets, "probe", SALT).format("parquet").mode(mode).option("path", path).saveAsTable(table)
+    spark, spread = log.sparkSession, ["cycle_id", "seq"] if "seq" in log.columns else ["cycle_id"]
+    dealt = log.withColumn(SALT, salt_of(spread)).repartition(buckets, "probe", SALT)
+    before = spark.conf.get(_OPEN_FILES)
+    spark.conf.set(_OPEN_FILES, "1")
+    try:
+        dealt.write.bucketBy(buckets, "probe", SALT).format("parquet").mode(mode).option("path", path).saveAsTable(table)
+    finally:
+        spark.conf.set(_OPEN_FILES, before)
 
 
 def write_metric_days(results: DataFrame, path: str) -> None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from pathlib import Path
 
 import pytest
@@ -335,6 +336,17 @@ def test_bodies_stay_in_their_buckets_beyond_the_broadcast_limit(spark, folder):
     spark.sql("DROP TABLE bucketed_log")
 
 
+def test_buckets_are_written_as_rows_come(spark, folder):
+    log = fx.conversation_exchanges(spark, SF).repartition(6)
+    setting = spark.conf.get(sinks._OPEN_FILES)
+    sinks.write_bucketed(log, "bucketed_once", folder, 4)
+    files = [f for f in os.listdir(folder) if f.endswith(".parquet")]
+    assert len(files) == len({f.split("_")[-1] for f in files}) <= 4  # one task a bucket, so that none sorts what it holds
+    assert spark.conf.get(sinks._OPEN_FILES) == setting
+    assert same(log, readers.read_bucketed(spark, "bucketed_once").drop(SALT))
+    spark.sql("DROP TABLE bucketed_once")
+
+
 def test_assembled_cycles_from_buckets_equal_the_plain_log(spark, folder):
     log, ps = fx.conversation_exchanges(spark, SF), fx.conversation_probes(spark, SF)
     sinks.write_bucketed(log, "bucketed_turns", folder, 4)
