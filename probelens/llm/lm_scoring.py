@@ -29,7 +29,7 @@ from probelens.llm import keyed
 from probelens.llm.language_id import held_out
 from probelens.llm.store import new_dir, parts_of, small_batches
 from probelens.llm.substring_dedup import _LAST, _OWNER, owners_of
-from probelens.llm.words import SPACES, Words, mix, ranges, slices
+from probelens.llm.words import SPACES, Words, give_back, keep_freed, mix, ranges, slices
 
 #: Branches of a node of the tree of words, and tokens of the smallest tree, of two levels.
 BRANCHES = 32
@@ -165,46 +165,82 @@ class Model:
         return out
 
     def features(self, before: np.ndarray) -> np.ndarray:
-        """Hashed features of each position; before: the last three tokens, nearest first."""
-        b = before.astype(np.uint64)
-        features = np.stack((b[:, 0], ((b[:, 0] + 1) << np.uint64(28)) + b[:, 1], b[:, 1], b[:, 2]), axis=1)
-        return mix(features * np.uint64(FEATURES) + np.arange(FEATURES, dtype=np.uint64))
-
-    def levels(self, ids: np.ndarray, before: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each level: its number, the rows of the weights, the log-probabilities of all branches of each position's node,
-        and the branch that was taken."""
-        features = self.features(before)
+        """Hashed features by position; before: the last three tokens of each, nearest first."""
+        b = np.ascontiguousarray(before.T).astype(np.uint64)
+        out = np.stack((b[0], ((b[0] + 1) << np.uint64(28)) + b[1], b[1], b[2]))
+        out *= np.uint64(FEATURES)
+        out += np.arange(FEATURES, dtype=np.uint64)[:, None]
+        return mix(out)
+
+    def levels(self, ids: np.ndarray, before: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each level: its number, the rows of the weights by feature, the scores of all branches of each position's node,
+        their exponentials and the sums of these, and the branch that was taken."""
+        features, ones = self.features(before), np.ones(BRANCHES, np.float32)
         for k, weights in enumerate(self.weights):
             node = ids // BRANCHES ** (self.depth - k)
-            inner = mix(features ^ (node.astype(np.uint64)[:, None] + 1) * np.uint64(0x9E3779B97F4A7C15)) if k else features
-            at = (inner >> np.uint64(32)) % np.uint64(len(weights))
-            z = weights[at[:, 0]] + self.bias[k][node]
-            for j in range(1, FEATURES):
-                z += weights[at[:, j]]
-            z -= z.max(axis=1, keepdims=True)
-            z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-            yield k, at, z, ids // BRANCHES ** (self.depth - k - 1) % BRANCHES
+            inner = mix(features ^ (node.astype(np.uint64) + 1) * np.uint64(0x9E3779B97F4A7C15)) if k else features
+            at = ((inner >> np.uint64(32)) & np.uint64(len(weights) - 1)).view(np.int64)  # rows are a power of two
+            z = self.bias[k].take(node, axis=0)
+            for rows in at:
+                z += weights.take(rows, axis=0)
+            with np.errstate(over="ignore"):
+                e = np.exp(z)
+            total = e @ ones
+            far = np.flatnonzero(~((total > 1e-30) & (total < 1e30)))
+            if len(far):  # out of the range of single precision
+                z[far] -= z[far].max(axis=1, keepdims=True)
+                e[far] = np.exp(z[far])
+                total[far] = e[far] @ ones
+            yield k, at, z, e, total, ids // BRANCHES ** (self.depth - k - 1) % BRANCHES
 
     def log_probability(self, ids: np.ndarray, before: np.ndarray) -> np.ndarray:
         out = np.zeros(len(ids))
-        for low in range(0, len(ids), 8192):
-            some = ids[low : low + 8192]
-            for _, _, z, branch in self.levels(some, before[low : low + 8192]):
-                out[low : low + 8192] += z[np.arange(len(some)), branch]
+        for low in range(0, len(ids), BATCH):
+            some = ids[low : low + BATCH]
+            for _, _, z, _, total, branch in self.levels(some, before[low : low + BATCH]):
+                out[low : low + BATCH] += z[np.arange(len(some)), branch] - np.log(total)
         return out
 
     def descend(self, ids: np.ndarray, before: np.ndarray, seen: list[np.ndarray]) -> None:
         """A step on some positions; seen: squared gradients of each row so far."""
-        for level, at, z, branch in self.levels(ids, before):
-            weights, squares, error = self.weights[level], seen[level], np.exp(z)
+        for level, at, _, error, total, branch in self.levels(ids, before):
+            weights, squares = self.weights[level], seen[level]
+            error *= (1 / total)[:, None]
             error[np.arange(len(ids)), branch] -= 1
-            for k in range(FEATURES):
-                order = np.argsort(at[:, k], kind="stable")
-                own = at[order, k]
-                first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-                gradient, row = np.add.reduceat(error[order], first, axis=0), own[first].astype(np.int64)
-                squares[row] += (gradient**2).mean(axis=1)
-                weights[row] -= RATE * gradient / np.sqrt(squares[row] + 1e-3)[:, None]
+            rows, gradients, cuts = _sums(error, at)
+            norms = np.einsum("ij,ij->i", gradients, gradients) / np.float32(BRANCHES)
+            for low, high in zip(cuts, cuts[1:]):  # features one by one: they may share rows
+                row, gradient = rows[low:high], gradients[low:high]
+                of_row = squares.take(row) + norms[low:high]
+                squares[row] = of_row
+                gradient *= (RATE / np.sqrt(of_row + np.float32(1e-3)))[:, None]
+                new = weights.take(row, axis=0)
+                new -= gradient
+                weights[row] = new
+
+
+def _sums(error: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """By feature, the different rows of the weights and the sums of the errors of each one's positions; and where features begin."""
+    n, bits = at.shape[1], at.shape[1].bit_length()
+    packed = np.sort((at << bits) | np.arange(n), axis=1)
+    own, order = (packed >> bits).ravel(), (packed & ((1 << bits) - 1)).ravel()
+    begins = np.ones(len(own) + 1, bool)
+    np.not_equal(own[1:], own[:-1], out=begins[1:-1])
+    begins[::n] = True
+    first = np.flatnonzero(begins)
+    lengths, first = first[1:] - first[:-1], first[:-1]
+    sums = error.take(order[first], axis=0)
+    more = np.arange(len(first))
+    for k in range(1, 4):  # most rows have few positions
+        more = more[lengths[more] > k]
+        sums[more] += error.take(order[first[more] + k], axis=0)
+    more = more[lengths[more] > 4]
+    if len(more):
+        runs = lengths[more] - 4
+        inside = error.take(order[np.repeat(first[more] + 4, runs) + ranges(runs)], axis=0)
+        # two columns as one complex number: half as many cells to add up
+        sums[more] += np.add.reduceat(inside.view(np.complex64), np.cumsum(runs) - runs, axis=0).view(np.float32)
+    return own[first], sums, np.searchsorted(first, np.arange(0, len(own) + 1, n)).tolist()
 
 
 def preceding(ids: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -235,21 +271,18 @@ def _blocks(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__text"):
             ids, n, _, _ = encode(Words(batch.column("__text"), SPACES, lower=True), shared.value)
-            hashes, out, at = batch.column("__hash").to_numpy().view(np.uint64), [], 0
-            for h, m in zip(hashes, n.tolist()):
-                blocks = -(-m // BLOCK)
-                with np.errstate(over="ignore"):
-                    draw = mix(h + np.arange(blocks, dtype=np.uint64))
-                for b in range(blocks):
-                    low = b * BLOCK
-                    lead = np.full(3, END, np.uint32)
-                    if low:
-                        lead[:] = ids[at + low - 3 : at + low]
-                    own = np.concatenate((lead, ids[at + low : at + min(low + BLOCK, m)])).astype("<u4")
-                    out.append((int(draw[b] >> np.uint64(32)) % ROUNDS, own.tobytes()))
-                at += m
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["round", "ids"])
+            hashes = batch.column("__hash").to_numpy().view(np.uint64)
+            blocks = -(-n // BLOCK)
+            number = ranges(blocks)
+            with np.errstate(over="ignore"):
+                draw = mix(np.repeat(hashes, blocks) + number.astype(np.uint64))
+            led = np.full(len(ids) + 3 * len(n), END, "<u4")  # three ends before each text
+            led[np.arange(len(ids)) + 3 * np.repeat(np.arange(1, len(n) + 1), n)] = ids
+            size = np.minimum(np.repeat(n, blocks) - number * BLOCK, BLOCK) + 3
+            own = led[np.repeat(np.repeat(np.cumsum(n + 3) - n - 3, blocks) + number * BLOCK, size) + ranges(size)]
+            ends = np.concatenate(([0], np.cumsum(4 * size))).astype(np.int32)
+            found = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(own)])
+            yield pa.RecordBatch.from_arrays([pa.array(((draw >> np.uint64(32)) % np.uint64(ROUNDS)).astype(np.int32)), found], names=["round", "ids"])
 
     return run
 
@@ -266,16 +299,21 @@ def _descend(shared):
         model = start.plus()
         seen = [np.zeros(len(w), np.float32) for w in model.weights]
         rng = np.random.default_rng(7)
+        keep_freed()
         for batch in batches:
-            blocks = [np.frombuffer(x, "<u4").astype(np.int64) for x in batch.column("ids").to_pylist()]
-            flat = np.concatenate(blocks)
-            n = np.array([len(b) for b in blocks])
+            if not len(batch):
+                continue
+            blocks = batch.column("ids").cast(pa.large_binary())
+            n = np.frombuffer(blocks.buffers()[1], np.int64)[blocks.offset : blocks.offset + len(blocks) + 1]
+            flat = np.frombuffer(blocks.buffers()[2], np.uint8)[n[0] : n[-1]].view("<u4").astype(np.int64)
+            n = np.diff(n) // 4
             at = np.repeat(np.cumsum(n) - n + 3, n - 3) + ranges(n - 3)
             at = at[rng.permutation(len(at))]
             for low in range(0, len(at), BATCH):
                 some = at[low : low + BATCH]
                 model.descend(flat[some], np.stack([flat[some - k] for k in (1, 2, 3)], axis=1), seen)
             positions += len(at)
+        give_back()
         if positions:
             change = np.array_split(np.concatenate([(a - b).astype(np.float16).ravel() for a, b in zip(model.weights, start.weights)]), _SLICES)
             yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array([c.tobytes() for c in change], pa.binary()), pa.array([float(positions)] * _SLICES)], names=["slice", "changed", "weight"])
@@ -305,7 +343,7 @@ def fit(train: DataFrame, counts: Counts, shared_counts) -> Model:
         weights = spark.sparkContext.broadcast(model)
         changes = blocks.where(F.col("round") == r).select("ids").coalesce(tasks).mapInArrow(_descend(weights), _CHANGE)
         found = changes.repartition(min(_SLICES, parts_of(spark)), "slice").mapInArrow(_average, _CHANGE).collect()
-        weights.unpersist()
+        weights.destroy()
         if found:
             model = model.plus(np.concatenate([np.frombuffer(x.changed, np.float32) for x in sorted(found)]))
     return model
@@ -377,6 +415,7 @@ def _local(shared_counts, shared_model):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, model = shared_counts.value, shared_model.value
+        keep_freed()
         for batch in slices(batches, "__text"):
             words = Words(batch.column("__text"), SPACES, lower=True)
             ids, n, which, (_, head, count, rank) = encode(words, counts)
